@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import doc_key, settled, table
 
 #: The kinds in their order, and their patterns (assign: on bytes with A-Z lower-cased).
 KINDS = ("assign", "access", "hex", "token")
@@ -62,12 +62,14 @@ def find(text: str, least_entropy: float = 3.5) -> list[tuple[int, int, int, byt
     return found
 
 
-_SCANNED = "row long, doc_id long, repo string, owner string, kinds array<int>, starts array<long>, ends array<long>, values array<string>"
+#: Up to this many documents with secrets are broadcast to be redacted.
+MOST_BROADCAST = 500_000
+_SCANNED = "row long, doc_id long, tie long, repo string, owner string, kinds array<int>, starts array<long>, ends array<long>, values array<string>"
 
 
 def scan(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
     """One row for each document: its candidates, their values as digests."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), repo.cast("string").alias("repo"), owner.cast("string").alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), repo.cast("string").alias("repo"), owner.cast("string").alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -78,7 +80,7 @@ def scan(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
                 pa.array([[x[2] for x in g] for g in got], pa.list_(pa.int64())),
                 pa.array([[hashlib.blake2b(x[3], digest_size=16).hexdigest() for x in g] for g in got], pa.list_(pa.string())),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], names=["row", "doc_id", "repo", "owner", "kinds", "starts", "ends", "values"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *columns], names=["row", "doc_id", "tie", "repo", "owner", "kinds", "starts", "ends", "values"])
 
     return rows.mapInArrow(run, _SCANNED)
 
@@ -94,7 +96,7 @@ def ownership(scanned: DataFrame) -> DataFrame:
 
 
 def secrets(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, most_owners: int = 1) -> DataFrame:
-    """row, doc_id, base and all spans (arrays of start, kind, end), n_live and n_copied of the base values."""
+    """row, doc_id, tie (a digest of the text), base and all spans (arrays of start, kind, end), n_live and n_copied of the base values."""
     scanned = settled(scan(docs, repo if repo is not None else F.col("source"), owner if owner is not None else F.col("source")), "secrets")
     owned = ownership(scanned).select("value", (F.col("n_owners") <= most_owners).alias("live"))
     each = scanned.where(F.size("values") > 0).select("row", F.explode(F.arrays_zip("starts", "kinds", "ends", "values")).alias("x"))
@@ -108,7 +110,7 @@ def secrets(docs: DataFrame, repo: Column | None = None, owner: Column | None =
         F.count_if(base & ~F.col("live")).alias("n_copied"),
     )
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return scanned.select("row", "doc_id").join(found, "row", "left").select("row", "doc_id", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+    return scanned.select("row", "doc_id", "tie").join(found, "row", "left").select("row", "doc_id", "tie", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
 
 
 def joined(spans: str) -> Column:
@@ -118,14 +120,31 @@ def joined(spans: str) -> Column:
 
 def redact(text: str, spans: list[tuple[int, int]]) -> str:
     """text with each span (merged where they overlap) replaced by a mark."""
-    out, at = [], 0
+    out, at, last = [], 0, -1
     for a, b in sorted(spans):
-        if a >= at:
+        if a >= last:
             out += [text[at:a], "[SECRET]"]
-        at = max(at, b)
+        at = last = max(at, b)
     return "".join([*out, text[at:]])
 
 
+def redacted(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, most_owners: int = 1) -> DataFrame:
+    """docs with all secrets of their texts replaced by a mark.  Texts are met again by doc_id and digest."""
+    found = secrets(docs, repo, owner, most_owners).where(F.size("spans") > 0)
+    found = settled(found.select(doc_key().alias("_dk"), F.col("tie").alias("_tk"), F.col("spans").alias("_spans")).dropDuplicates(["_dk", "_tk"]), "spans")
+    if found.count() <= MOST_BROADCAST:
+        found = F.broadcast(found)
+    keyed = docs.withColumns({"_dk": doc_key(), "_tk": F.xxhash64("text")}).join(found, ["_dk", "_tk"], "left")
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = [t.as_py() if s is None else redact(t.as_py(), [(x["start"], x["end"]) for x in s]) for t, s in zip(batch.column("text"), batch.column("_spans").to_pylist())]
+            yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(docs.columns)
+
+    return keyed.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     found = secrets(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))

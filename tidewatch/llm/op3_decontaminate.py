@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import doc_key, settled, table
 
 #: A word in a text not yet lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -43,30 +43,30 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """row (of docs, counted by partition), doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
+    """doc_id, tie (a digest of the text), n_words, n_hit, n_items, items_sha256, contaminated, spans of each row.
 
     spans: sorted array of (first hit word, words), counted from 1.
     """
     bench = benchmark_windows(benchmark, n)
     sizes = bench.groupBy("size").count().collect()  # n rows at most
     windows = sum(r["count"] for r in sizes)
-    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
-    d = d.select("row", "doc_id", "w", F.size("w").cast("long").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("tie"), words(F.col("text")).alias("w"))
+    d = d.select("row", "doc_id", "tie", "w", F.size("w").cast("long").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
 
     def probes(size: int) -> Column:
         starts = F.when(F.size("h") >= size, F.sequence(F.lit(1), F.size("h") - size + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(size).alias("len"), F.xxhash64(F.slice("h", i, size)).alias("key")))
 
     none = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("key")))
-    each = d.select("row", "doc_id", "n_words", "w", F.explode(F.concat(none, *[probes(r["size"]) for r in sorted(sizes)])).alias("p"))
+    each = d.select("row", "doc_id", "tie", "n_words", "w", F.explode(F.concat(none, *[probes(r["size"]) for r in sorted(sizes)])).alias("p"))
     if windows <= MOST_BROADCAST:
-        each, bench = each.select("row", "doc_id", "n_words", "w", "p.*"), F.broadcast(bench)
+        each, bench = each.select("row", "doc_id", "tie", "n_words", "w", "p.*"), F.broadcast(bench)
         same = (each.key == bench.key) & (F.slice(each.w, each["at"], bench["size"]) == bench.gram) & (each.len == bench["size"])
     else:  # too many to broadcast: each window takes its own words through the shuffle
-        each = each.select("row", "doc_id", "n_words", F.slice("w", F.greatest("p.at", F.lit(1)), F.col("p.len")).alias("own"), "p.*")
+        each = each.select("row", "doc_id", "tie", "n_words", F.slice("w", F.greatest("p.at", F.lit(1)), F.col("p.len")).alias("own"), "p.*")
         same = (each.key == bench.key) & (each.own == bench.gram)
     found = each.join(bench, same, "left").where("items IS NOT NULL OR len = 0")
-    found = found.groupBy("row", "doc_id", "n_words").agg(
+    found = found.groupBy("row", "doc_id", "tie", "n_words").agg(
         F.array_sort(F.collect_set(F.when(F.col("items").isNotNull(), F.struct("at", "len")))).alias("at"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
@@ -77,8 +77,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
         return F.struct(F.greatest(a.end, end).alias("end"), (a.n + F.greatest(end - F.greatest(a.end, x["at"]), F.lit(0))).alias("n"))
 
     return found.select(
-        "row",
         "doc_id",
+        "tie",
         "n_words",
         F.aggregate("at", start, cover).n.cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -89,15 +89,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop: bool = True) -> DataFrame:
-    """docs without its contaminated rows (drop), or with the hit words cut out of their texts."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    bad = hits(docs, benchmark, n).where("contaminated").select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    """docs without its contaminated rows (drop), or with the hit words cut out of their texts.
+
+    Found rows are met again by doc_id and a digest of the text; rows that agree in both have the same hits.
+    """
+    bad = settled(hits(docs, benchmark, n).where("contaminated").select(doc_key().alias("_dk"), F.col("tie").alias("_tk"), F.col("spans").alias("_spans")).dropDuplicates(["_dk", "_tk"]), "contaminated")
+    if bad.count() <= MOST_BROADCAST:
+        bad = F.broadcast(bad)
+    keyed = docs.withColumns({"_dk": doc_key(), "_tk": F.xxhash64("text")})
     if drop:
-        return numbered.join(bad, "_row", "left_anti").drop("_row")
+        return keyed.join(bad, ["_dk", "_tk"], "left_anti").select(*docs.columns)
     w, gaps = raw_words(F.col("text")), F.split("text", WORD, -1)
     kept = F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.concat(F.get(gaps, i), F.when(F.exists("_spans", lambda s: (i + 1 >= s["at"]) & (i + 1 < s["at"] + s["len"])), "").otherwise(F.get(w, i))))
     cut = F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))
-    return numbered.join(bad, "_row", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).drop("_row", "_spans")
+    return keyed.join(bad, ["_dk", "_tk"], "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
