@@ -6,6 +6,7 @@ import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the hash function: initial words and message permutation.
 IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)
@@ -55,13 +56,16 @@ def stable_id(text: str) -> str:
     return blake3(text.encode("utf-8", "surrogatepass"))[:16].hex()
 
 
-@F.pandas_udf("string")
-def stable_id_of(texts: pd.Series) -> pd.Series:
-    """Of a column; equal texts of a batch are hashed once."""
+def _ids(texts: pd.Series) -> pd.Series:
     known = {t: stable_id(t) for t in texts.dropna().unique()}
     return texts.map(lambda t: known.get(t))
 
 
+def stable_id_of(column):
+    """Of a column; equal texts of a batch are hashed once."""
+    return F.pandas_udf(_ids, T.StringType())(column)
+
+
 def device_key(tenant, device_dir):
     return stable_id_of(F.concat(tenant, F.lit("/"), device_dir))
 
