@@ -8,9 +8,13 @@ average and fewer than 14 with probability under MISSED, so two such sketches me
 32 - 14 + 1 values, in an order that is the same for all (rarest value first): frequent values are no lists
 for documents that have rarer ones.  Lists are split by set size, since linked sizes are within the similarity.
 
-A list never gives all its pairs.  First each member meets the list's least id; the links found make components.
-Only members of a list that are then in different components meet each other.  Of the pairs, the sketch of the
-union drops those whose estimate is far below the threshold (6 standard deviations), and full sets confirm the rest.
+A list never gives all its pairs.  First each member meets the list's least id; of these pairs, the sketch of the union
+drops those whose estimate is far below the threshold (6 standard deviations), full sets confirm the rest, and the
+links found make components.  Lists whose members are then in different components are left to an exact prefix filter
+over the full sets of their members: values in one common order, rarest first, a short prefix on the side of the
+smaller set and a longer one on the other, and at a shared value what is left of both sets must still reach the
+threshold.  In a large group of copies that were each edited too much, the edits' own values fill the prefixes, so
+such a group gives few pairs instead of all.  Full sets confirm these pairs too.
 
 Defined cases: documents with fewer than 5 words have their whole sequence as one shingle; without words, or with
 null text, a document is linked with nothing; a null doc_id is linked with nothing, has a null component and is
@@ -124,7 +128,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, members (the sorted set as bytes) of the documents in ids."""
+    """id, members (the whole set in order) of the documents in ids."""
     n = ids.count()
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, "id")
 
@@ -132,12 +136,10 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             buf, offs = utf8(batch.column("text"))
             for row, h, n in shingle_sets(buf, offs):
-                upto = np.concatenate([[0], np.cumsum(n)])
-                raw = h.tobytes()
-                members = [raw[8 * a : 8 * b] for a, b in zip(upto[:-1], upto[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(n)), pa.array(members, pa.binary())], names=["id", "members"])
+                members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(_signed(h)))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(n)), members], names=["id", "members"])
 
-    return picked.mapInArrow(run, "id long, members binary")
+    return picked.mapInArrow(run, "id long, members array<long>")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -149,7 +151,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("ma"), batch.column("mb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 at = np.searchsorted(x, y)
                 same = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
@@ -158,6 +160,28 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of documents of different components (labels: id, c) that the prefix filter can't rule out."""
+    values = sets.select("id", F.size("members").cast("long").alias("n"), F.explode("members").alias("v"))
+    common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    kept = values.join(common, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    kept = kept.join(labels, "id")
+    # values of one document only come first in the order and meet nobody
+    alone = F.col("n") - F.size("vs")
+    need = lambda total: F.ceil(F.lit(percent) * total / F.lit(100 + percent))
+    index = F.col("n") - need(2 * F.col("n")) + 1
+    probe = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    short = F.slice("vs", F.lit(1), F.greatest(probe - alone, F.lit(0)).cast("int"))
+    entries = kept.select("id", "n", "c", index.alias("index"), alone.alias("alone"), F.posexplode(short).alias("i", "x")).select("id", "n", "c", "index", (F.col("alone") + F.col("i") + 1).alias("place"), "x.v")
+    left = entries.where("place <= index").select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("place").alias("pa"))
+    right = entries.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("place").alias("pb"))
+    order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    near = 100 * F.col("na") >= percent * F.col("nb")
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1 >= need(F.col("na") + F.col("nb"))
+    met = left.join(right, (left.v == right.v) & (F.col("ca") != F.col("cb")) & order & near & reach)
+    return met.select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     similarity = percent / 100
@@ -171,17 +195,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ids = tested.select(F.col("a").alias("id")).unionByName(tested.select(F.col("b").alias("id"))).distinct()
     links = settled(_links(tested, settled(full_sets(docs, ids), "sets"), percent), "links")
     found = components(links)
-    # members of one list that the first links left apart
+    # members of lists that the first links left apart
     labelled = lists.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    apart = labelled.groupBy("v", "band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("id").alias("pivot")).where("low < high").drop("low", "high")
-    left = labelled.join(apart, ["v", "band"])
-    right = left.select("v", "band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = left.where("id <> pivot").join(right, ["v", "band"]).where((F.col("id") < F.col("b")) & (F.col("c") != F.col("cb"))).where(near(F.col("n"), F.col("nb")))
-    rest = rest.select(F.col("id").alias("a"), "b").distinct()
-    more = settled(_estimated(rest, classes, similarity).select("a", "b"), "pairs")
-    ids = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct()
-    links = links.unionByName(_links(more, settled(full_sets(docs, ids), "sets"), percent))
-    found = components(links)
+    apart = labelled.groupBy("v", "band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("v", "band")
+    left = settled(labelled.join(apart, ["v", "band"], "left_semi").select("id", "c").distinct(), "apart")
+    sets = settled(full_sets(docs, left.select("id")), "sets")
+    more = _links(prefix_pairs(sets, left, percent), sets, percent)
+    found = components(links.unionByName(more))
     named = classes.select("d1", "d2", "n", "id").join(found, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("c"))
     out = made.select("doc_id", "d1", "d2", "n").join(named, ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
