@@ -135,12 +135,13 @@ def redacted(docs: DataFrame, repo: Column | None = None, owner: Column | None =
     if found.count() <= MOST_BROADCAST:
         found = F.broadcast(found)
     keyed = docs.withColumns({"_dk": doc_key(), "_tk": F.xxhash64("text")}).join(found, ["_dk", "_tk"], "left")
+    columns = docs.columns
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = [t.as_py() if s is None else redact(t.as_py(), [(x["start"], x["end"]) for x in s]) for t, s in zip(batch.column("text"), batch.column("_spans").to_pylist())]
-            yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(docs.columns)
+            yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
 
     return keyed.mapInArrow(run, docs.schema)
 
