@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.envelope import with_envelope
 from ..functions.features import emitted
 from ..functions.tokens import tokenize
-from ..operators import alerts, scoring, windows
+from ..operators import alerts, provenance, scoring, windows
 
 
 def dated(lines: DataFrame, ingest_ts: int = 0, since: int | None = None, until: int | None = None) -> DataFrame:
     """lines (with `line`) with the envelope p and ts.  since and until, both inclusive, apply to the native time before
     anything is tokenized.  A line without time counts as time 0."""
-    out = with_envelope(lines, ingest_ts).withColumn("ts", F.coalesce("p.ts", F.lit(0).cast("long")))
+    # Tests on ts (the filters here, null tests that joins infer) must not be pushed below this projection: each step of
+    # the envelope would be put in place of its name again and again.  A term that is always 0 but not deterministic stops them.
+    ts = F.coalesce("p.ts", F.lit(0).cast("long")) + F.spark_partition_id() * 0
+    out = with_envelope(lines, ingest_ts).withColumn("ts", ts)
     if since is not None:
         out = out.where(F.col("ts") >= since)
     if until is not None:
@@ -30,8 +33,14 @@ def parsed(lines: DataFrame, ingest_ts: int = 0, since: int | None = None, until
 
 
 def analyze(lines: DataFrame, size: int = 60, thresholds: scoring.Thresholds = scoring.Thresholds(), ingest_ts: int = 0, since: int | None = None, until: int | None = None) -> DataFrame:
-    """Alerts of raw lines (tenant_id, device_key, line, byte_len)."""
-    rows = windows.rows(dated(lines, ingest_ts, since, until), size)
+    """Alerts of raw lines (tenant_id, device_key, line, byte_len); with provenance where lines have offsets."""
+    timed = dated(lines, ingest_ts, since, until)
+    rows = windows.rows(timed, size)
     features, counted = windows.items(parsed(lines, ingest_ts, since, until), size)
     got, seen = scoring.scored(rows, features, size, thresholds)
-    return alerts.row_alerts(scoring.labelled(got, seen, windows.entities_wide(windows.ranked(counted)), thresholds), size)
+    out = alerts.row_alerts(scoring.labelled(got, seen, windows.entities_wide(windows.ranked(counted)), thresholds), size)
+    if "offset_start" not in lines.columns:
+        return out
+    keys = ["tenant_id", "device_key", "device_dir", "ws"]
+    spans = provenance.spans(windows.with_window(timed, size), keys).withColumnRenamed("ws", "window_start_ts")
+    return out.join(spans, ["tenant_id", "device_key", "window_start_ts"], "left")
