@@ -182,8 +182,25 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
+#: Rows of one Arrow batch: a row of a pair holds two full sets, so Spark's 10,000 would be 100 MB in each process.
+BATCH = 1000
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
+
+    All that runs Python is done on return, in Arrow batches of BATCH rows at most.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(BATCH if int(before) <= 0 else min(BATCH, int(before))))
+    try:
+        return _near_duplicates(docs, percent)
+    finally:
+        conf.set(name, before)
+
+
+def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     similarity = percent / 100
     made = settled(sketches(docs), "sketches")
     classes = settled(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
