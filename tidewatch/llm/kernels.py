@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step looks at; bounds the temporary arrays.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: The ASCII white space that separates words.
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 

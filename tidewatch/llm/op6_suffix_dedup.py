@@ -102,7 +102,7 @@ def compare(cover: list[bytes], n: np.ndarray):
     sizes = np.fromiter(map(len, cover), np.int64, len(cover))
     starts = np.repeat(np.cumsum(sizes) - sizes, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     wide = -(-WINDOW // 8) * 8
-    matrix = raw[starts[:, None] + np.arange(wide)] if len(starts) else np.zeros((0, wide), np.uint8)
+    matrix = np.lib.stride_tricks.sliding_window_view(raw, wide)[starts] if len(starts) else np.zeros((0, wide), np.uint8)
     matrix[:, WINDOW:] = 0
     keys = matrix.view(">u8").astype(np.uint64)
     order, along = multikey_order(keys)

@@ -30,7 +30,7 @@ from .common import buckets, doc_key, settled
 from .kernels import mix, utf8
 
 #: Records that a task holds before it deals them out; and windows that a bucket compares at once.
-FLUSH, BLOCK = 1_500_000, 150_000
+FLUSH, BLOCK = 400_000, 60_000
 #: Document keys up to this number are broadcast to pick texts; beyond it the join is shuffled.
 MOST_BROADCAST = 2_000_000
 
