@@ -162,6 +162,16 @@ def test_dedup_adversarial(spark, module):
     assert tuples(made, *columns) == sorted(slow(rows))
 
 
+@pytest.mark.parametrize("module", [op6_suffix_dedup, op7_recompression])
+def test_hot_cores_spread(spark, documents, module, monkeypatch):
+    """With nearly every core hot, windows are settled across buckets."""
+    import dataclasses
+
+    monkeypatch.setattr(module, "KIND", dataclasses.replace(module.KIND, hot=1))
+    columns, slow = COLUMNS[module]
+    assert tuples(module.query(spark, SF), *columns) == sorted(slow(documents))
+
+
 def test_dedup_edges(spark, edge, empty):
     for module in (op6_suffix_dedup, op7_recompression):
         assert module.dedup(edge).count() == edge.count() and module.dedup(empty).count() == 0

@@ -8,7 +8,7 @@ anchor's core, the digest of all that its windows cover, and where.  Then
    but its first are repeats, and before the shuffle each task already keeps one record of a class.
 2. where one core has several classes, the units themselves decide: the first record of each class fetches its
    text, suffixes from the anchors on are dealt out by sampled splitters over their leading units, each bucket sorts
-   its windows and compares neighbours, and windows of a core that reaches a bucket's edge meet once more by
+   its windows and compares neighbours, and windows of a hot core that reaches a bucket's edge meet once more by
    digest, so a core of any size may spread over buckets.
 
 Positions are row-wise: (dk, tk, place), where dk is doc_id (a null is the least value) and tk a digest of the text.
@@ -52,6 +52,12 @@ class Kind:
     compare: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]]]
     #: whether a repeat inside one document counts
     within: bool
+    #: cores with more records to compare than this spread over buckets; others are in one whole
+    hot: int = 2000
+
+
+#: In the size of a record's core: it is hot.
+HOT = np.uint16(0x8000)
 
 
 def squeeze(arrays: list[np.ndarray]) -> bytes:
@@ -182,7 +188,9 @@ def _classify(kind: Kind):
             core = np.cumsum(core_new) - 1
             first = np.flatnonzero(core_new)
             classes = number[np.append(first[1:], len(s)) - 1] - number[first] + 1
-            _by_doc(s, np.flatnonzero(~again & (classes[core] > 1)), 1, out)
+            open_ = ~again & (classes[core] > 1)
+            s["size"][np.bincount(core, open_)[core] > kind.hot] |= HOT
+            _by_doc(s, np.flatnonzero(open_), 1, out)
             repeats = [*done, s[again]]
         if repeats and (r := np.concatenate(repeats)).size:
             _by_doc(r, np.arange(len(r)), 0, out)
@@ -199,10 +207,11 @@ def _fetch(kind: Kind):
         for batch in batches:
             for dk, tk, text, blobs in zip(*(batch.column(c) for c in ("dk", "tk", "text", "recs"))):
                 anchor, before, last, size = np.concatenate([np.frombuffer(b, "<u4").reshape(4, -1) for b in blobs.as_py()], 1).astype(np.int64)
+                hot, size = size >= int(HOT), size & (int(HOT) - 1)
                 lead, cover = kind.payload((text.as_py() or "").encode("utf-8"), anchor, before, last, size)
                 n = len(lead)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lead, pa.binary()), pa.array([dk.as_py()] * n, pa.int64()), pa.array([tk.as_py()] * n, pa.int64()), pa.array(anchor - before), pa.array(before - last + 1), pa.array(cover, pa.binary())], names=["lead", "dk", "tk", "start", "n", "cover"]
+                    [pa.array(lead, pa.binary()), pa.array(hot), pa.array([dk.as_py()] * n, pa.int64()), pa.array([tk.as_py()] * n, pa.int64()), pa.array(anchor - before), pa.array(before - last + 1), pa.array(cover, pa.binary())], names=["lead", "hot", "dk", "tk", "start", "n", "cover"]
                 )
 
     return run
@@ -249,7 +258,8 @@ def _compare(kind: Kind):
         table = table.sort_by([("lead", "ascending")])
         lead, cover = table["lead"].to_pylist(), table["cover"]
         dk, tk, start, n = (table[c].to_numpy() for c in ("dk", "tk", "start", "n"))
-        edges = {lead[0], lead[-1]}
+        hot = table["hot"].to_pylist()
+        edges = {lead[i] for i in (0, -1) if hot[i]}
         a = 0
         while a < len(lead):  # blocks end where a core ends
             b, windows = a, 0
@@ -274,8 +284,9 @@ def repeated(docs: DataFrame, kind: Kind, name: str) -> DataFrame:
     few = keys.count() <= MOST_BROADCAST
     picked = texts.join(F.broadcast(keys), "dk", "left_semi") if few else texts
     fetched = picked.join(open_, ["dk", "tk"])
-    suffixes = fetched.select("dk", "tk", "text", "recs").mapInArrow(_fetch(kind), "lead binary, dk long, tk long, start long, n long, cover binary")
-    compared = settled(suffixes.repartitionByRange(n, "lead", "dk", "tk", "start").mapInArrow(_compare(kind), _WINDOWS), f"{name}-windows")
+    suffixes = fetched.select("dk", "tk", "text", "recs").mapInArrow(_fetch(kind), "lead binary, hot boolean, dk long, tk long, start long, n long, cover binary")
+    spread = [F.when(F.col("hot"), F.col(c)) for c in ("dk", "tk", "start")]
+    compared = settled(suffixes.repartitionByRange(n, "lead", *spread).mapInArrow(_compare(kind), _WINDOWS), f"{name}-windows")
     # across boundaries: firsts of a window in several buckets
     order = Window.partitionBy("d1", "d2").orderBy("dk", "tk", "at")
     met = compared.where("d1 IS NOT NULL").withColumns({"k": F.rank().over(order), "low": F.first("dk").over(order)})
