@@ -40,12 +40,22 @@ def volume_alerts(found: DataFrame) -> DataFrame:
     """Ids and signatures for the rows of `volume_loss.silence_alerts` and `drop_alerts`."""
     details = F.col("reasons")[0]["details"]
     at = lambda k: F.get(F.filter(details, lambda d: d["k"] == k), F.lit(0))["v"]
-    drop = at("drop_kind").isNotNull()
+    drop = at("drop_kind") == "sharp_drop"
     last = F.when(drop, "sharp_drop").when(F.col("subject_kind") == "source_stream", "hard_silence").otherwise(at("expected_windows_missed"))
     text = F.concat_ws("\t", "tenant_id", "subject_kind", "subject_key", F.col("window_start_ts").cast("string"), F.col("window_end_ts").cast("string"), F.lit("V_DROP"), last)
     return found.withColumns({"alert_id": ids.stable_id_of(text), "signature": ids.stable_id_of(reason_text(F.lit("V_DROP"), details))})
 
 
+def with_volume(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Row alerts and, with empty features and entities, volume alerts; subject_kind is null for row alerts."""
+    if found is None:
+        return rows
+    out = rows.unionByName(volume_alerts(found), allowMissingColumns=True)
+    empty = {"schema_version": F.lit(1), "score_rarity": F.lit(0.0), "score_drift": F.lit(0.0), **{f"dropped_{c}": F.lit(0) for c in ("features", "words", "shapes")}, "top_features": F.array()}
+    empty["entities"] = F.struct(*[F.array().alias(c) for c in ENTITY_FIELDS.values()])
+    return out.withColumns({c: F.coalesce(c, v.cast(rows.schema[c].dataType)) for c, v in empty.items()})
+
+
 def upsert(alerts: DataFrame, order: str = "window_end_ts") -> DataFrame:
     """One row an alert_id: the last."""
     w = Window.partitionBy("alert_id").orderBy(F.desc(order))

@@ -203,43 +203,112 @@ def stream_catalog(stream_windows: DataFrame) -> DataFrame:
 
 
 def silence_alerts(evaluated: DataFrame) -> DataFrame:
-    """Alert rows of silence candidates, without ids."""
-    d = F.col("subject_kind") == DEVICE
+    """Alert rows of silence candidates, without ids.  Source streams come with device_key and source_path."""
+    d, stream = F.col("subject_kind") == DEVICE, "source_path" in evaluated.columns
     kv = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
     kind = F.when(d, "device").when(F.col("subject_kind") == TENANT, "tenant").otherwise("source_stream")
     details = F.array_compact(F.array(
-        kv("subject_kind", kind), kv("tenant_id", F.col("tenant_id")), F.when(d, kv("device_key", F.col("subject_key"))), kv("window_start_ts", F.col("window_start_ts")), kv("window_end_ts", F.col("window_end_ts")),
+        *([kv("drop_kind", F.lit("hard_silence"))] if stream else []), kv("subject_kind", kind), kv("tenant_id", F.col("tenant_id")), F.when(d, kv("device_key", F.col("subject_key"))), *_stream_details(stream), kv("window_start_ts", F.col("window_start_ts")), kv("window_end_ts", F.col("window_end_ts")),
         kv("last_seen_ts", F.col("last_we")), kv("expected_windows_missed", F.col("missed")), kv("expected_lines", F.col("expected_lines")), kv("observed_lines", F.col("observed_lines")),
         kv("drop_ratio", F.format_string("%.6f", F.col("drop_ratio"))), kv("bucket", F.col("last_bucket")),
     ))
-    return _alert(evaluated.where("suppression IS NULL"), "expected log activity was not observed for this subject", details, F.lit(0), F.lit(0), F.col("last_bucket"), kind)
+    of, name = _named(stream, kind)
+    score = F.format_string("%.3f", F.col("drop_ratio"))
+    analyst = F.concat(F.lit("V_DROP hard_silence score " if stream else "V_DROP score "), score, F.lit(". Expected "), F.col("expected_lines"), F.lit(" lines over "), F.col("missed"), F.lit(" missed windows for "), of, F.lit("; observed 0 lines since "), F.col("last_we"), F.lit("."))
+    customer = F.concat(F.lit("Expected log activity was not observed for "), name, F.lit(". The last observed window ended at "), F.col("last_we"), F.lit("."))
+    msg = f"expected log activity was not observed for this {'source stream' if stream else 'subject'}"
+    return _alert(evaluated.where("suppression IS NULL"), msg, details, F.lit(0), F.lit(0), F.col("last_bucket"), kind, analyst, customer)
+
+
+def _stream_details(stream: bool) -> list[Column]:
+    kv = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
+    return [kv("device_key", F.col("device_key")), kv("source_stream_id", F.col("subject_key")), kv("source_path", F.col("source_path"))] if stream else []
+
+
+def _named(stream: bool, kind: Column) -> tuple[Column, Column]:
+    """A subject as the summaries for analysts and customers name it."""
+    if not stream:
+        return (F.concat_ws(" ", kind, "subject_key"),) * 2
+    return tuple(F.concat(F.lit("source stream "), F.col(c), F.lit(" on device "), F.col("device_key")) for c in ("subject_key", "source_path"))
 
 
 def drop_alerts(evaluated: DataFrame, kind: int, gates: DropGates = DropGates()) -> DataFrame:
-    d = F.lit(kind == DEVICE)
+    d, stream = F.lit(kind == DEVICE), kind == STREAM and "source_path" in evaluated.columns
     kv = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
     six = lambda c: F.format_string("%.6f", c.cast("double"))
     name = {DEVICE: "device", TENANT: "tenant", STREAM: "source_stream"}[kind]
     details = F.array_compact(F.array(
-        kv("drop_kind", F.lit("sharp_drop")), kv("subject_kind", F.lit(name)), kv("tenant_id", F.col("tenant_id")), F.when(d, kv("device_key", F.col("subject_key"))), kv("window_start_ts", F.col("ws")), kv("window_end_ts", F.col("we")),
+        kv("drop_kind", F.lit("sharp_drop")), kv("subject_kind", F.lit(name)), kv("tenant_id", F.col("tenant_id")), F.when(d, kv("device_key", F.col("subject_key"))), *_stream_details(stream), kv("window_start_ts", F.col("ws")), kv("window_end_ts", F.col("we")),
         kv("bucket", F.col("bucket")), kv("expected_lines", six(F.col("mean_lines"))), kv("observed_lines", F.col("lines")), kv("observed_expected_ratio", six(F.col("ratio").cast("float"))), kv("drop_ratio", six(F.col("drop_ratio").cast("float"))),
         kv("baseline_n", F.col("maturity")), kv("baseline_mean_lines", six(F.col("mean_lines"))), kv("baseline_stddev_lines", six(F.col("sd_lines"))), kv("z_drop", F.coalesce(six(F.col("z_drop").cast("float")), F.lit("none"))),
         kv("max_observed_expected_ratio", six(F.lit(gates.max_ratio))), kv("min_drop_ratio", six(F.lit(gates.min_drop))), kv("min_absolute_drop_lines", six(F.lit(gates.min_absolute))),
         kv("expected_bytes", six(F.col("mean_bytes"))), kv("observed_bytes", F.col("bytes")), kv("absolute_drop_lines", six(F.col("absolute_drop"))),
     ))
     found = evaluated.where("suppression IS NULL").withColumns({"subject_kind": F.lit(kind), "window_start_ts": F.col("ws"), "window_end_ts": F.col("we")})
-    return _alert(found, "log volume dropped sharply but did not stop for this subject", details, F.col("lines"), F.col("bytes"), F.col("bucket"), F.lit(name))
+    of, named = _named(stream, F.lit(name))
+    analyst = F.concat(F.lit("V_DROP sharp_drop score "), F.format_string("%.3f", F.col("drop_ratio")), F.lit(". Expected "), six(F.col("mean_lines")), F.lit(" lines for "), of, F.lit("; observed "), F.col("lines"), F.lit(" lines, drop ratio "), six(F.col("drop_ratio").cast("float")), F.lit("."))
+    customer = F.concat(F.lit("Log activity dropped sharply but did not stop for "), named, F.lit(" during this window."))
+    msg = f"log volume dropped sharply but did not stop for this {'source stream' if stream else 'subject'}"
+    return _alert(found, msg, details, F.col("lines"), F.col("bytes"), F.col("bucket"), F.lit(name), analyst, customer)
 
 
-def _alert(found: DataFrame, msg: str, details: Column, lines: Column, size: Column, bucket: Column, kind: Column) -> DataFrame:
+def _alert(found: DataFrame, msg: str, details: Column, lines: Column, size: Column, bucket: Column, kind: Column, analyst: Column, customer: Column) -> DataFrame:
     reason = F.struct(F.lit("V_DROP").alias("code"), F.lit(msg).alias("msg"), details.alias("details"))
+    stream = "source_path" in found.columns
+    device = F.when(F.col("subject_kind") == TENANT, "__tenant__").otherwise(F.col("device_key" if stream else "subject_key"))
     return found.select(
-        "tenant_id", kind.alias("subject_kind"), "subject_key", F.when(F.col("subject_kind") == TENANT, "__tenant__").otherwise(F.col("subject_key")).alias("device_key"), "window_start_ts", "window_end_ts",
+        "tenant_id", kind.alias("subject_kind"), "subject_key", device.alias("device_key"), *(["source_path"] if stream else []), "window_start_ts", "window_end_ts",
         (F.col("window_end_ts") - F.col("window_start_ts")).cast("int").alias("window_size_s"), bucket.cast("int").alias("bucket"), F.lit("info").alias("label"), F.lit("medium").alias("confidence"), F.lit(False).alias("cold_start"),
-        F.col("drop_ratio").cast("float").alias("score_total"), F.col("drop_ratio").cast("float").alias("score_volume"), F.array(reason).alias("reasons"), lines.cast("long").alias("lines"), size.cast("long").alias("bytes"),
+        F.col("drop_ratio").cast("float").alias("score_total"), F.col("drop_ratio").cast("float").alias("score_volume"), F.array(reason).alias("reasons"), analyst.alias("summary_analyst"), customer.alias("summary_customer"), lines.cast("long").alias("lines"), size.cast("long").alias("bytes"),
     )
 
 
+@dataclass(frozen=True)
+class Volume:
+    """Which subjects are watched, and their gates; sharp drops take the maturity and line floors of silences."""
+
+    device: bool = True
+    tenant: bool = True
+    stream: bool = False
+    gates: SilenceGates = SilenceGates()
+
+    def drops(self, kind: int) -> DropGates:
+        lines = float(self.gates.min_lines)
+        return DropGates(min_maturity=2 if kind == TENANT else self.gates.min_mature, min_expected=lines, min_absolute=lines)
+
+
+def loss_alerts(rows: DataFrame, size: int, eval_ts: Column, volume: Volume = Volume(), min_lines: int = 10, streams: DataFrame | None = None) -> DataFrame | None:
+    """Alert rows, without ids, in the order of priority: silences of devices and of tenants at eval_ts, drops of those that are not
+    silent, then source streams (streams: as of `stream_rows`).  None where nothing is watched."""
+    found, silent = [], {}
+    for kind, on in ((DEVICE, volume.device), (TENANT, volume.tenant)):
+        if on:
+            got = evaluate_silence(expected_state(rows, kind, size, min_lines), eval_ts, volume.gates)
+            found.append(silence_alerts(got))
+            silent[kind] = got.where("suppression IS NULL").select("tenant_id", "subject_key")
+    volumes = expected_volume(rows)
+
+    def drops(windows: DataFrame, kind: int, key: str, quiet: DataFrame) -> DataFrame:
+        loud = windows.withColumn("subject_key", F.col(key)).join(quiet, ["tenant_id", "subject_key"], "left_anti")
+        keys = ["tenant_id", "device_key", "subject_key"] if kind == STREAM else ["tenant_id", "subject_key"]
+        return drop_alerts(emitted_drops(evaluate_drop(loud, volume.drops(kind)), keys), kind, volume.drops(kind))
+
+    if volume.device:
+        found.append(drops(volumes, DEVICE, "device_key", silent[DEVICE]))
+    if volume.tenant:
+        found.append(drops(tenant_windows(volumes, volume.drops(DEVICE), silent.get(DEVICE)), TENANT, "tenant_id", silent[TENANT]))
+    if volume.stream and streams is not None:
+        named = stream_catalog(streams).select("tenant_id", F.col("source_stream_id").alias("subject_key"), "device_key", "source_path")
+        got = evaluate_silence(expected_state(streams, STREAM, size, min_lines), eval_ts, volume.gates)
+        quiet = got.where("suppression IS NULL")
+        found.append(silence_alerts(quiet.join(named, ["tenant_id", "subject_key"])))
+        found.append(drops(expected_volume(streams, "source_stream_id"), STREAM, "source_stream_id", quiet.select("tenant_id", "subject_key")))
+    out = None
+    for part in found:
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def diagnostics(silences: DataFrame, drops: DataFrame) -> DataFrame:
     """Counts of evaluated, candidate and suppressed subjects by tenant, and over all (tenant_id null)."""
     both = silences.select("tenant_id", F.lit("silence").alias("what"), "suppression").unionByName(drops.select("tenant_id", F.lit("sharp_drop").alias("what"), "suppression"))

@@ -43,7 +43,11 @@ def capped(lines: DataFrame, size: int, caps: dict[str, int] = FEATURE_CAPS) ->
     come first and the total ranks only what they let through.
     """
     each = with_window(lines, size).select(*KEY, "seq", F.explode("features").alias("feature"))
-    found = each.groupBy(*KEY, "feature").agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
+    return _admitted(each.groupBy(*KEY, "feature").agg(F.count("*").alias("n"), F.min("seq").alias("seq")), caps)
+
+
+def _admitted(found: DataFrame, caps: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """As capped, of row features with n and seq, the place of their first line."""
     fam = families.family(F.col("feature"))
     found = found.withColumns({"class": families.cap_class(F.col("feature")), "place": F.struct("seq", families.family_order(fam).alias("o"), "feature")})
     by_class = Window.partitionBy(*KEY, "class").orderBy("place")
@@ -71,16 +75,31 @@ def ranked(counted: DataFrame, caps: dict[str, int] = ENTITY_CAPS) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most[F.col("kind")])
 
 
-def items(events: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(row features, entity counts) of event rows from one aggregation: what parsing gave is counted once for both."""
+def _items(events: DataFrame, *order: str) -> DataFrame:
+    """Windowed event rows with one row a feature (kind 'feature') or entity."""
     one = lambda kind, value: F.struct(kind.alias("kind"), value.alias("value"))
     both = F.concat(F.transform("features", lambda f: one(F.lit("feature"), f)), F.transform("entities", lambda e: one(e["kind"], e["value"])))
-    each = with_window(events, size).select(*KEY, F.explode_outer(both).alias("x")).select(*KEY, "x.kind", "x.value").where("kind IS NOT NULL")
-    counted = each.groupBy(*KEY, "kind", "value").agg(F.count("*").alias("n"))
+    return events.select(*KEY, *order, F.explode_outer(both).alias("x")).select(*KEY, *order, "x.kind", "x.value").where("kind IS NOT NULL")
+
+
+def items(events: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(row features, entity counts) of event rows from one aggregation: what parsing gave is counted once for both."""
+    counted = _items(with_window(events, size)).groupBy(*KEY, "kind", "value").agg(F.count("*").alias("n"))
     features = counted.where("kind = 'feature'").select(*KEY, F.col("value").alias("feature"), F.least("n", F.lit(4_294_967_295)).alias("n"))
     return features, counted.where("kind <> 'feature'")
 
 
+def ordered_items(events: DataFrame, size: int) -> DataFrame:
+    """KEY, kind, value, n, seq (the first line) of the features (kind 'feature') and entities of event rows."""
+    return _items(with_window(events, size), "seq").groupBy(*KEY, "kind", "value").agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
+
+
+def capped_items(counted: DataFrame, caps: dict[str, int] = FEATURE_CAPS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row features admitted, drop counters per row, entity counts) of ordered_items."""
+    kept, drops = _admitted(counted.where("kind = 'feature'").select(*KEY, F.col("value").alias("feature"), "n", "seq"), caps)
+    return kept.withColumn("n", F.least("n", F.lit(4_294_967_295))), drops, counted.where("kind <> 'feature'").drop("seq")
+
+
 def entities_wide(top: DataFrame) -> DataFrame:
     """One row a window: src_ips, dst_ips, user_ids, domains, hosts as arrays of (value, count)."""
     names = {"SourceIp": "src_ips", "DestIp": "dst_ips", "UserId": "user_ids", "Domain": "domains", "Host": "hosts"}

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.envelope import with_envelope
 from ..functions.features import emitted
+from ..functions.ids import source_stream_id
 from ..functions.tokens import tokenize
-from ..operators import alerts, provenance, scoring, windows
+from ..llm.common import settled
+from ..operators import alerts, provenance, scoring, volume_loss, windows
 
 
 def dated(lines: DataFrame, ingest_ts: int = 0, since: int | None = None, until: int | None = None) -> DataFrame:
@@ -27,20 +31,65 @@ def dated(lines: DataFrame, ingest_ts: int = 0, since: int | None = None, until:
 
 def parsed(lines: DataFrame, ingest_ts: int = 0, since: int | None = None, until: int | None = None, header: list[str] | None = None) -> DataFrame:
     """One row an event of a line: its other columns, ts, features and entities."""
-    out = dated(lines, ingest_ts, since, until)
-    out = out.withColumns({"pri": F.col("p.pri"), "app": F.col("p.app"), "version": F.col("p.version"), "msg": F.col("p.msg")}).drop("p")
+    return _events(dated(lines, ingest_ts, since, until), header)
+
+
+def _events(timed: DataFrame, header: list[str] | None = None) -> DataFrame:
+    out = timed.withColumns({"pri": F.col("p.pri"), "app": F.col("p.app"), "version": F.col("p.version"), "msg": F.col("p.msg")}).drop("p")
     return emitted(out.withColumn("events", tokenize(F.col("msg"), header)).drop("msg"))
 
 
-def analyze(lines: DataFrame, size: int = 60, thresholds: scoring.Thresholds = scoring.Thresholds(), ingest_ts: int = 0, since: int | None = None, until: int | None = None) -> DataFrame:
-    """Alerts of raw lines (tenant_id, device_key, line, byte_len); with provenance where lines have offsets."""
-    timed = dated(lines, ingest_ts, since, until)
-    rows = windows.rows(timed, size)
-    features, counted = windows.items(parsed(lines, ingest_ts, since, until), size)
-    got, seen = scoring.scored(rows, features, size, thresholds)
-    out = alerts.row_alerts(scoring.labelled(got, seen, windows.entities_wide(windows.ranked(counted)), thresholds), size)
+def _placed(lines: DataFrame) -> DataFrame:
+    """lines with seq, the order in which caps admit: as given, else by file (plain before gzip) and place, else by line text."""
+    if "seq" in lines.columns:
+        return lines
     if "offset_start" not in lines.columns:
+        return lines.withColumn("seq", F.xxhash64("line"))
+    number = ["line_no"] if "line_no" in lines.columns else []
+    return lines.withColumn("seq", F.struct("is_gzip", "file_rel", "offset_start", *number)).drop(*number)
+
+
+def analyze(
+    lines: DataFrame, size: int = 60, thresholds: scoring.Thresholds = scoring.Thresholds(), ingest_ts: int = 0, since: int | None = None, until: int | None = None, eval_ts: int | None = None,
+    volume: volume_loss.Volume | None = volume_loss.Volume(), feature_caps: dict[str, int] = windows.FEATURE_CAPS, entity_caps: dict[str, int] = windows.ENTITY_CAPS,
+) -> DataFrame:
+    """Alerts of raw lines (tenant_id, device_key, line, byte_len), of rows and of lost volume (volume: None for none), silences
+    as of eval_ts (else now); with provenance where lines have offsets, which source streams need too.
+
+    Dated lines, counts and rows are written to the shared folder, so lines are parsed once, before this returns.
+    """
+    timed = settled(dated(_placed(lines), ingest_ts, since, until), "dated")
+    rows = settled(windows.rows(timed, size), "rows")
+    features, drops, counted = windows.capped_items(settled(windows.ordered_items(_events(timed), size), "items"), feature_caps)
+    features = settled(features, "features")
+    got, seen = scoring.scored(rows, features, size, thresholds)
+    lost = ["dropped_features", "dropped_words", "dropped_shapes"]
+    got = settled(got.join(drops, windows.KEY, "left").fillna(0, lost), "scores")
+    labelled = scoring.labelled(got, settled(seen, "seen"), windows.entities_wide(windows.ranked(counted, entity_caps)), thresholds)
+    out = alerts.row_alerts(labelled, size)
+    from_files = "offset_start" in lines.columns
+    watched = volume is not None and volume.stream and from_files
+    named = timed.withColumn("source_path", volume_loss.canonical_path(F.col("file_rel"))).where("source_path IS NOT NULL") if watched else None
+    streams = settled(volume_loss.stream_rows(named.withColumn("source_stream_id", F.lit(None).cast("string")), size), "streams") if watched else None
+    if watched:
+        streams = settled(streams.withColumn("source_stream_id", source_stream_id(F.col("tenant_id"), F.col("device_key"), F.col("source_path"))), "streams")
+    if volume is not None:
+        at = F.lit(int(time.time()) if eval_ts is None else eval_ts)
+        out = alerts.with_volume(out, volume_loss.loss_alerts(rows, size, at, volume, thresholds.min_lines, streams))
+    if not from_files:
         return out
-    keys = ["tenant_id", "device_key", "device_dir", "ws"]
-    spans = provenance.spans(windows.with_window(timed, size), keys).withColumnRenamed("ws", "window_start_ts")
-    return out.join(spans, ["tenant_id", "device_key", "window_start_ts"], "left")
+    out = settled(out, "alerts")
+    for c in ("subject_kind", "source_path"):
+        out = out if c in out.columns else out.withColumn(c, F.lit(None).cast("string"))
+    # silences have no lines of their own; a drop of a stream has those of its file
+    has_lines = F.col("subject_kind").isNull() | (F.get("reasons", F.lit(0))["details"][0]["v"] == "sharp_drop")
+    of = ["tenant_id", "device_key", "ws"]
+    in_window = windows.with_window(timed, size)
+    spans = provenance.spans(in_window, [*of, "device_dir"]).withColumn("source_path", F.lit(None).cast("string"))
+    if watched:
+        by_file = provenance.spans(windows.with_window(named, size), [*of, "device_dir", "source_path"])
+        spans = spans.unionByName(by_file)
+    spans = spans.withColumnsRenamed({c: f"_{c}" for c in (*of, "source_path")})
+    same = (out.tenant_id == F.col("_tenant_id")) & (out.device_key == F.col("_device_key")) & (out.window_start_ts == F.col("_ws")) & out.source_path.eqNullSafe(F.col("_source_path")) & has_lines
+    out = out.join(spans, same, "left").drop(*[f"_{c}" for c in (*of, "source_path")])
+    return out.withColumn("provenance", F.coalesce("provenance", F.array().cast(spans.schema["provenance"].dataType)))

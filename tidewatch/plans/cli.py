@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--tenant")
     one.add_argument("--since", type=int)
     one.add_argument("--until", type=int)
+    one.add_argument("--eval-ts", type=int, help="when silences are judged (else now)")
     for name in ("list", "search", "show", "export", "drill"):
         a = sub.add_parser(f"alerts-{name}")
         a.add_argument("--table", required=True)
@@ -110,7 +111,9 @@ def _oneshot(args, cfg) -> int:
     if args.tenant:
         lines = lines.where(F.col("tenant_id") == args.tenant)
     lines = lines.withColumn("device_key", device_key(F.col("tenant_id"), F.col("device_dir")))
-    alerts.write_table(analyze(lines, cfg["ingest"]["window_size_s"], t, since=args.since, until=args.until), args.out)
+    features, entities = config.caps(cfg)
+    found = analyze(lines, cfg["ingest"]["window_size_s"], t, since=args.since, until=args.until, eval_ts=args.eval_ts, volume=config.volume(cfg), feature_caps=features, entity_caps=entities)
+    alerts.write_table(found, args.out)
     return 0
 
 

@@ -117,6 +117,22 @@ def silence_gates(cfg: dict[str, dict], policy: dict | None = None):
     return SilenceGates(pick(policy.get("vdrop_min_mature_windows"), v["min_mature_windows"], mature), pick(policy.get("vdrop_min_expected_windows_missed"), v["min_expected_windows_missed"]), pick(policy.get("vdrop_min_expected_lines"), v["min_expected_lines"], s["min_lines_per_window"]))
 
 
+def volume(cfg: dict[str, dict], policy: dict | None = None):
+    """What is watched for lost volume, or None where [vdrop] is off."""
+    from ..operators.volume_loss import Volume
+
+    policy, v = policy or {}, cfg["vdrop"]
+    on = lambda name: policy.get(f"vdrop_{name}", v[name])
+    return Volume(on("device_enabled"), on("tenant_enabled"), streams_enabled(cfg, policy), silence_gates(cfg, policy)) if on("enabled") else None
+
+
+def caps(cfg: dict[str, dict]) -> tuple[dict[str, int], dict[str, int]]:
+    """(caps of a row's features by class, of its entities by kind)."""
+    c = cfg["caps"]
+    classes = {n: c[f"max_{n.lower()}_features_per_window"] for n in ("Word", "Shape", "Syslog")} | {"all": c["max_features_per_window"]}
+    return classes, {"SourceIp": c["max_srcips"], "DestIp": c["max_dstips"], "UserId": c["max_userids"], "Domain": c["max_domains"], "Host": c["max_hosts"]}
+
+
 def streams_enabled(cfg: dict[str, dict], policy: dict | None = None) -> bool:
     policy = policy or {}
     return policy.get("vdrop_enabled", cfg["vdrop"]["enabled"]) and policy.get("vdrop_source_stream_enabled", cfg["vdrop"]["source_stream_enabled"])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Suffixes that are read; the caps of a line.
 SUFFIXES = (".log", ".txt", ".json", ".csv", ".cef", ".gz", ".zlg")
 MOST_LINE = 16_384
-LINES = "tenant_id string, device_dir string, file_rel string, offset_start long, offset_end long, is_gzip boolean, byte_len long, line string"
+LINES = "tenant_id string, device_dir string, file_rel string, offset_start long, offset_end long, is_gzip boolean, byte_len long, line string, line_no long"
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
@@ -102,7 +102,7 @@ def lines_of(name: str, data: bytes, most: int = MOST_LINE, start: int = 0):
 
 
 def read_lines(spark: SparkSession, root: str, most: int = MOST_LINE, cursors: DataFrame | None = None) -> DataFrame:
-    """Lines with offsets.  cursors (file_key columns and offset): where to go on; absent files start at 0."""
+    """Lines with offsets and their number in what was read of the file.  cursors (file_key columns and offset): where to go on; absent files start at 0."""
     keys = ["tenant_id", "device_dir", "file_rel"]
     files = discover(spark, root)
     if cursors is not None:
@@ -116,7 +116,7 @@ def read_lines(spark: SparkSession, root: str, most: int = MOST_LINE, cursors: D
         for pdf in batches:
             out = []
             for t, d, name, gz, offset, data in zip(pdf.tenant_id, pdf.device_dir, pdf.file_rel, pdf.is_gzip, pdf.offset, pdf.content):
-                out += [(t, d, name, a, b, gz, n, line) for a, b, n, line in lines_of(name, data, most, offset)]
+                out += [(t, d, name, a, b, gz, n, line, i) for i, (a, b, n, line) in enumerate(lines_of(name, data, most, offset))]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in LINES.split(", ")])
 
     return files.join(content, "path").select(*keys, "is_gzip", "offset", "content").mapInPandas(run, LINES)
