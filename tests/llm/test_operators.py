@@ -185,6 +185,20 @@ def test_dedup_edges(spark, edge, empty):
     assert sorted({r.doc_id for r in op8_bottomk.dedup(edge).collect() if r.doc_id and r.doc_id >= 20}) == [20, 23]
 
 
+def test_repeated_ids(spark):
+    """Rows that repeat a doc_id are judged by their own texts; of equal rows one is kept."""
+    rng = random.Random(6)
+    texts = {k: [f"{k}{rng.random()}" for _ in range(120)] for k in "abcd"}
+    near = lambda k: " ".join(["other", *texts[k][1:]])
+    t = {k: " ".join(v) for k, v in texts.items()}
+    rows = [(3, t["b"]), (5, t["a"]), (5, near("b")), (7, t["c"]), (7, t["c"]), (8, near("c")), (9, t["d"]), (9, near("d")), (None, t["a"]), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = tuples(op8_bottomk.near_duplicates(docs).where("n_shingles > 0 AND doc_id IS NOT NULL"), "doc_id", "component_id", "kept")
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 7, False), (7, 7, True), (8, 7, False), (9, 9, False), (9, 9, True)]
+    kept = [(r.doc_id, r.text) for r in op8_bottomk.dedup(docs, 85).collect()]
+    assert len(kept) == 7 and {(3, t["b"]), (5, t["a"]), (7, t["c"]), (None, t["a"]), (4, None), (4, "")} < set(kept)
+
+
 def test_urls(spark, duck):
     import pandas as pd
 

@@ -18,7 +18,8 @@ such a group gives few pairs instead of all.  Full sets confirm these pairs too.
 
 Defined cases: documents with fewer than 5 words have their whole sequence as one shingle; without words, or with
 null text, a document is linked with nothing; a null doc_id is linked with nothing, has a null component and is
-kept; rows that repeat a doc_id are judged each by their own text; an empty table gives an empty result; extra columns stay with `dedup`.
+kept; rows that repeat a doc_id are judged each by their own text, and of the rows of a component's least doc_id one is
+kept, that of the least digest of the text; an empty table gives an empty result; extra columns stay with `dedup`.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, d1, d2 (digests of the set), sketch (its K least values in order)."""
+    """row, doc_id, tie (a digest of the text), n, d1, d2 (digests of the set), sketch (its K least values in order)."""
 
     def run(batches):
         for batch in batches:
@@ -86,9 +87,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 d1, d2 = ((s[upto[1:]] - s[upto[:-1]]).view(np.int64) for s in sums)
                 place = np.arange(len(h)) - np.repeat(upto[:-1], n)
                 sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(n, K))]), pa.int32()), pa.array(_signed(h[place < K])))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(n)), pa.array(n.astype(np.int64)), pa.array(d1), pa.array(d2), sketch], names=["doc_id", "n", "d1", "d2", "sketch"])
+                own = [batch.column(c).slice(row, len(n)) for c in ("row", "doc_id", "tie")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), pa.array(d1), pa.array(d2), sketch], names=["row", "doc_id", "tie", "n", "d1", "d2", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text")
+    return rows.mapInArrow(run, "row long, doc_id long, tie long, n long, d1 long, d2 long, sketch array<long>")
 
 
 def least_shared(similarity: float) -> int:
@@ -191,6 +194,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     All that runs Python is done on return, in Arrow batches of BATCH rows at most.
     """
+    return _judged(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """near_duplicates with tie, a digest of the text."""
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(name)
     conf.set(name, str(BATCH if int(before) <= 0 else min(BATCH, int(before))))
@@ -200,10 +208,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         conf.set(name, before)
 
 
+def _own_ids(docs: DataFrame, classes: DataFrame, again: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, docs) where doc_ids repeat (again): classes of such an id get ids of their own, digests, which their first
+    text has in docs too; no two rows of docs have one id."""
+    named = classes.join(again, classes.doc == again.doc_id).select("d1", "d2", "n", "doc", "tie", F.xxhash64("doc", "d1", "d2", "n").alias("own"))
+    named = settled(named, "named")
+    classes = classes.join(named.select("d1", "d2", "n", "own"), ["d1", "d2", "n"], "left").withColumn("id", F.coalesce("own", "id")).drop("own")
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    first = each.join(again, "doc_id", "left_semi").withColumn("tie", F.xxhash64("text")).join(named.withColumnRenamed("doc", "doc_id"), ["doc_id", "tie"])
+    first = first.select(F.col("own").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    return settled(classes, "classes"), each.join(again, "doc_id", "left_anti").unionByName(first)
+
+
 def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     similarity = percent / 100
     made = settled(sketches(docs), "sketches")
-    classes = settled(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
+    classes = made.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first("sketch").alias("sketch"))
+    classes = settled(classes.select("d1", "d2", "n", F.col("least.doc_id").alias("id"), F.col("least.doc_id").alias("doc"), "least.tie", "sketch"), "classes")
+    again = settled(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id"), "again")
+    repeats = again.count() > 0
+    if repeats:
+        classes, docs = _own_ids(docs, classes, again)
     lists = settled(inverted(classes, similarity), "lists")
     pivots = lists.groupBy("v", "band").agg(F.min("id").alias("a"), F.min_by("n", "id").alias("na"), F.count("*").alias("m")).where("m > 1")
     near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
@@ -219,17 +244,39 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     sets = settled(full_sets(docs, left.select("id")), "sets")
     more = _links(prefix_pairs(sets, left, percent), sets, percent)
     found = components(links.unionByName(more))
-    named = classes.select("d1", "d2", "n", "id").join(found, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("c"))
-    out = made.select("doc_id", "d1", "d2", "n").join(named, ["d1", "d2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = classes.select("d1", "d2", "n", "id", "doc").join(found, "id", "left").select("d1", "d2", "n", "doc", F.coalesce("component", "id").alias("c"))
+    if repeats:  # ids are not all doc_ids: a component's least doc_id is that of its classes
+        named = settled(named, "components")
+        named = named.join(named.groupBy("c").agg(F.min("doc").alias("least")), "c")
+    else:
+        named = named.withColumn("least", F.col("c"))
+    out = made.select("row", "doc_id", "tie", "d1", "d2", "n").join(named.drop("doc"), ["d1", "d2", "n"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    out = out.select("row", "doc_id", "tie", "c", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    if repeats:
+        out = settled(out, "judged")
+        first = out.where("kept AND c IS NOT NULL").join(again, "doc_id", "left_semi").groupBy("c", "doc_id").agg(F.min(F.struct("tie", "row")).alias("first"))
+        out = out.join(first, ["c", "doc_id"], "left").withColumn("kept", F.col("kept") & F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "tie")
 
 
 def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near duplicates, the one of least doc_id."""
-    gone = settled(near_duplicates(docs.select("doc_id", "text"), percent).where("NOT kept").select("doc_id").distinct(), "gone")
-    few = gone.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one document of each group of near duplicates, the one of least doc_id.
+
+    Rows are met again by doc_id and digest; of rows that agree in both, where not all are kept, one is.
+    """
+    judged = _judged(docs.select("doc_id", "text"), percent).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_dk"), F.col("tie").alias("_tk"))
+    cut = settled(judged.agg(F.bool_or("kept").alias("one"), F.bool_and("kept").alias("all")).where("NOT all").select("_dk", "_tk", "one"), "gone")
+    counts = {r["one"]: r["count"] for r in cut.groupBy("one").count().collect()}
+    if sum(counts.values()) <= MOST_BROADCAST:
+        cut = F.broadcast(cut)
+    keyed = docs.withColumns({"_dk": F.col("doc_id").cast("long"), "_tk": F.xxhash64("text")})
+    kept = keyed.join(cut, ["_dk", "_tk"], "left_anti").select(*docs.columns)
+    if True not in counts:
+        return kept
+    row = F.struct(*docs.columns)
+    once = keyed.join(cut.where("one"), ["_dk", "_tk"], "left_semi").groupBy("_dk", "_tk").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("r"))
+    return kept.unionByName(once.select("r.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
