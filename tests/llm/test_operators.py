@@ -232,6 +232,14 @@ def test_token_blocks(spark, edge, documents, empty):
     assert op10_token_blocks.read_tokens(spark, op10_token_blocks.write_tokens(empty, op10_token_blocks.vocabulary())).count() == 0
 
 
+def test_secret_repositories(spark):
+    live = "Zx9Kq2Lm7Np4Rt8Vw3Yb6Tg1"
+    docs = spark.createDataFrame([(1, f"{live} token=abcdefghijkl0", "a", "en"), (2, live, "a", "de"), (3, "token=abcdefghijkl0", "b", None), (4, None, "b", "en")], "doc_id long, text string, source string, lang string")
+    got = op2_secret_scan.secrets(docs, repo=docs.lang, owner=docs.source).collect()
+    uses = {r.doc_id: [(u.start, u.kind, u.n_repos, u.n_owners, u.n_uses) for u in r.uses] for r in got}
+    assert uses == {1: [(0, 3, 2, 1, 2), (25, 0, 2, 2, 2)], 2: [(0, 3, 2, 1, 2)], 3: [(0, 0, 2, 2, 2)], 4: []}
+
+
 def test_ranks_are_whole():
     ranks = op5_bpe.read_ranks(op5_bpe.vocabulary())
     assert base64.b64encode(b"a") and len(ranks) == 50_256

@@ -4,7 +4,8 @@ Base patterns find assignments, access keys and hex runs in every whole text.  T
 other runs of 24 or more characters that look random.  The digests of all candidate values are counted by
 distinct repositories and owners over the whole corpus; a value of few owners is owner-specific and looks live, a
 value of many is a widely copied example.  A token span stays if its value is owner-specific; base spans stay
-always, and `n_live` and `n_copied` tell their values apart.
+always, and `n_live` and `n_copied` tell their values apart.  Owners alone decide: a secret that its one owner keeps
+in many repositories is still a secret.  The numbers of repositories, owners and uses are given with each span.
 
 A span is the whole match, in code points, end exclusive.  Defined cases: null or empty texts have no spans; a
 null repository or owner counts as one of its own; repeated rows are judged each; an empty table gives an empty
@@ -96,21 +97,25 @@ def ownership(scanned: DataFrame) -> DataFrame:
 
 
 def secrets(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, most_owners: int = 1) -> DataFrame:
-    """row, doc_id, tie (a digest of the text), base and all spans (arrays of start, kind, end), n_live and n_copied of the base values."""
+    """row, doc_id, tie (a digest of the text), base and all spans (arrays of start, kind, end), n_live and n_copied of the base values,
+    uses (all spans with n_repos, n_owners and n_uses of their values)."""
     scanned = settled(scan(docs, repo if repo is not None else F.col("source"), owner if owner is not None else F.col("source")), "secrets")
-    owned = ownership(scanned).select("value", (F.col("n_owners") <= most_owners).alias("live"))
+    owned = ownership(scanned).select("value", "n_repos", "n_owners", "n_uses", (F.col("n_owners") <= most_owners).alias("live"))
     each = scanned.where(F.size("values") > 0).select("row", F.explode(F.arrays_zip("starts", "kinds", "ends", "values")).alias("x"))
     each = each.select("row", "x.starts", "x.kinds", "x.ends", F.col("x.values").alias("value")).join(owned, "value")
     span = F.struct(F.col("starts").alias("start"), F.col("kinds").alias("kind"), F.col("ends").alias("end"))
+    counted = F.struct(F.col("starts").alias("start"), F.col("kinds").alias("kind"), F.col("ends").alias("end"), F.col("n_repos").cast("long").alias("n_repos"), F.col("n_owners").cast("long").alias("n_owners"), F.col("n_uses").cast("long").alias("n_uses"))
     base = F.col("kinds") < 3
     found = each.groupBy("row").agg(
         F.sort_array(F.collect_list(F.when(base, span))).alias("base"),
         F.sort_array(F.collect_list(F.when(base | F.col("live"), span))).alias("spans"),
         F.count_if(base & F.col("live")).alias("n_live"),
         F.count_if(base & ~F.col("live")).alias("n_copied"),
+        F.sort_array(F.collect_list(F.when(base | F.col("live"), counted))).alias("uses"),
     )
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return scanned.select("row", "doc_id", "tie").join(found, "row", "left").select("row", "doc_id", "tie", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+    unused = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,n_repos:bigint,n_owners:bigint,n_uses:bigint>>")
+    return scanned.select("row", "doc_id", "tie").join(found, "row", "left").select("row", "doc_id", "tie", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"), F.coalesce("uses", unused).alias("uses"))
 
 
 def joined(spans: str) -> Column:
@@ -150,4 +155,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     found = secrets(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), "n_live", "n_copied")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), "n_live", "n_copied", F.array_join(F.transform("uses", lambda u: u["n_repos"].cast("string")), ",").alias("n_repos"))
