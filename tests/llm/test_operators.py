@@ -232,6 +232,18 @@ def test_token_blocks(spark, edge, documents, empty):
     assert op10_token_blocks.read_tokens(spark, op10_token_blocks.write_tokens(empty, op10_token_blocks.vocabulary())).count() == 0
 
 
+def test_added_tokens():
+    """Texts with added tokens get the ids of the library."""
+    from tokenizers import Tokenizer
+
+    path = op10_token_blocks.vocabulary()
+    t = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", None, "plain text", "<|endoftext|>", "", "x<|endoftext|><|endoftext|>", "é's <|endoftext|", *["y <|endoftext|>"] * 70]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    got = [x.tolist() for _, counts, ids in op10_token_blocks.encoded([batch], path, 2) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts] and 50_256 in got[0]
+
+
 def test_secret_repositories(spark):
     live = "Zx9Kq2Lm7Np4Rt8Vw3Yb6Tg1"
     docs = spark.createDataFrame([(1, f"{live} token=abcdefghijkl0", "a", "en"), (2, live, "a", "de"), (3, "token=abcdefghijkl0", "b", None), (4, None, "b", "en")], "doc_id long, text string, source string, lang string")

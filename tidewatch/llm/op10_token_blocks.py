@@ -7,7 +7,8 @@ table in the shared folder: Spark's commit makes them whole or absent, and any s
 
 Documents are dealt out by ranges of doc_id (sampled splitters) and sorted, so partitions in order hold them in
 ascending order.  Encoding goes piece by piece: each distinct piece of the tokenizer's pattern is encoded once by
-the library and kept for later texts.
+the library and kept for later texts.  Texts that hold an added token of the tokenizer file are encoded whole by the
+library, so ids are those of its encode(text, add_special_tokens=False).
 
 Defined cases: a null or empty text gives just the end id; a null doc_id sorts first; rows of equal doc_id are
 ordered by a digest of the text; an empty table gives no shard; extra columns are not stored.
@@ -21,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,7 +123,7 @@ def encoder(path: str) -> Encoder:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    t.encode_special_tokens = True  # texts with their strings don't come here
 
     def encode(pieces: list[bytes]) -> list[list[int]]:
         out = []
@@ -132,12 +134,45 @@ def encoder(path: str) -> Encoder:
     return Encoder(encode)
 
 
+@lru_cache(2)
+def library(path: str):
+    """(the tokenizer as it is in the file, the strings of its added tokens)."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    return t, [a.content for a in t.get_added_tokens_decoder().values() if a.content]
+
+
+#: How many texts with added tokens the library gets at once.
+WHOLE = 64
+
+
+def _whole(texts: pa.Array, rows: np.ndarray, path: str):
+    """The ids of the texts in rows, each encoded by the library."""
+    for i in range(0, len(rows), WHOLE):
+        got = library(path)[0].encode_batch_fast(texts.take(pa.array(rows[i : i + WHOLE])).to_pylist(), add_special_tokens=False)
+        yield from (np.array(e.ids, np.uint32) for e in got)
+
+
 def encoded(batches, path: str, end: int):
     """(doc_ids, counts, ids with the end id) for successive documents."""
     for batch in batches:
-        buf, offs = utf8(batch.column("text"))
+        texts, added = batch.column("text"), np.zeros(batch.num_rows, bool)
+        for content in library(path)[1]:
+            added |= pc.fill_null(pc.match_substring(texts, content), False).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(added), "", texts) if added.any() else texts
+        buf, offs = utf8(plain)
         ids = batch.column("doc_id")
         for row, flat, counts in encoder(path).texts(buf, offs):
+            here = np.flatnonzero(added[row : row + len(counts)])
+            if len(here):
+                own = list(_whole(texts, row + here, path))
+                sizes = np.fromiter(map(len, own), np.int64, len(own))
+                flat = np.insert(flat, np.repeat((np.cumsum(counts) - counts)[here], sizes), np.concatenate(own))
+                counts[here] = sizes
             upto = np.cumsum(counts)
             out = np.insert(flat, upto, end)
             yield ids.slice(row, len(counts)).to_pylist(), counts + 1, out
