@@ -1,4 +1,4 @@
-"""Vectorised text kernels shared by the Arrow operators: chunking, word spans, rolling digests."""
+"""Vectorised text kernels shared by the Arrow operators: chunking, word spans, digests of byte ranges."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that one vectorised step looks at; bounds the temporary arrays.
 CHUNK = 1 << 19
@@ -72,35 +73,78 @@ def word_table(separators: bytes = SPACES) -> np.ndarray:
     return table
 
 
-@lru_cache(8)
-def _lane(seed: int) -> tuple[np.ndarray, int, int]:
-    rng = np.random.Generator(np.random.PCG64(seed))
-    base = int(rng.integers(1 << 62, dtype=np.int64)) * 4 + 5
-    return rng.integers(1 << 64, size=256, dtype=np.uint64), base % (1 << 64), pow(base, -1, 1 << 64)
+#: Byte ranges beyond this size are digested by xxhash, one call each; shorter ones 8 bytes at a time, all at once.
+LONG = 256
 
 
-@lru_cache(4)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def blocks(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of buf on, as numbers; zeros follow the end."""
+    raw = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", raw, 0, (1,))
 
 
-class Digests:
-    """64-bit digests of any byte ranges of a buffer in constant time each, from one prefix sum."""
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
-    def __init__(self, buf: np.ndarray, seed: int, fold: np.ndarray | None = None):
-        table, base, inverse = _lane(seed)
-        if fold is not None:
-            table = table[fold]
-        n = 1 << max(10, int(len(buf) + 1).bit_length())
-        self.down = _powers(inverse, n)
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(table[buf] * _powers(base, n)[: len(buf)], out=self.sums[1:])
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+class Digests:
+    """64-bit digests of byte ranges of a buffer.
+
+    Each step mixes 8 bytes into the state by a bijection that is not linear, from a state that the length sets: ranges of up
+    to 8 bytes of one length never collide, and there is no structure (as of powers modulo 2**64) that makes others do so.
+    """
+
+    def __init__(self, buf: np.ndarray):
+        self.buf, self.blocks = buf, blocks(buf)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+        size = ends - starts
+        out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xA24BAED4963EE407 % (1 << 64)))
+        at = np.flatnonzero((size > 0) & (size <= LONG))
+        if len(at) == len(size):
+            at = slice(None)
+        start, left, h = starts[at], size[at], out[at]
+        keep: np.ndarray | None = None  # places in out of what is still worked on; None: all of `at`
+        done = 0
+        while len(left):
+            h = mix(h ^ (self.blocks[start + done] & _MASKS[np.minimum(left - done, 8)]))
+            done += 8
+            more = left > done
+            if keep is None:
+                out[at] = h
+            else:
+                out[keep] = h
+            if not more.any():
+                break
+            if keep is None:
+                keep = np.arange(len(out))[at]
+            keep, start, left, h = keep[more], start[more], left[more], h[more]
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.buf[starts[i] : ends[i]].tobytes(), seed + 1)
+        return out
+
+
+def same_bytes(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ranges of `size` bytes that start at a in x and at b in y are equal."""
+    out, u, v = np.ones(len(size), bool), blocks(x), blocks(y)
+    at, done = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(at):
+        differ = ((u[a[at] + done] ^ v[b[at] + done]) & _MASKS[np.minimum(size[at] - done, 8)]) != 0
+        out[at[differ]] = False
+        done += 8
+        at = at[~differ & (size[at] > done)]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = np.array_equal(x[a[i] : a[i] + size[i]], y[b[i] : b[i] + size[i]])
+    return out
+
+
+def sequences(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Digests of ranges of a sequence of digests; the ranges are short."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64((seed + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64)))
+    for j in range(int(size.max(initial=0))):
+        at = np.flatnonzero(size > j)
+        out[at] = mix(out[at] ^ h[starts[at] + j])
+    return out
 
 
 @lru_cache(1)
@@ -115,8 +159,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     if len(h) < k:
         return np.zeros(0, np.uint64)
     n = len(h) - k + 1
-    out = h[:n].copy()
+    out = mix(h[:n] + np.uint64(k))
     for j in range(1, k):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + h[j : j + n]
-        out ^= out >> np.uint64(32)
-    return mix(out)
+        out = mix(out ^ h[j : j + n])
+    return out

@@ -47,7 +47,10 @@ def _tables() -> dict[str, np.ndarray]:
 
 
 def _per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(flags)])[offs])
+    out, some = np.zeros(len(offs) - 1, np.int64), np.flatnonzero(np.diff(offs))
+    if len(some):
+        out[some] = np.add.reduceat(flags, offs[some], dtype=np.int64)
+    return out
 
 
 def _distinct(rows: np.ndarray, digests: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +70,7 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
         own, rows = buf[offs[a] : offs[b]], b - a
         o = offs[a : b + 1] - offs[a]
         starts, ends, row = spans(own, o, t["word"])
-        h = Digests(own, 21)
+        h = Digests(own)
         n_words = np.bincount(row, minlength=rows)
         lead = (own & 0xC0) != 0x80
         chars = _per_row(lead & t["word"][own], o)
@@ -85,8 +88,7 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
             marked[at + k] = True
         repeats = np.bincount(row[marked[:-1]], minlength=rows)
         ls, le, lrow = spans(own, o, t["line"])
-        words_before = np.concatenate([[0], np.cumsum(t["word"][own])])
-        has = words_before[le] > words_before[ls]
+        has = np.searchsorted(starts, le) > np.searchsorted(starts, ls)
         ls, le, lrow = ls[has], le[has], lrow[has]
         lines = np.bincount(lrow, minlength=rows)
         single, _, _ = _distinct(lrow, h.of(ls, le), rows)
@@ -111,7 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
             _, x = statistics(buf, offs)
             yield pa.RecordBatch.from_arrays([batch.column("quality"), *[pa.array(x[:, j]) for j in range(x.shape[1])]], names=["quality", *FEATURES])
 
-    got = texts.mapInArrow(run, ", ".join(f"{n} double" for n in ("quality", *FEATURES))).toArrow()
+    found = texts.mapInArrow(run, ", ".join(f"{n} double" for n in ("quality", *FEATURES)))
+    # rows that repeat a doc_id could be more than the labels
+    got = found.orderBy(F.xxhash64(*FEATURES), "quality").limit(sample).toArrow()
     x = np.stack([got[n].to_numpy() for n in FEATURES], 1) if len(got) else np.zeros((0, len(FEATURES)))
     y = got["quality"].to_numpy()
     order = np.lexsort([*x.T, y])  # not the order in which tasks ended

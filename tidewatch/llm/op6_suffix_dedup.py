@@ -1,15 +1,18 @@
 """Suffix-array dedup of substrings of 100 bytes or more.
 
-Only suffixes that can matter are sorted: every 100-byte window picks the place of least digest among its 32-byte
-substrings, so equal windows pick equal places and one place in about 35 is a suffix to look at.  `repeats` deals the
-suffixes that occur more than once by sampled splitters over their leading bytes; each bucket sorts its windows by
-multikey quicksort (8 bytes a key, only ties go on to the next key), compares neighbours, and settles what
-reaches its edges with the other buckets.
+Only suffixes that can matter are looked at: every 100-byte window picks the place of least digest among its 32-byte
+substrings, so equal windows pick equal places, and one place in about 35 begins a suffix.  Splitters sampled from the
+suffixes' leading bytes deal them out in ranges; each bucket sorts its suffixes by multikey quicksort over their leading
+32 bytes, 8 bytes a key, where only ties go on to the next key.  Suffixes with equal leading bytes and equal digests of
+all that their windows cover repeat each other; where the digests differ, `repeats` fetches the bytes, deals them out by
+ranges again, sorts whole windows in the same way and compares neighbours, and what reaches the edges of a bucket meets
+once more across the boundaries.  So do leading bytes that are so common that several splitters fall on them.
 
 Removed are all bytes that a 100-byte string covers which also starts earlier: in a smaller doc_id or before in the
-same document.  Defined cases: texts under 100 bytes and null texts lose nothing; a null doc_id counts as the least;
-rows of one doc_id with different texts are ordered by a digest of the text, rows that agree in both are one
-document, each with its result; an empty table gives an empty result; extra columns stay with `dedup`.
+same document.  Defined cases: texts under 100 bytes and null texts lose nothing; a long text is looked at in
+overlapping pieces; a null doc_id counts as the least; rows of one doc_id with different texts are ordered by a digest
+of the text, rows that agree in both are one document, each with its result; an empty table gives an empty result; extra
+columns stay with `dedup`, and the result columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ from pyspark.sql import types as T
 
 from . import repeats
 from .common import table
-from .kernels import CHUNK, Digests, mix
+from .kernels import CHUNK, Digests, blocks, mix
 
 WINDOW, CORE = 100, 32
 _REACH = WINDOW - CORE  # an anchor is at most so far after the window's start
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def records(buf: np.ndarray, offs: np.ndarray):
@@ -48,9 +52,11 @@ def records(buf: np.ndarray, offs: np.ndarray):
         p = np.flatnonzero(np.cumsum(inside[:n]))
         if not len(p):
             continue
-        lane, other = Digests(part, 61), Digests(part, 62)
+        lane = blocks(part)
         at = np.arange(len(part) - CORE + 1)
-        core = lane.of(at, at + CORE)
+        core = mix(lane[: len(at)] ^ _SEED)
+        for k in range(8, CORE, 8):
+            core = mix(core ^ lane[k : k + len(at)])
         key = (core & ~np.uint64(CHUNK - 1)) | at.astype(np.uint64)  # least digest, then leftmost
         reach = 1
         while 2 * reach <= _REACH + 1:
@@ -63,9 +69,10 @@ def records(buf: np.ndarray, offs: np.ndarray):
         lo = p[new]
         hi = p[np.append(np.flatnonzero(new)[1:], len(p)) - 1]
         anchor = anchor[new]
-        cover = mix(other.of(lo, hi + WINDOW) + ((anchor - lo) * 256 + (anchor - hi)).astype(np.uint64))
+        cover = mix(Digests(part).of(lo, hi + WINDOW, 1) + ((anchor - lo) * 256 + (anchor - hi)).astype(np.uint64))
+        lead = np.stack([lane[anchor + k].byteswap() for k in range(0, CORE, 8)], 1)
         row = np.searchsorted(offs, lo + c, "right") - 1
-        yield row, core[anchor], cover, anchor + c - offs[row], (anchor - lo).astype(np.uint16), (anchor - hi).astype(np.uint16), np.full(len(lo), CORE, np.uint16)
+        yield row, lead, cover, anchor + c - offs[row], (anchor - lo).astype(np.uint16), (anchor - hi).astype(np.uint16), np.full(len(lo), CORE, np.uint16)
 
 
 def payload(text: bytes, anchor: np.ndarray, before: np.ndarray, last: np.ndarray, size: np.ndarray) -> tuple[list[bytes], list[bytes]]:
@@ -73,30 +80,6 @@ def payload(text: bytes, anchor: np.ndarray, before: np.ndarray, last: np.ndarra
     return [text[a : a + CORE] for a in anchor.tolist()], [text[a:b] for a, b in zip(starts, ends)]
 
 
-def multikey_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, group along the order) of the rows of a matrix of keys: three-way quicksort by one key at a time, for all
-    ranges at once; a range leaves the sort as soon as it has one row."""
-    n, width = keys.shape
-    order = np.argsort(keys[:, 0], kind="stable")
-    new = np.ones(n, bool)
-    new[1:] = np.diff(keys[order, 0]) != 0
-    for c in range(1, width):
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        range_ = np.cumsum(new)[at]
-        key = keys[order[at], c]
-        sub = np.lexsort((key, range_))
-        order[at] = order[at][sub]
-        key = key[sub]
-        cut = np.ones(len(at), bool)
-        cut[1:] = (range_[1:] != range_[:-1]) | (key[1:] != key[:-1])
-        new[at] |= cut
-    return order, np.cumsum(new) - 1
-
-
 def compare(cover: list[bytes], n: np.ndarray):
     raw = np.frombuffer(b"".join(cover) + bytes(8), np.uint8)
     sizes = np.fromiter(map(len, cover), np.int64, len(cover))
@@ -105,18 +88,18 @@ def compare(cover: list[bytes], n: np.ndarray):
     matrix = np.lib.stride_tricks.sliding_window_view(raw, wide)[starts] if len(starts) else np.zeros((0, wide), np.uint8)
     matrix[:, WINDOW:] = 0
     keys = matrix.view(">u8").astype(np.uint64)
-    order, along = multikey_order(keys)
+    order, along = repeats.multikey_order(keys)
     group = np.empty(len(order), np.int64)
     group[order] = along
 
     def digests(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a = starts[chosen]
-        return tuple(Digests(raw, seed).of(a, a + WINDOW) for seed in (63, 64))
+        return tuple(Digests(raw).of(a, a + WINDOW, seed) for seed in (2, 3))
 
     return group, digests
 
 
-KIND = repeats.Kind(WINDOW, records, payload, compare, within=True)
+KIND = repeats.Kind(WINDOW, records, payload, compare, within=True, keys=CORE // 8, ranges=True)
 
 
 def dedup(docs: DataFrame, name: str = "suffixes", texts: bool = True) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import repeats
 from .common import table
-from .kernels import Digests, chunks, mix, spans, word_table
+from .kernels import Digests, chunks, mix, sequences, spans, word_table
 
 WINDOW, ROUNDS = 13, 3
 #: Words of one piece of a long text; pieces overlap by a window.
@@ -35,20 +35,6 @@ _PLACE = np.uint64((1 << 20) - 1)
 _NEVER = -(1 << 40)
 
 
-class _Words:
-    """Digests of word ranges from one prefix sum over word digests."""
-
-    def __init__(self, h: np.ndarray, base: int):
-        n = len(h)
-        up, down = np.full(n + 1, np.uint64(base)), np.full(n + 1, np.uint64(pow(base, -1, 1 << 64)))
-        up[0] = down[0] = 1
-        up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:n], dtype=np.uint64)])
-
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
-
-
 def parse(name: np.ndarray, piece: np.ndarray):
     """Yields (name, context start, context end inclusive) of each level's symbols, from words on.
 
@@ -138,16 +124,16 @@ def records(buf: np.ndarray, offs: np.ndarray):
         starts, ends, row = spans(own, o, word_table())
         if not len(starts):
             continue
-        h_all = Digests(own, 71).of(starts, ends)
-        g_all = Digests(own, 72).of(starts, ends)
+        h_all = Digests(own).of(starts, ends)
+        g_all = Digests(own).of(starts, ends, 1)
         before = np.cumsum(np.bincount(row, minlength=b - a)) - np.bincount(row, minlength=b - a)
         for s in range(0, len(h_all), PIECE):  # one pass, but for a text of over PIECE words
             e = min(len(h_all), s + PIECE + WINDOW - 1)
             h, g, r = h_all[s:e], g_all[s:e], row[s:e]
             bounds = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1, [len(r)]])
             lo, hi, left, right = anchors(h, bounds)
-            core = _Words(h, 0x9E3779B97F4A7C15).of(left, right)
-            cover = mix(_Words(g, 0xC2B2AE3D27D4EB4F).of(lo, hi + WINDOW) + (((left - lo) * 64 + (left - hi)) * 64 + right - left).astype(np.uint64))
+            core = sequences(h, left, right)
+            cover = mix(sequences(g, lo, hi + WINDOW, 1) + (((left - lo) * 64 + (left - hi)) * 64 + right - left).astype(np.uint64))
             rows = r[lo]
             yield rows + a, core, cover, left + s - before[rows], (left - lo).astype(np.uint16), (left - hi).astype(np.uint16), (right - left).astype(np.uint16)
             if e == len(h_all):

@@ -45,9 +45,9 @@ MOST_BROADCAST = 2_000_000
 def shingle_sets(buf: np.ndarray, offs: np.ndarray):
     """Yields (first row, sorted distinct digests of all rows, counts) for successive rows."""
     for a, b in chunks(offs):
-        own, o, rows = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], b - a
+        own, o, rows = ascii_lower()[buf[offs[a] : offs[b]]], offs[a : b + 1] - offs[a], b - a
         starts, ends, row = spans(own, o, word_table())
-        word = Digests(own, 31, ascii_lower()).of(starts, ends)
+        word = Digests(own).of(starts, ends)
         n_words = np.bincount(row, minlength=rows)
         first = np.cumsum(n_words) - n_words
         keys, owner = [], []
@@ -58,7 +58,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray):
         for k in range(1, WORDS):
             few = np.flatnonzero(n_words == k)
             if len(few):
-                keys.append(mix(grams(word, k)[first[few]] + np.uint64(k))), owner.append(few)
+                keys.append(grams(word, k)[first[few]]), owner.append(few)
         if not keys:
             yield a, np.zeros(0, np.uint64), np.zeros(rows, np.int64)
             continue

@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .kernels import Digests, chunks
+from .kernels import CHUNK, Digests, chunks, same_bytes
 
 _SPACE, _LETTER, _NUMBER = 3, 1, 2
 #: Unicode white space; the contractions of the pattern.
@@ -61,60 +61,115 @@ def piece_starts(cp: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def parts(buf: np.ndarray, offs: np.ndarray, most: int = CHUNK):
+    """(first row, bytes, offsets, whether the last text goes on) of successive parts of a batch.
+
+    A text of over `most` bytes is cut where a piece surely starts: at a single white character (ASCII) between two that aren't
+    white; a stretch without one stays whole.
+    """
+    white = np.zeros(256, bool)
+    white[[0x20, 0x0A]] = True
+    dark = np.ones(256, bool)
+    dark[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = False
+    dark[128:] = False  # may be part of a white character
+    for a, b in chunks(offs, most):
+        start, end = int(offs[a]), int(offs[b])
+        while end - start > most and b - a == 1:
+            at, cut = start + most // 2, 0
+            while at < end - 1 and not cut:
+                stop = min(end - 1, at + most)
+                fits = np.flatnonzero(white[buf[at:stop]] & dark[buf[at - 1 : stop - 1]] & dark[buf[at + 1 : stop + 1]])
+                cut = at + int(fits[0]) if len(fits) else 0
+                at = stop
+            if not cut:
+                break
+            yield a, buf[start:cut], np.array([0, cut - start]), True
+            start = cut
+        yield a, buf[start:end], np.array([0, end - start]) if b - a == 1 else offs[a : b + 1] - start, False
+
+
 class Encoder:
-    """Ids of whole texts.  `encode` gets the pieces not met before, as bytes, and returns their ids; it is asked for
-    a piece once as long as the table of met pieces holds at most `most`."""
+    """Ids of whole texts.  `encode` gets the pieces not met before, as bytes, and returns their ids; it is asked for a piece
+    once as long as the table of met pieces holds at most `most`, of `most_bytes` in all.
+
+    Pieces are looked up by digest and their bytes are compared; one whose digest another piece has is encoded each time.
+    """
 
-    def __init__(self, encode, most: int = 1_500_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode, most: int = 250_000, most_bytes: int = 8 << 20):
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
+        self.digest = lambda part, starts, ends: Digests(part).of(starts, ends)
         self.forget()
 
     def forget(self):
         self.keys = np.zeros(0, np.uint64)
-        self.second = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
+        self.place = np.zeros(0, np.int64)  # of the piece's bytes in raw
+        self.length = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int64)  # of its ids
         self.size = np.zeros(0, np.int64)
+        self.raw = np.zeros(0, np.uint8)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, second: np.ndarray, pieces: list[bytes]) -> None:
+    def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number) in self.ids of the ids of pieces, which are added there."""
         got = self.encode(pieces)
         size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
         at = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))])
+        return at, size
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        at, size = self._ids(pieces)
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        place = len(self.raw) + np.cumsum(length) - length
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(pieces), np.uint8)])
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.second = np.insert(self.keys, where, keys), np.insert(self.second, where, second)
-        self.at, self.size = np.insert(self.at, where, at), np.insert(self.size, where, size)
-        self.ids = np.concatenate([self.ids, flat])
+        for name, values in (("keys", keys), ("place", place), ("length", length), ("at", at), ("size", size)):
+            setattr(self, name, np.insert(getattr(self, name), where, values))
 
-    def texts(self, buf: np.ndarray, offs: np.ndarray):
-        """Yields (first row, ids, counts by row) for successive rows of a batch."""
-        for a, b in chunks(offs):
-            part, own = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-            if not len(part):
-                yield a, np.zeros(0, np.uint32), np.zeros(b - a, np.int64)
-                continue
-            cp = np.frombuffer(part.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-            lead = np.flatnonzero((part & 0xC0) != 0x80)  # byte of each code point
-            starts = lead[piece_starts(cp, np.searchsorted(lead, own[1:-1]))]
-            ends = np.append(starts[1:], len(part))
-            h = Digests(part, 11).of(starts, ends)
-            unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-            check = Digests(part, 12).of(starts[where], ends[where])
-            if len(self.keys) > self.most:
-                self.forget()
+    def _part(self, part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts by row) of the texts of part that start at `own`."""
+        rows = len(own) - 1
+        if not len(part):
+            return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
+        cp = np.frombuffer(part.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        lead = np.flatnonzero((part & 0xC0) != 0x80)  # byte of each code point
+        starts = lead[piece_starts(cp, np.searchsorted(lead, own[1:-1]))]
+        del cp, lead
+        ends = np.append(starts[1:], len(part))
+        h = self.digest(part, starts, ends)
+        unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.keys) > self.most or len(self.raw) > self.most_bytes:
+            self.forget()
+        at = np.searchsorted(self.keys, unique)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == unique if len(self.keys) else np.zeros(len(unique), bool)
+        raw = part.tobytes()
+        if not known.all():
+            new = where[~known]
+            self._learn(unique[~known], [raw[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist())])
             at = np.searchsorted(self.keys, unique)
-            known = np.zeros(len(unique), bool)
-            if len(self.keys):
-                known = self.keys[np.minimum(at, len(self.keys) - 1)] == unique
-            if not known.all():
-                new = where[~known]
-                raw = part.tobytes()
-                self._learn(unique[~known], check[~known], [raw[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist())])
-                at = np.searchsorted(self.keys, unique)
-            if (self.second[at] != check).any():
-                raise RuntimeError("two pieces share a 64-bit digest; change the seed")
-            sizes = self.size[at][inverse]
-            upto = np.cumsum(sizes)
-            take = np.arange(int(upto[-1])) + np.repeat(self.at[at][inverse] - (upto - sizes), sizes)
-            row = np.searchsorted(own, starts, "right") - 1
-            yield a, self.ids[take], np.bincount(row, weights=sizes, minlength=b - a).astype(np.int64)
+        of, length = at[inverse], ends - starts
+        same = self.length[of] == length
+        same &= same_bytes(part, starts, self.raw, self.place[of], np.where(same, length, 0))
+        odd = np.flatnonzero(~same)
+        places, sizes = self.at[of], self.size[of]
+        before = len(self.ids)
+        if len(odd):
+            places[odd], sizes[odd] = self._ids([raw[s:e] for s, e in zip(starts[odd].tolist(), ends[odd].tolist())])
+        upto = np.cumsum(sizes)
+        ids = self.ids[np.arange(int(upto[-1])) + np.repeat(places - (upto - sizes), sizes)]
+        self.ids = self.ids[:before]
+        row = np.searchsorted(own, starts, "right") - 1
+        return ids, np.bincount(row, weights=sizes, minlength=rows).astype(np.int64)
+
+    def texts(self, buf: np.ndarray, offs: np.ndarray):
+        """Yields (first row, ids, counts by row) for successive rows of a batch; a row is never split."""
+        held: list[np.ndarray] = []
+        for a, part, own, goes_on in parts(buf, offs):
+            ids, counts = self._part(part, own)
+            if goes_on or held:
+                held.append(ids)
+                if goes_on:
+                    continue
+                ids = np.concatenate(held)
+                counts, held = np.array([len(ids)]), []
+            yield a, ids, counts

@@ -4,8 +4,9 @@ A text is a sequence of units; every window of W units picks an anchor inside it
 equal windows pick it at the same offset.  Neighbouring windows with one anchor make a record: the digest of the
 anchor's core, the digest of all that its windows cover, and where.  Then
 
-1. records meet by core.  A core met once repeats nowhere.  Records that agree in all they cover are one class: all
-   but its first are repeats, and before the shuffle each task already keeps one record of a class.
+1. records meet by core: in ranges of its leading units between sampled splitters (`ranges`), or by its digest.  A core met
+   once repeats nowhere.  Records that agree in core and cover are one class: all but its first are repeats, and before the
+   shuffle each task already keeps one record of a class.
 2. where one core has several classes, the units themselves decide: the first record of each class fetches its
    text, suffixes from the anchors on are dealt out by sampled splitters over their leading units, each bucket sorts
    its windows and compares neighbours, and windows of a hot core that reaches a bucket's edge meet once more by
@@ -34,8 +35,13 @@ FLUSH, BLOCK = 400_000, 60_000
 #: Document keys up to this number are broadcast to pick texts; beyond it the join is shuffled.
 MOST_BROADCAST = 2_000_000
 
-RECORD = [("core", np.uint64), ("cover", np.uint64), ("doc", np.int64), ("tie", np.int64), ("anchor", np.int64), ("before", np.uint16), ("last", np.uint16), ("size", np.uint16)]
-"""before: anchor - first window start; last: anchor - last window start; size: units of the core, from the anchor on."""
+#: Splitters are read off from up to so many sampled documents, each with so many records at most.
+SAMPLED, EACH = 4000, 64
+
+
+def record(keys: int) -> list:
+    """before: anchor - first window start; last: anchor - last window start; size: units of the core, from the anchor on."""
+    return [("core", np.uint64, (keys,)), ("cover", np.uint64), ("doc", np.int64), ("tie", np.int64), ("anchor", np.int64), ("before", np.uint16), ("last", np.uint16), ("size", np.uint16)]
 
 
 @dataclass(frozen=True)
@@ -43,7 +49,8 @@ class Kind:
     """What the two operators differ in."""
 
     window: int
-    #: (bytes, offsets) -> records as (rows, core, cover, anchor, before, last, size), rows of this batch
+    #: (bytes, offsets) -> records as (rows, core, cover, anchor, before, last, size), rows of this batch; core: its digest, or
+    #: the keys of its leading units in their order
     records: Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, ...]]]
     #: (text bytes, anchors, before, last, size) -> (leading units, covered units) of each record
     payload: Callable[[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[list[bytes], list[bytes]]]
@@ -54,6 +61,9 @@ class Kind:
     within: bool
     #: cores with more records to compare than this spread over buckets; others are in one whole
     hot: int = 2000
+    #: numbers that make a core, and whether records are dealt out in ranges of the first
+    keys: int = 1
+    ranges: bool = False
 
 
 #: In the size of a record's core: it is hot.
@@ -72,6 +82,30 @@ def expand(blob: bytes, types: list) -> list[np.ndarray]:
     return [np.frombuffer(raw, t, int(n) // np.dtype(t).itemsize, int(a)) for t, n, a in zip(types, sizes, at)]
 
 
+def multikey_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group along the order) of the rows of a matrix of keys: three-way quicksort by one key at a time, for all
+    ranges at once; a range leaves the sort as soon as it has one row."""
+    n, width = keys.shape
+    order = np.argsort(keys[:, 0], kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = np.diff(keys[order, 0]) != 0
+    for c in range(1, width):
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        range_ = np.cumsum(new)[at]
+        key = keys[order[at], c]
+        sub = np.lexsort((key, range_))
+        order[at] = order[at][sub]
+        key = key[sub]
+        cut = np.ones(len(at), bool)
+        cut[1:] = (range_[1:] != range_[:-1]) | (key[1:] != key[:-1])
+        new[at] |= cut
+    return order, np.cumsum(new) - 1
+
+
 _DEALT = [np.int64, np.int64, np.uint32, np.uint64, np.uint64, np.uint32, np.uint16, np.uint16, np.uint16]
 
 
@@ -95,16 +129,53 @@ def _first_of(groups: list[np.ndarray], r: np.ndarray, within: bool) -> tuple[np
     return order, number, again
 
 
-def _deal(kind: Kind, n: int):
+def _cores(core: np.ndarray) -> np.ndarray:
+    """One number for each core, in the order of cores."""
+    if core.shape[1] == 1:
+        return core[:, 0]
+    order, along = multikey_order(core)
+    out = np.empty(len(order), np.uint64)
+    out[order] = along
+    return out
+
+
+def _splitters(texts: DataFrame, kind: Kind, n: int) -> np.ndarray:
+    """n - 1 quantiles of the first keys of sampled documents; a key that several fall on is common."""
+    sampled = texts.sample(min(1.0, SAMPLED / max(1, texts.count())), 7)
+
+    def run(batches):
+        for batch in batches:
+            buf, offs = utf8(batch.column("text"))
+            for rows, core, *_ in kind.records(buf, offs):
+                new = np.flatnonzero(np.diff(rows, prepend=-1))
+                chosen = (np.arange(len(rows)) - np.repeat(new, np.diff(np.append(new, len(rows))))) < EACH
+                yield pa.RecordBatch.from_arrays([pa.array((core[chosen, 0] ^ np.uint64(1 << 63)).view(np.int64))], names=["key"])
+
+    got = sampled.select("text").mapInArrow(run, "key long").agg(F.percentile_approx("key", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10_000)).alias("q")).first()["q"] if n > 1 else None
+    return np.array(got or [], np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def _dealt_to(kind: Kind, splitters: np.ndarray | None, r: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, whether its core may be in other buckets too) of each record."""
+    if splitters is None:
+        return r["core"][:, 0] % np.uint64(n), np.zeros(len(r), bool)
+    key = r["core"][:, 0]
+    low, high = np.searchsorted(splitters, key, "left"), np.searchsorted(splitters, key, "right")
+    wide = high - low > 1  # the buckets that end with this key, all but the last of them with nothing else
+    spread = mix(r["doc"].astype(np.uint64)) % np.maximum(high - low, 1).astype(np.uint64)
+    return (low.astype(np.uint64) + np.where(wide, spread, 0)).astype(np.uint64), wide
+
+
+def _deal(kind: Kind, n: int, splitters: np.ndarray | None):
     """Mapper: documents to record blobs by bucket; repeats inside the task are told apart at once."""
 
     def flush(parts: list[np.ndarray]):
         r = np.concatenate(parts)
-        order, _, again = _first_of([r["cover"], r["core"]], r, kind.within)
+        order, _, again = _first_of([r["cover"], _cores(r["core"])], r, kind.within)
         repeat = np.zeros(len(r), bool)
         repeat[order] = again
         # a repeat needs no comparison: it goes to a bucket by its document
-        bucket = np.where(repeat, mix(r["doc"].astype(np.uint64)), r["core"]) % np.uint64(n)
+        bucket = np.where(repeat, mix(r["doc"].astype(np.uint64)) % np.uint64(n), _dealt_to(kind, splitters, r, n)[0])
         order = np.lexsort((r["anchor"], r["tie"], r["doc"], repeat, bucket))
         r, repeat, bucket = r[order], repeat[order], bucket[order]
         edge = np.flatnonzero((np.diff(bucket.astype(np.int64)) != 0) | (np.diff(repeat.astype(np.int8)) != 0)) + 1
@@ -127,8 +198,8 @@ def _deal(kind: Kind, n: int):
             buf, offs = utf8(batch.column("text"))
             dk, tk = batch.column("dk").to_numpy(), batch.column("tk").to_numpy()
             for rows, core, cover, *places in kind.records(buf, offs):
-                r = np.empty(len(rows), RECORD)
-                for (name, _), values in zip(RECORD, (core, cover, dk[rows], tk[rows], *places)):
+                r = np.empty(len(rows), record(kind.keys))
+                for name, values in zip(r.dtype.names, (core.reshape(-1, kind.keys), cover, dk[rows], tk[rows], *places)):
                     r[name] = values
                 parts.append(r)
                 held += len(r)
@@ -160,7 +231,7 @@ def _rows(out: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out["dk"], pa.int64()), pa.array(out["tk"], pa.int64()), pa.array(out["state"], pa.int32()), pa.array(out["recs"], pa.binary())], names=["dk", "tk", "state", "recs"])
 
 
-def _classify(kind: Kind):
+def _classify(kind: Kind, splitters: np.ndarray | None):
     """Reducer: all records of a core; tells repeats and records that need their text."""
 
     def run(batches):
@@ -168,28 +239,29 @@ def _classify(kind: Kind):
         for batch in batches:
             for flag, blob in zip(batch.column("done"), batch.column("blob")):
                 docs, ties, counts, core, cover, *places = expand(blob.as_py(), _DEALT)
-                r = np.zeros(len(places[0]), RECORD)
+                r = np.zeros(len(places[0]), record(kind.keys))
                 r["doc"], r["tie"] = np.repeat(docs, counts), np.repeat(ties, counts)
                 r["anchor"], r["before"], r["last"], r["size"] = places
                 if flag.as_py():
                     done.append(r)
                 else:
-                    r["core"], r["cover"] = core, cover
+                    r["core"], r["cover"] = core.reshape(-1, kind.keys), cover
                     parts.append(r)
         out: dict = {"dk": [], "tk": [], "state": [], "recs": []}
         repeats = done
         if parts:
             r = np.concatenate(parts)
             del parts
-            order, number, again = _first_of([r["cover"], r["core"]], r, kind.within)
-            s = r[order]
+            cores = _cores(r["core"])
+            order, number, again = _first_of([r["cover"], cores], r, kind.within)
+            s, cores, wide = r[order], cores[order], _dealt_to(kind, splitters, r, 1)[1][order]
             core_new = np.ones(len(s), bool)
-            core_new[1:] = s["core"][1:] != s["core"][:-1]
+            core_new[1:] = cores[1:] != cores[:-1]
             core = np.cumsum(core_new) - 1
             first = np.flatnonzero(core_new)
             classes = number[np.append(first[1:], len(s)) - 1] - number[first] + 1
-            open_ = ~again & (classes[core] > 1)
-            s["size"][np.bincount(core, open_)[core] > kind.hot] |= HOT
+            open_ = ~again & ((classes[core] > 1) | wide)
+            s["size"][(np.bincount(core, open_)[core] > kind.hot) | wide] |= HOT
             _by_doc(s, np.flatnonzero(open_), 1, out)
             repeats = [*done, s[again]]
         if repeats and (r := np.concatenate(repeats)).size:
@@ -228,7 +300,7 @@ def _compare(kind: Kind):
         rec = np.repeat(np.arange(len(n)), n)
         at = np.arange(len(rec)) - np.repeat(np.cumsum(n) - n, n) + start[rec]
         group, digests = kind.compare(cover, n)
-        r = np.zeros(len(rec), RECORD)
+        r = np.zeros(len(rec), record(1))
         r["doc"], r["tie"], r["anchor"] = dk[rec], tk[rec], at
         order, _, again = _first_of([group], r, kind.within)
         repeat = np.zeros(len(rec), bool)
@@ -277,8 +349,9 @@ def repeated(docs: DataFrame, kind: Kind, name: str) -> DataFrame:
     spark = docs.sparkSession
     n = buckets(spark)
     texts = docs.select(doc_key().alias("dk"), F.xxhash64("text").alias("tk"), "text")
-    dealt = texts.mapInArrow(_deal(kind, n), "bucket int, done boolean, blob binary").repartitionById(n, F.col("bucket"))
-    known = settled(dealt.mapInArrow(_classify(kind), _ROWS), f"{name}-classes")
+    splitters = _splitters(texts, kind, n) if kind.ranges else None
+    dealt = texts.mapInArrow(_deal(kind, n, splitters), "bucket int, done boolean, blob binary").repartitionById(n, F.col("bucket"))
+    known = settled(dealt.mapInArrow(_classify(kind, splitters), _ROWS), f"{name}-classes")
     open_ = known.where("state = 1").groupBy("dk", "tk").agg(F.collect_list("recs").alias("recs"))
     keys = known.where("state = 1").select("dk").distinct()
     few = keys.count() <= MOST_BROADCAST
