@@ -5,6 +5,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -24,7 +25,7 @@ def spark(tmp_path_factory):
 
 
 def _one(v):
-    if v is None or v != v or str(v) == "<NA>":
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
         return "null"
     if isinstance(v, float) or type(v).__name__.startswith("float"):
         return f"{float(v):.6g}"
