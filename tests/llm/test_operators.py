@@ -117,7 +117,7 @@ def test_bpe(spark, edge, documents, empty):
         assert rows[d].ids_sha256 == digest(want.encode_ordinary(t)) and rows[d].decoded_sha256 == brute.sha(t)
     rng = random.Random(2)
     texts = ["x" * 3000, "it's we'll've  \n\n a\n", *["".join(rng.choice(" '  slvrtemd\n\t1é! .A日") for _ in range(rng.randint(0, 40))) for _ in range(500)]]
-    made = op5_bpe.tokenizer(op5_bpe.vocabulary())
+    made = op5_bpe.Bpe(op5_bpe.vocabulary())
     got = []
     for _, flat, counts in made.encoder.texts(*utf8(pa.array(texts))):
         got += [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]

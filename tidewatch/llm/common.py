@@ -47,3 +47,36 @@ def buckets(spark: SparkSession) -> int:
 def doc_key(column: str = "doc_id") -> Column:
     """doc_id without null: a null sorts first."""
     return F.coalesce(F.col(column).cast("long"), F.lit(LEAST).cast("long"))
+
+
+#: Keys with more rows than this, and more than this share of all rows, are joined by broadcast: there are 1 / SHARE of them at most.
+HOT, SHARE = 20_000, 1e-5
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how), where right has one row a key and in `weight` how many rows of left have it.
+
+    Keys with very many rows don't meet in one task: their rows of right, whose number is bounded, are broadcast.  how: inner,
+    left or left_semi; right should be cheap to read more than once.
+    """
+    total, most = right.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).first()
+    hot = max(HOT, int(float(total) * SHARE))
+    if most <= hot:
+        return left.join(right, keys, how)
+    few = F.broadcast(right.where(F.col(weight) > hot))
+    common = left.join(few, keys, "left_semi" if how == "left_semi" else "inner")
+    others = left.join(F.broadcast(right.where(F.col(weight) > hot).select(*keys)), keys, "left_anti")
+    return common.unionByName(others.join(right.where(F.col(weight) <= hot), keys, how))
+
+
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df, whose columns of these names have others for now, and the way back for withColumnsRenamed."""
+    taken, new = {c.lower() for c in (*df.columns, *names)}, {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            own = f"_{c}"
+            while own.lower() in taken:
+                own = f"_{own}"
+            taken.add(own.lower())
+            new[c] = own
+    return df.withColumnsRenamed(new), {v: k for k, v in new.items()}

@@ -176,6 +176,7 @@ def encoded(batches, path: str, end: int):
             upto = np.cumsum(counts)
             out = np.insert(flat, upto, end)
             yield ids.slice(row, len(counts)).to_pylist(), counts + 1, out
+    encoder(path).forget()
 
 
 def write_tokens(docs: DataFrame, path: str, end: int = END) -> str:

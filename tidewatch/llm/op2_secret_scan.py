@@ -2,14 +2,15 @@
 
 Base patterns find assignments, access keys and hex runs in every whole text.  The method adds `token` spans:
 other runs of 24 or more characters that look random.  The digests of all candidate values are counted by
-distinct repositories and owners over the whole corpus; a value of few owners is owner-specific and looks live, a
-value of many is a widely copied example.  A token span stays if its value is owner-specific; base spans stay
-always, and `n_live` and `n_copied` tell their values apart.  Owners alone decide: a secret that its one owner keeps
-in many repositories is still a secret.  The numbers of repositories, owners and uses are given with each span.
-
-A span is the whole match, in code points, end exclusive.  Defined cases: null or empty texts have no spans; a
-null repository or owner counts as one of its own; repeated rows are judged each; an empty table gives an empty
-result; input columns other than the named ones are not read.
+distinct repositories and owners over the whole corpus; a value of few owners and few repositories is owner-specific and
+looks live, a value of many of either is a widely copied example.  A token span stays if its value is owner-specific;
+base spans stay always, and `n_live` and `n_copied` tell their values apart.  The numbers of repositories, owners and uses
+are given with each span.
+
+A span is the whole match, in code points, end exclusive.  Defined cases: null or empty texts have no spans; a very long
+text is scanned whole, in time that grows with its length; a null repository or owner counts as one of its own; repeated
+rows are judged each; an empty table gives an empty result; input columns other than the named ones are not read, and
+`redacted` keeps them.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, settled, table
+from .common import doc_key, set_aside, settled, spread_join, table
 
 #: The kinds in their order, and their patterns (assign: on bytes with A-Z lower-cased).
 KINDS = ("assign", "access", "hex", "token")
@@ -49,8 +51,13 @@ def find(text: str, least_entropy: float = 3.5) -> list[tuple[int, int, int, byt
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(raw) if m.end() - m.start() >= 18]
     # a maximal run of 16 or more is the same match whether shorter runs are matched and dropped or skipped
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX_LONG.finditer(raw)]
+    begins, ends, reach = [], [], 0  # of the spans so far, by start, each with the furthest end up to it
+    for a, _, b, _ in sorted(found):
+        reach = max(reach, b)
+        begins.append(a), ends.append(reach)
     for m in TOKEN.finditer(raw):
-        if MIXED.match(m[0]) and entropy(m[0]) >= least_entropy and not any(a < m.end() and m.start() < b for a, _, b, _ in found):
+        before = bisect_left(begins, m.end())
+        if not (before and ends[before - 1] > m.start()) and MIXED.match(m[0]) and entropy(m[0]) >= least_entropy:
             found.append((m.start(), 3, m.end(), m[0]))
     found.sort(key=lambda x: x[:2])
     if found and len(raw) != len(text):
@@ -63,8 +70,10 @@ def find(text: str, least_entropy: float = 3.5) -> list[tuple[int, int, int, byt
     return found
 
 
-#: Up to this many documents with secrets are broadcast to be redacted.
+#: Up to this many spans (about 40 bytes each) are broadcast with their documents' keys.
 MOST_BROADCAST = 500_000
+#: A value of more owners, or of more repositories, is a copied example.
+MOST_OWNERS, MOST_REPOS = 1, 3
 _SCANNED = "row long, doc_id long, tie long, repo string, owner string, kinds array<int>, starts array<long>, ends array<long>, values array<string>"
 
 
@@ -87,22 +96,22 @@ def scan(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """value, n_repos, n_owners, n_uses over the corpus; counted in two steps, so a copied value spreads by its owners."""
+    """value, n_repos, n_owners, n_uses over the corpus.  Each number is a count of counts, so no value's uses meet in one row."""
     uses = scanned.select(F.explode("values").alias("value"), "repo", "owner")
     by = uses.groupBy("value", "owner", "repo").agg(F.count("*").alias("n"))
-    by = by.groupBy("value", "owner").agg(F.count("*").alias("r"), F.sum("n").alias("n"), F.collect_set("repo").alias("repos"), F.max(F.col("repo").isNull()).alias("none"))
-    return by.groupBy("value").agg(F.count("*").alias("n_owners"), F.size(F.array_distinct(F.flatten(F.collect_list("repos")))).alias("n_repos"), F.max("none").alias("none"), F.sum("n").alias("n_uses")).select(
-        "value", "n_owners", (F.col("n_repos") + F.col("none").cast("int")).alias("n_repos"), "n_uses"
-    )
+    owners = by.groupBy("value", "owner").agg(F.sum("n").alias("n")).groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_uses"))
+    repos = by.groupBy("value", "repo").count().groupBy("value").agg(F.count("*").alias("n_repos"))
+    return owners.join(repos, "value")
 
 
-def secrets(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, most_owners: int = 1) -> DataFrame:
+def secrets(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
     """row, doc_id, tie (a digest of the text), base and all spans (arrays of start, kind, end), n_live and n_copied of the base values,
     uses (all spans with n_repos, n_owners and n_uses of their values)."""
     scanned = settled(scan(docs, repo if repo is not None else F.col("source"), owner if owner is not None else F.col("source")), "secrets")
-    owned = ownership(scanned).select("value", "n_repos", "n_owners", "n_uses", (F.col("n_owners") <= most_owners).alias("live"))
+    live = (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos)
+    owned = settled(ownership(scanned).select("value", "n_repos", "n_owners", "n_uses", live.alias("live")), "owned")
     each = scanned.where(F.size("values") > 0).select("row", F.explode(F.arrays_zip("starts", "kinds", "ends", "values")).alias("x"))
-    each = each.select("row", "x.starts", "x.kinds", "x.ends", F.col("x.values").alias("value")).join(owned, "value")
+    each = spread_join(each.select("row", "x.starts", "x.kinds", "x.ends", F.col("x.values").alias("value")), owned, ["value"], "n_uses")
     span = F.struct(F.col("starts").alias("start"), F.col("kinds").alias("kind"), F.col("ends").alias("end"))
     counted = F.struct(F.col("starts").alias("start"), F.col("kinds").alias("kind"), F.col("ends").alias("end"), F.col("n_repos").cast("long").alias("n_repos"), F.col("n_owners").cast("long").alias("n_owners"), F.col("n_uses").cast("long").alias("n_uses"))
     base = F.col("kinds") < 3
@@ -133,12 +142,13 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, most_owners: int = 1) -> DataFrame:
+def redacted(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
     """docs with all secrets of their texts replaced by a mark.  Texts are met again by doc_id and digest."""
-    found = secrets(docs, repo, owner, most_owners).where(F.size("spans") > 0)
+    found = secrets(docs, repo, owner, most_owners, most_repos).where(F.size("spans") > 0)
     found = settled(found.select(doc_key().alias("_dk"), F.col("tie").alias("_tk"), F.col("spans").alias("_spans")).dropDuplicates(["_dk", "_tk"]), "spans")
-    if found.count() <= MOST_BROADCAST:
+    if (found.agg(F.sum(F.size("_spans") + 1)).first()[0] or 0) <= MOST_BROADCAST:
         found = F.broadcast(found)
+    docs, back = set_aside(docs, "_dk", "_tk", "_spans")
     keyed = docs.withColumns({"_dk": doc_key(), "_tk": F.xxhash64("text")}).join(found, ["_dk", "_tk"], "left")
     columns = docs.columns
 
@@ -148,7 +158,7 @@ def redacted(docs: DataFrame, repo: Column | None = None, owner: Column | None =
             texts = [t.as_py() if s is None else redact(t.as_py(), [(x["start"], x["end"]) for x in s]) for t, s in zip(batch.column("text"), batch.column("_spans").to_pylist())]
             yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
 
-    return keyed.mapInArrow(run, docs.schema)
+    return keyed.mapInArrow(run, docs.schema).withColumnsRenamed(back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

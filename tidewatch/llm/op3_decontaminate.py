@@ -3,12 +3,13 @@
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of all non-ASCII characters.  Each benchmark
 item gives its windows of `n` consecutive words (one shorter window, if it has fewer words); their distinct
 hashes are broadcast behind a check of their number, beyond which the same join is shuffled.  Every window of
-every document probes them, a comparison of the words verifies each hit, and the hits of a row meet in one small
-aggregation.  The whole text of a document never leaves the task that scanned it.
+every document probes them with its hash and place alone, so a long text is no wider than a short one; hits of a row meet
+in one small aggregation.  Then the documents with hits, and no others, are read again, and a comparison of the words
+verifies each hit.
 
-Defined cases: a null or empty text or one of punctuation only has no words and no hits; an item without words has
-no windows; repeated rows are judged each; empty tables give empty results or no hits; extra columns stay with
-`clean` and are not read otherwise.
+Defined cases: a null or empty text or one of punctuation only has no words and no hits; a very long text takes time in
+proportion to its length; an item without words has no windows; repeated rows are judged each; empty tables give empty
+results or no hits; extra columns stay with `clean` and are not read otherwise.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, settled, table
+from .common import doc_key, set_aside, settled, table
 
 #: A word in a text not yet lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Up to this many distinct windows (about 200 bytes each) the benchmark side is broadcast.
-MOST_BROADCAST = 500_000
+#: Up to this many rows of hashes (about 32 bytes each) or bytes of windows the benchmark side is broadcast.
+MOST_BROADCAST, MOST_BYTES = 500_000, 32 << 20
 
 
 def raw_words(text: Column) -> Column:
@@ -47,29 +48,39 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
 
     spans: sorted array of (first hit word, words), counted from 1.
     """
-    bench = benchmark_windows(benchmark, n)
-    sizes = bench.groupBy("size").count().collect()  # n rows at most
-    windows = sum(r["count"] for r in sizes)
+    bench = settled(benchmark_windows(benchmark, n), "windows")
+    sizes = bench.groupBy("size").agg(F.count("*").alias("count"), F.sum(F.octet_length(F.array_join(F.concat("gram", "items"), " "))).alias("bytes")).collect()  # n rows at most
+    windows, size_of = sum(r["count"] for r in sizes), sum(r["bytes"] for r in sizes)
+    keys = bench.select("key", F.col("size").alias("len"), F.lit(True).alias("met")).distinct()
     d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("tie"), words(F.col("text")).alias("w"))
-    d = d.select("row", "doc_id", "tie", "w", F.size("w").cast("long").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    d = d.select("row", "doc_id", "tie", F.size("w").cast("long").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
 
     def probes(size: int) -> Column:
         starts = F.when(F.size("h") >= size, F.sequence(F.lit(1), F.size("h") - size + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(size).alias("len"), F.xxhash64(F.slice("h", i, size)).alias("key")))
 
     none = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("key")))
-    each = d.select("row", "doc_id", "tie", "n_words", "w", F.explode(F.concat(none, *[probes(r["size"]) for r in sorted(sizes)])).alias("p"))
-    if windows <= MOST_BROADCAST:
-        each, bench = each.select("row", "doc_id", "tie", "n_words", "w", "p.*"), F.broadcast(bench)
-        same = (each.key == bench.key) & (F.slice(each.w, each["at"], bench["size"]) == bench.gram) & (each.len == bench["size"])
-    else:  # too many to broadcast: each window takes its own words through the shuffle
-        each = each.select("row", "doc_id", "tie", "n_words", F.slice("w", F.greatest("p.at", F.lit(1)), F.col("p.len")).alias("own"), "p.*")
-        same = (each.key == bench.key) & (each.own == bench.gram)
-    found = each.join(bench, same, "left").where("items IS NOT NULL OR len = 0")
-    found = found.groupBy("row", "doc_id", "tie", "n_words").agg(
-        F.array_sort(F.collect_set(F.when(F.col("items").isNotNull(), F.struct("at", "len")))).alias("at"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    each = d.select("row", "doc_id", "tie", "n_words", F.explode(F.concat(none, *[probes(r["size"]) for r in sorted(sizes)])).alias("p")).select("row", "doc_id", "tie", "n_words", "p.*")
+    met = each.join(F.broadcast(keys) if windows <= MOST_BROADCAST else keys, ["key", "len"], "left").where("met OR len = 0")
+    met = settled(met.groupBy("row", "doc_id", "tie", "n_words").agg(F.collect_set(F.when(F.col("met"), F.struct("at", "len"))).alias("hits")), "hits")
+    # the words of the hits, of each text once
+    few = settled(met.where(F.size("hits") > 0).select(doc_key().alias("dk"), "tie", "hits").dropDuplicates(["dk", "tie"]), "texts")
+    some = few.select("dk", "tie", "hits")
+    if (few.agg(F.sum(F.size("hits") + 1)).first()[0] or 0) <= MOST_BROADCAST:
+        some = F.broadcast(some)
+    texts = docs.select(doc_key().alias("dk"), F.xxhash64("text").alias("tie"), "text").join(some, ["dk", "tie"])
+    own = texts.select("dk", "tie", "hits", words(F.col("text")).alias("w")).select("dk", "tie", F.explode(F.transform("hits", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), F.slice("w", x["at"], x["len"]).alias("gram")))).alias("x"))
+    same = bench.select("gram", "items")
+    verified = own.select("dk", "tie", "x.*").join(F.broadcast(same) if size_of <= MOST_BYTES else same, "gram")
+    verified = verified.groupBy("dk", "tie").agg(
+        F.array_sort(F.collect_set(F.struct("at", "len"))).alias("at"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
+    verified = settled(verified, "verified")
+    if (verified.agg(F.sum(F.size("at") + F.size("items"))).first()[0] or 0) <= MOST_BROADCAST:
+        verified = F.broadcast(verified)
+    found = met.drop("hits").withColumn("dk", doc_key()).join(verified, ["dk", "tie"], "left")
+    found = found.withColumns({"at": F.coalesce("at", F.array().cast("array<struct<at:int,len:int>>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
 
     def cover(a: Column, x: Column) -> Column:
@@ -94,15 +105,31 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop: bool = True)
     Found rows are met again by doc_id and a digest of the text; rows that agree in both have the same hits.
     """
     bad = settled(hits(docs, benchmark, n).where("contaminated").select(doc_key().alias("_dk"), F.col("tie").alias("_tk"), F.col("spans").alias("_spans")).dropDuplicates(["_dk", "_tk"]), "contaminated")
-    if bad.count() <= MOST_BROADCAST:
+    if drop:
+        bad = bad.drop("_spans")
+    if (bad.agg(F.sum(F.lit(1) if drop else F.size("_spans"))).first()[0] or 0) <= MOST_BROADCAST:
         bad = F.broadcast(bad)
+    docs, back = set_aside(docs, "_dk", "_tk", "_spans")
     keyed = docs.withColumns({"_dk": doc_key(), "_tk": F.xxhash64("text")})
     if drop:
-        return keyed.join(bad, ["_dk", "_tk"], "left_anti").select(*docs.columns)
+        return keyed.join(bad, ["_dk", "_tk"], "left_anti").select(*docs.columns).withColumnsRenamed(back)
+    span = lambda at, end: F.struct(at.cast("int").alias("at"), end.cast("int").alias("end"))
+
+    def merge(done: Column, s: Column) -> Column:
+        last, end = F.element_at(done, -1), s["at"] + s["len"]
+        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(span(last["at"], F.greatest(last["end"], end))))
+        return F.when(s["at"] <= last["end"], longer).otherwise(F.concat(done, F.array(span(s["at"], end))))
+
+    # disjoint ranges of hit words, after an empty one at the first word
+    merged = F.aggregate("_spans", F.array(span(F.lit(1), F.lit(1))), merge)
+    keyed = keyed.join(bad, ["_dk", "_tk"], "left").withColumn("_spans", F.when(F.col("_spans").isNotNull(), merged))
     w, gaps = raw_words(F.col("text")), F.split("text", WORD, -1)
-    kept = F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.concat(F.get(gaps, i), F.when(F.exists("_spans", lambda s: (i + 1 >= s["at"]) & (i + 1 < s["at"] + s["len"])), "").otherwise(F.get(w, i))))
-    cut = F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))
-    return keyed.join(bad, ["_dk", "_tk"], "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    both = F.transform(w, lambda x, i: F.concat(F.get(gaps, i), x))
+    stop = lambda i: F.coalesce(F.get("_spans", i + 1)["at"], F.size(w) + 1)
+    text = lambda array, a, b: F.array_join(F.slice(array, a, b - a), "")
+    cut = F.array_join(F.transform("_spans", lambda x, i: F.concat(text(gaps, x["at"], x["end"]), text(both, x["end"], stop(i)))), "")
+    cut = F.concat(cut, F.element_at(gaps, -1))
+    return keyed.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns).withColumnsRenamed(back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

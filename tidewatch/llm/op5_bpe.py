@@ -1,15 +1,18 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries in each partition.
 
 Texts are cut by the tokenizer's pattern, vectorised over code points.  The distinct pieces of a partition become
-token-position rows of a recursive query: each round joins neighbouring rows with the merge table and contracts
-the leftmost pair of least rank of each piece, until no piece has a pair in the table.  Decoding joins the ids of
+token-position rows of a recursive query (w: piece, p: place, q: place of the next): each round joins neighbouring rows with
+the merge table and contracts the leftmost pair of least rank of each piece, until no piece has a pair in the table.  Decoding joins the ids of
 a document with the vocabulary and aggregates the bytes in order of position.
 
-A piece of over LONG bytes (none in ordinary text) would need as many rounds as it has bytes; such a piece is
-contracted by a heap instead, with the same result.  Pieces met before in a worker are kept, `most` at most.
+A query runs ROUNDS rounds at most and the next one goes on from its result, so the rows of past rounds are given up.
+A piece of over LONG bytes without white space (none in ordinary text) needs about as many rounds as it has bytes, each
+over all of them; it is contracted by a heap instead, with the same result.  Pieces met before in a task are kept, a
+bounded number; a task gives its DuckDB up when it ends, and DuckDB never writes to disk.
 
-Defined cases: a null or empty text has no ids and decodes to nothing; repeated rows are encoded each; an empty table
-gives an empty result; extra columns stay and the result columns replace columns of the same name.
+Defined cases: a null or empty text has no ids and decodes to nothing; a very long text is cut at white characters where
+a piece surely starts; repeated rows are encoded each; an empty table gives an empty result; extra columns stay and the
+result columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -29,23 +32,23 @@ from .common import table
 from .kernels import utf8
 from .pieces import Encoder
 
-LONG = 128
-#: Pieces in one recursive query, and token rows in one decoding query; they bound DuckDB's memory.
-PIECES, ROWS = 20_000, 400_000
+LONG, ROUNDS = 1024, 48
+#: Bytes of the pieces of one recursive query, and token rows in one decoding query; they bound DuckDB's memory.
+BYTES, ROWS = 160_000, 200_000
 
 ENCODE = """
-WITH RECURSIVE t(w, p, tok, r) AS (
-    SELECT w, p, tok, 0 FROM given
+WITH RECURSIVE t(w, p, q, tok, r) AS (
+    SELECT w, p, p + 1, tok, 0 FROM given
   UNION ALL (
-    WITH n AS (SELECT w, p, tok, r, lead(tok) OVER (PARTITION BY w ORDER BY p) AS nxt FROM t),
-    m AS (SELECT n.w, n.p, n.tok, n.r, g.made, n.nxt FROM n LEFT JOIN merges g ON g.pair = (n.tok::BIGINT << 32) + n.nxt),
-    b AS (SELECT w, min((made::BIGINT << 32) + p) AS best FROM m WHERE made IS NOT NULL GROUP BY w)
-    SELECT m.w, m.p, CASE WHEN m.p = b.best & 4294967295 THEN m.made ELSE m.tok END, m.r + 1
-    FROM m JOIN b USING (w)
-    QUALIFY coalesce(lag(m.p) OVER (PARTITION BY m.w ORDER BY m.p), -1) <> b.best & 4294967295
+    WITH m AS (SELECT a.w, a.p, a.q, b.q AS after, a.tok, a.r, g.made
+        FROM t a LEFT JOIN t b ON b.w = a.w AND b.p = a.q LEFT JOIN merges g ON g.pair = (a.tok::BIGINT << 32) + b.tok),
+    best AS (SELECT w, min((made::BIGINT << 40) + (p::BIGINT << 20) + q) AS x FROM m WHERE made IS NOT NULL GROUP BY w),
+    c AS (SELECT w, (x >> 20) & 1048575 AS l, x & 1048575 AS r FROM best)
+    SELECT m.w, m.p, CASE WHEN m.p = c.l THEN m.after ELSE m.q END, CASE WHEN m.p = c.l THEN m.made ELSE m.tok END, m.r + 1
+    FROM m JOIN c USING (w) WHERE m.r < $rounds AND m.p <> c.r
   )
 )
-SELECT w, tok FROM t QUALIFY r = max(r) OVER (PARTITION BY w) ORDER BY w, p
+SELECT w, tok, r FROM t JOIN (SELECT w, max(r) AS r FROM t GROUP BY w) USING (w, r) ORDER BY w, p
 """
 DECODE = "SELECT d, list(v.bytes ORDER BY g.p) AS parts FROM given_ids g JOIN vocabulary v ON g.tok = v.tok GROUP BY d ORDER BY d"
 
@@ -81,29 +84,66 @@ def by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+@lru_cache(2)
+def tables(path: str) -> tuple[dict[bytes, int], pa.Table, pa.Table]:
+    """(ranks, vocabulary, merge table) of a tokenizer."""
+    ranks = read_ranks(path)
+    left, right, made = [], [], []
+    for token, rank in ranks.items():  # any cut of a token into two tokens is a pair that it contracts
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is not None and b is not None:
+                left.append(a), right.append(b), made.append(rank)
+    vocabulary = pa.table({"bytes": pa.array(ranks, pa.binary()), "tok": pa.array(ranks.values(), pa.int32())})
+    pair = (np.array(left, np.int64) << 32) + np.array(right, np.int64)
+    return ranks, vocabulary, pa.table({"pair": pair, "made": np.array(made, np.int32)})
+
+
 class Bpe:
-    """The tables of one tokenizer in a DuckDB of this process."""
+    """A tokenizer in a DuckDB of this process; `close` gives its memory back."""
 
     def __init__(self, path: str):
-        self.ranks = read_ranks(path)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        tok = pa.array(self.ranks.values(), pa.int32())
-        self.db.register("v", pa.table({"bytes": pa.array(self.ranks, pa.binary()), "tok": tok}))
+        self.ranks, vocabulary, merges = tables(path)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
+        self.db.register("v", vocabulary), self.db.register("m", merges)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
-        left, right, made = [], [], []
-        for token, rank in self.ranks.items():  # any cut of a token into two tokens is a pair that it contracts
-            for i in range(1, len(token)):
-                a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
-                if a is not None and b is not None:
-                    left.append(a), right.append(b), made.append(rank)
-        self.db.register("m", pa.table({"l": pa.array(left, pa.int64()), "r": pa.array(right, pa.int64()), "made": pa.array(made, pa.int32())}))
-        self.db.execute("CREATE TABLE merges AS SELECT (l << 32) + r AS pair, made FROM m")
+        self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.byte < 0).any():
             raise ValueError("the ranks lack single bytes")
         self.encoder = Encoder(self.pieces)
 
-    def pieces(self, pieces: list[bytes]) -> list[list[int]]:
+    def close(self) -> None:
+        self.encoder.forget()
+        self.db.close()
+
+    def _rows(self, query: str, name: str, rows: pa.Table, **given) -> pa.Table:
+        self.db.register(name, rows)
+        try:
+            return self.db.sql(query, params=given or None).to_arrow_table()
+        finally:
+            self.db.unregister(name)
+
+    def contracted(self, raw: list[bytes]) -> list[np.ndarray]:
+        """The ids of pieces, by the recursive query until none has a pair in the merge table."""
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        w = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
+        tok = self.byte[np.frombuffer(b"".join(raw), np.uint8)]
+        out: list = [None] * len(raw)
+        while len(w):
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            p = np.arange(len(w)) - np.repeat(first, np.diff(np.append(first, len(w))))
+            got = self._rows(ENCODE, "given", pa.table({"w": w, "p": p.astype(np.int32), "tok": tok}), rounds=ROUNDS)
+            w, tok, r = (got[c].to_numpy() for c in ("w", "tok", "r"))
+            done = r < ROUNDS
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            for i, a, b in zip(w[first].tolist(), first.tolist(), [*first[1:].tolist(), len(w)]):
+                out[i] = tok[a:b]
+            w, tok = w[~done], tok[~done]
+        return out
+
+    def pieces(self, pieces: list[bytes]) -> list:
+        """The ids of each piece."""
         out: list = [None] * len(pieces)
         short = []
         for i, p in enumerate(pieces):
@@ -113,19 +153,16 @@ class Bpe:
                 out[i] = by_heap(p, self.ranks)
             else:
                 short.append(i)
-        for k in range(0, len(short), PIECES):
-            some = short[k : k + PIECES]
-            raw = [pieces[i] for i in some]
-            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-            w = np.repeat(np.arange(len(raw)), sizes)
-            p = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            given = pa.table({"w": w.astype(np.int32), "p": p.astype(np.int32), "tok": self.byte[np.frombuffer(b"".join(raw), np.uint8)]})
-            self.db.register("given", given)
-            got = self.db.execute(ENCODE).to_arrow_table()
-            gw, tok = got["w"].to_numpy(), got["tok"].to_numpy()
-            cut = np.flatnonzero(np.diff(gw)) + 1
-            for i, ids in zip(some, np.split(tok, cut)):
-                out[i] = ids.tolist()
+        short.sort(key=lambda i: len(pieces[i]))  # pieces of one query need about as many rounds
+        a = 0
+        while a < len(short):
+            b, size = a, 0
+            while b < len(short) and size < BYTES:
+                size += len(pieces[short[b]])
+                b += 1
+            for i, ids in zip(short[a:b], self.contracted([pieces[i] for i in short[a:b]])):
+                out[i] = ids
+            a = b
         return out
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -138,8 +175,7 @@ class Bpe:
             own = ids[upto[a] : upto[b]]
             if len(own):
                 given = pa.table({"d": np.repeat(np.arange(a, b), counts[a:b]), "p": np.arange(len(own)), "tok": own.astype(np.int32)})
-                self.db.register("given_ids", given)
-                got = self.db.execute(DECODE).to_arrow_table().combine_chunks()
+                got = self._rows(DECODE, "given_ids", given).combine_chunks()
                 parts = pa.concat_arrays(got["parts"].chunks) if got["parts"].num_chunks != 1 else got["parts"].chunk(0)
                 flat = parts.flatten()
                 sizes = np.diff(np.asarray(parts.offsets))
@@ -159,11 +195,6 @@ def utf8_bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
     return data.to_pybytes()[offs[0] : offs[-1]], offs - offs[0]
 
 
-@lru_cache(2)
-def tokenizer(path: str) -> Bpe:
-    return Bpe(path)
-
-
 def bpe(docs: DataFrame, path: str, text: str = "text", ids: bool = True) -> DataFrame:
     """docs without its text, with n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids themselves."""
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
@@ -172,7 +203,13 @@ def bpe(docs: DataFrame, path: str, text: str = "text", ids: bool = True) -> Dat
     kept = [f for f in given.schema.fields if f.name != text]
 
     def run(batches):
-        made = tokenizer(path)
+        made = Bpe(path)
+        try:
+            yield from encoded(made, batches)
+        finally:
+            made.close()
+
+    def encoded(made, batches):
         for batch in batches:
             buf, offs = utf8(batch.column(text))
             for row, flat, counts in made.encoder.texts(buf, offs):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import repeats
-from .common import table
+from .common import set_aside, table
 from .kernels import CHUNK, Digests, blocks, mix
 
 WINDOW, CORE = 100, 32
@@ -106,7 +106,7 @@ def dedup(docs: DataFrame, name: str = "suffixes", texts: bool = True) -> DataFr
     """docs without text, with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the bytes left."""
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     new += [T.StructField("kept", T.BinaryType())] * texts
-    given = docs.drop(*[f.name for f in new], "recs", "spans", "dk", "tk")
+    given, back = set_aside(docs.drop(*[f.name for f in new]), "recs", "spans", "dk", "tk")
     found = repeats.with_spans(given, KIND, name)
     kept_columns = [f for f in given.schema.fields if f.name != "text"]
 
@@ -122,7 +122,7 @@ def dedup(docs: DataFrame, name: str = "suffixes", texts: bool = True) -> DataFr
                     column.append(v)
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept_columns], *[pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]], names=[f.name for f in [*kept_columns, *new]])
 
-    return found.mapInArrow(run, T.StructType([*kept_columns, *new]))
+    return found.mapInArrow(run, T.StructType([*kept_columns, *new])).withColumnsRenamed(back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

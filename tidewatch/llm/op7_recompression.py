@@ -11,7 +11,8 @@ context stands in several surroundings the words themselves are compared.
 
 Removed are words covered by a window that also starts in a document with a smaller doc_id.  Defined cases: texts of
 fewer than 13 words and null texts lose nothing; a null doc_id counts as the least; rows of one doc_id don't repeat
-each other; an empty table gives an empty result; extra columns stay with `dedup`.
+each other; an empty table gives an empty result; extra columns stay with `dedup`, and the
+result columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import repeats
-from .common import table
+from .common import set_aside, table
 from .kernels import Digests, chunks, mix, sequences, spans, word_table
 
 WINDOW, ROUNDS = 13, 3
@@ -172,7 +173,7 @@ def dedup(docs: DataFrame, name: str = "symbols", texts: bool = True) -> DataFra
     """docs without text, with n_words, n_removed, kept_sha256 and, if asked for, kept: the words left, one space between."""
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     new += [T.StructField("kept", T.StringType())] * texts
-    given = docs.drop(*[f.name for f in new], "recs", "spans", "dk", "tk")
+    given, back = set_aside(docs.drop(*[f.name for f in new]), "recs", "spans", "dk", "tk")
     found = repeats.with_spans(given, KIND, name)
     kept_columns = [f for f in given.schema.fields if f.name != "text"]
 
@@ -189,7 +190,7 @@ def dedup(docs: DataFrame, name: str = "symbols", texts: bool = True) -> DataFra
             columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept_columns], *columns[: len(new)]], names=[f.name for f in [*kept_columns, *new]])
 
-    return found.mapInArrow(run, T.StructType([*kept_columns, *new]))
+    return found.mapInArrow(run, T.StructType([*kept_columns, *new])).withColumnsRenamed(back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

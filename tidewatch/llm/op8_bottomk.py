@@ -14,7 +14,8 @@ links found make components.  Lists whose members are then in different componen
 over the full sets of their members: values in one common order, rarest first, a short prefix on the side of the
 smaller set and a longer one on the other, and at a shared value what is left of both sets must still reach the
 threshold.  In a large group of copies that were each edited too much, the edits' own values fill the prefixes, so
-such a group gives few pairs instead of all.  Full sets confirm these pairs too.
+such a group gives few pairs instead of all.  Full sets confirm these pairs too.  What two documents share beyond
+the LISTED values is not looked at for candidates; `exact` runs the prefix filter over all documents instead.
 
 Defined cases: documents with fewer than 5 words have their whole sequence as one shingle; without words, or with
 null text, a document is linked with nothing; a null doc_id is linked with nothing, has a null component and is
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import set_aside, settled, spread_join, table
 from .components import components
 from .kernels import Digests, ascii_lower, chunks, grams, mix, spans, utf8, word_table
 
@@ -105,18 +106,19 @@ def least_shared(similarity: float) -> int:
 
 
 def inverted(classes: DataFrame, similarity: float = 0.85) -> DataFrame:
-    """v, band, id, n: the lists of more than one member."""
+    """v, band, id, n: the lists, with those of one member where another value of a band is shared."""
     listed = classes.select("id", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
-    uses = listed.groupBy("v").agg(F.count("*").alias("df"))
+    uses = settled(listed.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "uses")
     # a smaller set is listed whole; some of its values may be beyond the LISTED least of a larger partner
     cut = F.greatest(F.floor(F.col("n") / similarity) - LISTED, F.lit(0))
     least = F.when(F.col("n") >= LISTED, F.lit(least_shared(similarity))).otherwise(F.greatest(F.ceil(F.col("n") * similarity) - cut, F.lit(1)))
     prefix = F.least(F.col("n"), F.lit(LISTED)) - least + 1
-    values = listed.join(uses, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    values = values.select("id", "n", F.explode(F.slice("vs", F.lit(1), prefix.cast("int"))).alias("x")).where("x.df > 1")
+    # values of one class come first in the order and make no lists
+    values = spread_join(listed, uses, ["v"], "df").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    alone = F.least(F.col("n"), F.lit(LISTED)) - F.size("vs")
+    values = values.select("id", "n", F.explode(F.slice("vs", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))).alias("x"))
     band = F.floor(F.ln(F.col("n").cast("double")) / -math.log(similarity)).cast("int")
-    keyed = values.select("id", "n", "x.v", F.explode(F.array(band, band + 1)).alias("band"))
-    return keyed
+    return values.select("id", "n", "x.v", F.explode(F.array(band, band + 1)).alias("band"))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -148,26 +150,16 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     a, b = (sets.select(F.col("id").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
-    both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ma", "mb")
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ma"), batch.column("mb")):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                at = np.searchsorted(x, y)
-                same = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "u long, v long")
+    both = pairs.select("a", "b").join(b, "b").join(a, "a")
+    same = F.size(F.array_intersect("ma", "mb"))
+    return both.where(100 * same >= percent * (F.size("ma") + F.size("mb") - same)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of documents of different components (labels: id, c) that the prefix filter can't rule out."""
     values = sets.select("id", F.size("members").cast("long").alias("n"), F.explode("members").alias("v"))
-    common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    kept = values.join(common, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    common = settled(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    kept = spread_join(values, common, ["v"], "df").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     kept = kept.join(labels, "id")
     # values of one document only come first in the order and meet nobody
     alone = F.col("n") - F.size("vs")
@@ -185,27 +177,13 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-#: Rows of one Arrow batch: a row of a pair holds two full sets, so Spark's 10,000 would be 100 MB in each process.
-BATCH = 1000
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
-    All that runs Python is done on return, in Arrow batches of BATCH rows at most.
+    exact: candidates come from the prefix filter over the full sets of all documents alone, which misses nothing but
+    shuffles all shingles.
     """
-    return _judged(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
-
-
-def _judged(docs: DataFrame, percent: int) -> DataFrame:
-    """near_duplicates with tie, a digest of the text."""
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, str(BATCH if int(before) <= 0 else min(BATCH, int(before))))
-    try:
-        return _near_duplicates(docs, percent)
-    finally:
-        conf.set(name, before)
+    return _judged(docs, percent, exact).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _own_ids(docs: DataFrame, classes: DataFrame, again: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -220,8 +198,33 @@ def _own_ids(docs: DataFrame, classes: DataFrame, again: DataFrame) -> tuple[Dat
     return settled(classes, "classes"), each.join(again, "doc_id", "left_anti").unionByName(first)
 
 
-def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
-    similarity = percent / 100
+def _all_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """u, v: all pairs of classes at the threshold, but for some inside components that others already tie."""
+    labels = classes.select("id", F.col("id").alias("c"))
+    sets = settled(full_sets(docs, labels.select("id")), "sets")
+    return _links(prefix_pairs(sets, labels, percent), sets, percent)
+
+
+def _sketch_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """u, v: links whose components are those of all links that the inverted lists meet."""
+    lists = settled(inverted(classes, percent / 100), "lists")
+    pivots = lists.groupBy("v", "band").agg(F.min("id").alias("a"), F.min_by("n", "id").alias("na"), F.count("*").alias("m")).where("m > 1")
+    pivots = settled(pivots, "pivots")
+    near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
+    first = spread_join(lists, pivots, ["v", "band"], "m").where(F.col("id") > F.col("a")).where(near(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct()
+    tested = settled(_estimated(first, classes, percent / 100).select("a", "b"), "pairs")
+    ids = tested.select(F.col("a").alias("id")).unionByName(tested.select(F.col("b").alias("id"))).distinct()
+    links = settled(_links(tested, settled(full_sets(docs, ids), "sets"), percent), "links")
+    # members of lists that the first links left apart
+    labelled = lists.join(components(links), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    apart = labelled.groupBy("v", "band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high").select("v", "band", "m")
+    left = settled(spread_join(labelled, settled(apart, "lists-apart"), ["v", "band"], "m", "left_semi").select("id", "c").distinct(), "apart")
+    sets = settled(full_sets(docs, left.select("id")), "sets")
+    return links.unionByName(_links(prefix_pairs(sets, left, percent), sets, percent))
+
+
+def _judged(docs: DataFrame, percent: int, exact: bool = False) -> DataFrame:
+    """near_duplicates with tie, a digest of the text."""
     made = settled(sketches(docs), "sketches")
     classes = made.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first("sketch").alias("sketch"))
     classes = settled(classes.select("d1", "d2", "n", F.col("least.doc_id").alias("id"), F.col("least.doc_id").alias("doc"), "least.tie", "sketch"), "classes")
@@ -229,21 +232,7 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     repeats = again.count() > 0
     if repeats:
         classes, docs = _own_ids(docs, classes, again)
-    lists = settled(inverted(classes, similarity), "lists")
-    pivots = lists.groupBy("v", "band").agg(F.min("id").alias("a"), F.min_by("n", "id").alias("na"), F.count("*").alias("m")).where("m > 1")
-    near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    first = lists.join(pivots, ["v", "band"]).where(F.col("id") > F.col("a")).where(near(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct()
-    tested = settled(_estimated(first, classes, similarity).select("a", "b"), "pairs")
-    ids = tested.select(F.col("a").alias("id")).unionByName(tested.select(F.col("b").alias("id"))).distinct()
-    links = settled(_links(tested, settled(full_sets(docs, ids), "sets"), percent), "links")
-    found = components(links)
-    # members of lists that the first links left apart
-    labelled = lists.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    apart = labelled.groupBy("v", "band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("v", "band")
-    left = settled(labelled.join(apart, ["v", "band"], "left_semi").select("id", "c").distinct(), "apart")
-    sets = settled(full_sets(docs, left.select("id")), "sets")
-    more = _links(prefix_pairs(sets, left, percent), sets, percent)
-    found = components(links.unionByName(more))
+    found = components(_all_links(docs, classes, percent) if exact else _sketch_links(docs, classes, percent))
     named = classes.select("d1", "d2", "n", "id", "doc").join(found, "id", "left").select("d1", "d2", "n", "doc", F.coalesce("component", "id").alias("c"))
     if repeats:  # ids are not all doc_ids: a component's least doc_id is that of its classes
         named = settled(named, "components")
@@ -270,13 +259,14 @@ def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     counts = {r["one"]: r["count"] for r in cut.groupBy("one").count().collect()}
     if sum(counts.values()) <= MOST_BROADCAST:
         cut = F.broadcast(cut)
+    docs, back = set_aside(docs, "_dk", "_tk")
     keyed = docs.withColumns({"_dk": F.col("doc_id").cast("long"), "_tk": F.xxhash64("text")})
     kept = keyed.join(cut, ["_dk", "_tk"], "left_anti").select(*docs.columns)
-    if True not in counts:
-        return kept
-    row = F.struct(*docs.columns)
-    once = keyed.join(cut.where("one"), ["_dk", "_tk"], "left_semi").groupBy("_dk", "_tk").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("r"))
-    return kept.unionByName(once.select("r.*"))
+    if True in counts:
+        row = F.struct(*docs.columns)
+        once = keyed.join(cut.where("one"), ["_dk", "_tk"], "left_semi").groupBy("_dk", "_tk").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("r"))
+        kept = kept.unionByName(once.select("r.*"))
+    return kept.withColumnsRenamed(back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -95,7 +96,7 @@ class Encoder:
     Pieces are looked up by digest and their bytes are compared; one whose digest another piece has is encoded each time.
     """
 
-    def __init__(self, encode, most: int = 250_000, most_bytes: int = 8 << 20):
+    def __init__(self, encode, most: int = 400_000, most_bytes: int = 8 << 20):
         self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self.digest = lambda part, starts, ends: Digests(part).of(starts, ends)
         self.forget()
@@ -114,7 +115,7 @@ class Encoder:
         got = self.encode(pieces)
         size = np.fromiter(map(len, got), np.int64, len(got))
         at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
         return at, size
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
