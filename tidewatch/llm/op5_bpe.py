@@ -34,7 +34,7 @@ from .pieces import Encoder
 
 LONG, ROUNDS = 1024, 48
 #: Bytes of the pieces of one recursive query, and token rows in one decoding query; they bound DuckDB's memory.
-BYTES, ROWS = 160_000, 200_000
+BYTES, ROWS = 80_000, 100_000
 
 ENCODE = """
 WITH RECURSIVE t(w, p, q, tok, r) AS (
@@ -104,7 +104,7 @@ class Bpe:
 
     def __init__(self, path: str):
         self.ranks, vocabulary, merges = tables(path)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "temp_directory": ""})
         self.db.register("v", vocabulary), self.db.register("m", merges)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")

@@ -155,15 +155,14 @@ def _splitters(texts: DataFrame, kind: Kind, n: int) -> np.ndarray:
     return np.array(got or [], np.int64).view(np.uint64) ^ np.uint64(1 << 63)
 
 
-def _dealt_to(kind: Kind, splitters: np.ndarray | None, r: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, whether its core may be in other buckets too) of each record."""
-    if splitters is None:
-        return r["core"][:, 0] % np.uint64(n), np.zeros(len(r), bool)
+def _dealt_to(splitters: np.ndarray | None, r: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, number of buckets that hold its core) of each record."""
     key = r["core"][:, 0]
+    if splitters is None:
+        return key % np.uint64(n), np.ones(len(r), np.int64)
     low, high = np.searchsorted(splitters, key, "left"), np.searchsorted(splitters, key, "right")
-    wide = high - low > 1  # the buckets that end with this key, all but the last of them with nothing else
-    spread = mix(r["doc"].astype(np.uint64)) % np.maximum(high - low, 1).astype(np.uint64)
-    return (low.astype(np.uint64) + np.where(wide, spread, 0)).astype(np.uint64), wide
+    over = np.maximum(high - low, 1)  # the buckets that end with this key: it is so common that several splitters fall on it
+    return low.astype(np.uint64) + mix(r["cover"]) % over.astype(np.uint64), over  # equal covers meet
 
 
 def _deal(kind: Kind, n: int, splitters: np.ndarray | None):
@@ -175,7 +174,7 @@ def _deal(kind: Kind, n: int, splitters: np.ndarray | None):
         repeat = np.zeros(len(r), bool)
         repeat[order] = again
         # a repeat needs no comparison: it goes to a bucket by its document
-        bucket = np.where(repeat, mix(r["doc"].astype(np.uint64)) % np.uint64(n), _dealt_to(kind, splitters, r, n)[0])
+        bucket = np.where(repeat, mix(r["doc"].astype(np.uint64)) % np.uint64(n), _dealt_to(splitters, r, n)[0])
         order = np.lexsort((r["anchor"], r["tie"], r["doc"], repeat, bucket))
         r, repeat, bucket = r[order], repeat[order], bucket[order]
         edge = np.flatnonzero((np.diff(bucket.astype(np.int64)) != 0) | (np.diff(repeat.astype(np.int8)) != 0)) + 1
@@ -254,14 +253,14 @@ def _classify(kind: Kind, splitters: np.ndarray | None):
             del parts
             cores = _cores(r["core"])
             order, number, again = _first_of([r["cover"], cores], r, kind.within)
-            s, cores, wide = r[order], cores[order], _dealt_to(kind, splitters, r, 1)[1][order]
+            s, cores, over = r[order], cores[order], _dealt_to(splitters, r, 1)[1][order]
             core_new = np.ones(len(s), bool)
             core_new[1:] = cores[1:] != cores[:-1]
             core = np.cumsum(core_new) - 1
             first = np.flatnonzero(core_new)
             classes = number[np.append(first[1:], len(s)) - 1] - number[first] + 1
-            open_ = ~again & ((classes[core] > 1) | wide)
-            s["size"][(np.bincount(core, open_)[core] > kind.hot) | wide] |= HOT
+            open_ = ~again & ((classes[core] > 1) | (over > 1))  # the other buckets may have other classes
+            s["size"][np.bincount(core, open_)[core] * over > kind.hot] |= HOT
             _by_doc(s, np.flatnonzero(open_), 1, out)
             repeats = [*done, s[again]]
         if repeats and (r := np.concatenate(repeats)).size:
