@@ -28,7 +28,7 @@ def _one(v):
     if v is None or v is pd.NA or v is pd.NaT or v != v:
         return "null"
     if isinstance(v, float) or type(v).__name__.startswith("float"):
-        return f"{float(v):.6g}"
+        return str(int(v)) if float(v).is_integer() else f"{float(v):.6g}"  # a column with nulls has its integers as floats
     return str(v)
 
 

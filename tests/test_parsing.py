@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewatch.functions import features, ids
+from tidewatch.functions import ids, keys
 from tidewatch.functions.envelope import with_envelope
 from tidewatch.functions.tokens import events_of, events_of_bytes, tokenize
 
@@ -67,7 +67,7 @@ def test_native_words_equal_python(spark):
 
 @pytest.mark.parametrize("key, want", [("SourceIpAddress", "SourceIp"), ("src-address", "SourceIp"), ("source.address", "SourceIp"), ("dport", "DestPort"), ("remote_host", "SourceHost"), ("username", "User"), ("sha256", None), ("src_to_dst_port", None), ("request", "Url"), ("time", "Timestamp")])
 def test_categories(spark, key, want):
-    got = spark.createDataFrame([(key,)], "k string").select(features.category(features.normal_key(F.col("k"))).alias("c")).first()
+    got = spark.createDataFrame([(key,)], "k string").select(keys.category(keys.normal_key(F.col("k"))).alias("c")).first()
     assert got.c == want
 
 

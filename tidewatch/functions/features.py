@@ -1,6 +1,7 @@
 """From token events to features and entities, in native columns.
 
-Keys are classified by the words in them; values by their shape.
+Keys come classified from the tokenizer; values are told by their shape, in expressions that only the categories they are for
+evaluate.
 """
 
 from __future__ import annotations
@@ -8,27 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The words that classify a key.
-SRC = ("src", "source", "client", "remote", "raddr", "peer", "origin", "from", "caller")
-DST = ("dst", "dest", "destination", "server", "local", "laddr", "target", "to", "callee")
-KINDS = {
-    "port": ("port", "sport", "dport"),
-    "ip": ("ip", "ipaddr", "addr", "address"),
-    "host": ("host", "hostname", "computer", "device", "node", "machine"),
-    "User": ("user", "username", "account", "acct", "principal", "subject", "actor", "login", "logon", "uid"),
-    "Process": ("process", "proc", "image", "exe", "program", "binary", "app"),
-    "Command": ("cmd", "command", "commandline", "argv", "args"),
-    "Path": ("path", "filepath", "file", "filename", "directory", "dir"),
-    "Url": ("url", "uri", "request", "resource"),
-    "Domain": ("domain", "fqdn", "hostdomain", "dns", "servername", "sni"),
-    "FileHash": ("hash", "sha256", "sha1", "md5", "checksum", "fingerprint"),
-    "Timestamp": ("timestamp", "time", "ts"),
-}
-#: Whole keys that are classified at once.
-EXACT = {"sport": "SourcePort", "dport": "DestPort"} | dict.fromkeys(("srcip", "src_ip", "source_ip", "source_ip_address", "sourceip"), "SourceIp") | dict.fromkeys(("dstip", "dst_ip", "destination_ip", "dest_ip", "destinationip"), "DestIp")
-#: Confidence of a category, and of address words other than `ip`.
-CONFIDENCE = {"SourcePort": 3, "DestPort": 3, "SourceIp": 3, "DestIp": 3, "Timestamp": 1}
-
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 _H = r"[0-9A-Fa-f]{1,4}"
@@ -48,40 +28,7 @@ def lower(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\s\u0085\u00a0]+|[\s\u0085\u00a0]+$", "")
-
-
-def normal_key(key: Column) -> Column:
-    """snake_case of a key: parts end at case changes, between letters and digits, and at other characters."""
-    cut = F.regexp_replace(strip(key), r"(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[A-Z][a-z])", "_")
-    return F.regexp_replace(F.regexp_replace(lower(cut), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
-
-
-def category(norm: Column) -> Column:
-    """Category of a normalized key, or null."""
-    parts = F.split(norm, "_")
-    has = lambda words: F.arrays_overlap(parts, F.array(*[F.lit(w) for w in words]))
-    src, dst = has(SRC), has(DST)
-    out = F.when(norm == "", None)
-    for key, name in EXACT.items():
-        out = out.when(norm == key, name)
-    out = out.when(src & dst, None)
-    for word, name in (("port", "Port"), ("ip", "Ip"), ("host", "Host")):
-        out = out.when(src & has(KINDS[word]), f"Source{name}").when(dst & has(KINDS[word]), f"Dest{name}")
-    for name in ("User", "Process", "Command", "Path", "Url", "Domain", "FileHash", "Timestamp"):
-        out = out.when(has(KINDS[name]), name)
-    return out
-
-
-def confidence(norm: Column) -> Column:
-    """1..3; an address key without the word `ip` is worth 2."""
-    cat = category(norm)
-    out = F.when(cat.isNull(), None)
-    plain_ip = F.arrays_overlap(F.split(norm, "_"), F.array(F.lit("ip"), F.lit("ipaddr"))) | norm.isin(*EXACT)
-    out = out.when(cat.isin("SourceIp", "DestIp") & ~plain_ip, 2)
-    for name, c in CONFIDENCE.items():
-        out = out.when(cat == name, c)
-    return out.otherwise(2)
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r\u0085\u00a0"))
 
 
 def word_feature(raw: Column) -> Column:
@@ -109,25 +56,24 @@ def host_name(v: Column) -> Column:
     return F.when(h.rlike(r"^(?=.{1,255}$)(?=.*[a-z])[a-z0-9._-]+$") & ~h.rlike(IPV4), h)
 
 
-_COLUMNS = ("_norm", "_cat", "_v", "_ip", "_user", "_host")
+_COLUMNS = ("_v", "_ip", "_user", "_host")
 
 
 def with_parts(events: DataFrame) -> DataFrame:
-    """events (columns kind, key, value) with what the rules look at, each computed once for an event.
+    """events (columns kind, norm, category, value) with what the rules look at, each computed once for an event.
 
     The steps are projections of their own: an expression that used its parts in place would repeat them many times.
     """
-    out = events.withColumns({"_norm": normal_key(F.col("key")), "_v": strip(F.coalesce("value", F.lit("")))})
-    out = out.withColumn("_cat", category(F.col("_norm")))
-    cat, v = F.col("_cat"), F.col("_v")
-    ip = F.when(cat.isin("SourceIp", "DestIp"), F.when(v.rlike(IPV4), "<IPV4>").when(v.rlike(IPV6), "<IPV6>"))
+    out = events.withColumn("_v", F.when(F.col("category").isNotNull(), strip(F.coalesce("value", F.lit("")))))
+    cat, v = F.col("category"), F.col("_v")
+    ip = F.when(cat.isin("SourceIp", "DestIp"), F.when(v.rlike(IPV4), "<IPV4>").when(v.contains(":"), F.when(v.rlike(IPV6), "<IPV6>")))
     host = F.when(cat.isin("SourceHost", "DestHost", "Domain"), host_name(v))
     return out.withColumns({"_ip": ip, "_user": F.when(cat == "User", user_parts(v)), "_host": host})
 
 
 def pair_features() -> Column:
     """array<string> of a pair in the columns of with_parts: key presence, category, shape, network."""
-    norm, cat, v, ip = (F.col(c) for c in ("_norm", "_cat", "_v", "_ip"))
+    norm, cat, v, ip = (F.col(c) for c in ("norm", "category", "_v", "_ip"))
     port = v.rlike(r"^\+?[0-9]+$") & v.try_cast("int").between(1, 65_535)
     stamp = (F.octet_length(v) >= 20) & (F.substring(v, 5, 1) == "-") & (F.substring(v, 8, 1) == "-") & v.contains("T")
     shape = (
@@ -139,14 +85,14 @@ def pair_features() -> Column:
         .when(cat == "Url", F.when(v.rlike("^(?i)https?://"), "<URL>"))
         .when(cat == "Path", F.when(v.startswith("/"), "<UNIX_PATH>").when(v.rlike(r"^(?:[A-Za-z]:[\\/]|\\\\)"), "<WIN_PATH>"))
     )
-    net = F.when(ip == "<IPV4>", F.concat(cat, F.lit("_net@"), F.regexp_extract(v, r"^(.*)\.[0-9]+$", 1), F.lit(".0/24")))
+    net = F.when(ip == "<IPV4>", F.concat(cat, F.lit("_net@"), F.substring_index(v, ".", 3), F.lit(".0/24")))
     found = F.array(F.concat(F.lit("k="), norm), F.concat(F.lit("canon="), cat), F.concat(cat, F.lit("="), shape), net)
     return F.when(norm != "", F.array_compact(found)).otherwise(F.array().cast("array<string>"))
 
 
 def pair_entities() -> Column:
     """array<struct<kind, value>> of a pair in the columns of with_parts."""
-    cat, v, ip, user, host = (F.col(c) for c in ("_cat", "_v", "_ip", "_user", "_host"))
+    cat, v, ip, user, host = (F.col(c) for c in ("category", "_v", "_ip", "_user", "_host"))
 
     def one(kind: Column, value: Column) -> Column:
         return F.when(kind.isNotNull() & value.isNotNull(), F.struct(kind.alias("kind"), value.alias("value")))
@@ -169,27 +115,36 @@ def syslog_features(pri: Column, app: Column, version: Column) -> Column:
 PAIRS = ("kv", "json", "csv")
 
 
-def word_features(texts: Column, structured: Column) -> Column:
-    """array<string> of words; addresses have a shape of their own where the line has no pairs."""
+def _address(w: Column) -> Column:
+    return F.when(w.contains(".") & w.rlike(IPV4), "shape=<IPV4>").when(w.contains(":"), F.when(w.rlike(IPV6), "shape=<IPV6>"))
+
 
-    def shape(w: Column) -> Column:
-        return F.when(~structured, F.when(w.rlike(IPV4), "shape=<IPV4>").when(w.contains(":") & w.rlike(IPV6), "shape=<IPV6>"))
+def word_features(word: Column, structured: Column) -> Column:
+    """array<string> of a word of the tokenizer: only its characters are in it; addresses have a shape of their own where the
+    line has no pairs."""
+    w = lower(word)
+    return F.array_compact(F.array(F.when((F.length(w) >= 2) & w.rlike("[a-z0-9]"), F.concat(F.lit("w="), w)), F.when(~structured, _address(word))))
 
-    return F.array_compact(F.concat(F.transform(texts, word_feature), F.transform(texts, shape)))
+
+def text_features(texts: Column, structured: Column) -> Column:
+    """array<string> of the words of a text."""
+    return F.array_compact(F.concat(F.transform(texts, word_feature), F.transform(texts, lambda w: F.when(~structured, _address(w)))))
 
 
 def emitted(lines: DataFrame) -> DataFrame:
-    """One row an event of lines (columns events, pri, app, version): features and entities arrays, other columns kept."""
+    """One row an event of lines (columns events, pri, app, version): features and entities arrays, other columns kept.
+
+    Pairs, words and the rest go their own ways, so each of the three is a small expression."""
     pairs = F.exists("events", lambda e: e["kind"].isin(*PAIRS))
-    extra = F.transform(syslog_features(F.col("pri"), F.col("app"), F.col("version")), lambda s: F.struct(F.lit("ready").alias("kind"), F.lit(None).cast("string").alias("key"), s.alias("value")))
+    none = F.lit(None).cast("string")
+    extra = F.transform(syslog_features(F.col("pri"), F.col("app"), F.col("version")), lambda s: F.struct(F.lit("ready").alias("kind"), none.alias("key"), none.alias("norm"), none.alias("category"), s.alias("value")))
     out = lines.withColumns({"_pairs": pairs, "_all": F.concat("events", extra)}).drop("events", "pri", "app", "version")
     # outer: a plain explode would push a size test, with all it is made of, down to the scan
-    out = out.withColumn("_e", F.explode_outer("_all")).drop("_all").select("*", "_e.kind", "_e.key", "_e.value").drop("_e").where("kind IS NOT NULL")
+    out = out.withColumn("_e", F.explode_outer("_all")).drop("_all").select("*", "_e.kind", "_e.key", "_e.norm", "_e.category", "_e.value").drop("_e").where("kind IS NOT NULL")
     out = with_parts(out)
     kind = F.col("kind")
-    text = F.when(kind == "cef", F.concat_ws(" ", "key", "value")).otherwise(F.col("value"))
-    texts = F.filter(F.split(text, r"[ \t\n\f\r]+"), lambda w: w != "")
-    none = F.array().cast("array<struct<kind:string,value:string>>")
-    features = F.when(kind.isin(*PAIRS), pair_features()).when(kind == "ready", F.array("value")).otherwise(word_features(texts, F.col("_pairs")))
-    entities = F.when(kind.isin(*PAIRS), pair_entities()).otherwise(none)
-    return out.withColumns({"features": features, "entities": entities}).drop("kind", "key", "value", "_pairs", *_COLUMNS)
+    texts = F.filter(F.split(F.concat_ws(" ", "key", "value"), r"[ \t\n\f\r]+"), lambda w: w != "")
+    no = F.array().cast("array<struct<kind:string,value:string>>")
+    features = F.when(kind.isin(*PAIRS), pair_features()).when(kind == "ready", F.array("value")).when(kind == "word", word_features(F.col("value"), F.col("_pairs"))).otherwise(text_features(texts, F.col("_pairs")))
+    entities = F.when(F.col("category").isNull(), no).otherwise(pair_entities())
+    return out.withColumns({"features": features, "entities": entities}).drop("kind", "key", "norm", "category", "value", "_pairs", *_COLUMNS)

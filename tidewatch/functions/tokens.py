@@ -1,7 +1,8 @@
 """Message tokenizer: CEF, JSON, CSV with a header, key/value pairs, words.
 
-One Arrow pass gives the ordered events of each message.  Messages that can only be words (no `=`, `:`, brace) never
-reach Python: a native expression handles them.  Events are struct<kind, key, value>; kind is kv, json, csv, word or cef.
+One Arrow pass gives the ordered events of each message.  Messages that can only be words (no `=`, `:`, brace) are
+tokenized by a native expression and reach Python as nulls.  Events are struct<kind, key, norm, category, value>; kind is kv,
+json, csv, word or cef.  Keys of pairs come with their normal form and category.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import keys
+
 #: Caps a line.
 MOST_EVENTS, MOST_PAIRS, MOST_QUOTED_WORDS, MOST_WORD, MOST_LINE = 256, 64, 32, 64, 16_384
 JSON_DEPTH, JSON_PAIRS, JSON_SCALARS, CSV_COLUMNS = 8, 256, 16, 256
@@ -22,7 +26,7 @@ JSON_DEPTH, JSON_PAIRS, JSON_SCALARS, CSV_COLUMNS = 8, 256, 16, 256
 CEF_FIELDS = ("version", "device_vendor", "device_product", "device_version", "signature_id", "name", "severity")
 COUNTERS = ("utf8_fallback", "too_long", "token_cap", "kv_cap", "json_kv_cap", "word_cap", "cef_errors", "json_errors", "csv_errors")
 
-EVENTS = "array<struct<kind:string,key:string,value:string>>"
+EVENTS = "array<struct<kind:string,key:string,norm:string,category:string,value:string>>"
 WORD = re.compile(r"[A-Za-z0-9_./:@\\-]{2,}")
 _KEY = re.compile(r"(?:^|(?<=[ \t\n\r;,(\[{]))[A-Za-z0-9_.-]+")
 _BARE = re.compile(r"[^ \t\n\r\f\v,;]*")
@@ -274,15 +278,33 @@ def words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_./:@\\-]{2,}"), F.lit(0)), lambda w: F.substring(w, 1, MOST_WORD))
 
 
+_FIELDS = pa.struct([(name, pa.string()) for name in ("kind", "key", "norm", "category", "value")])
+
+
+def event_lists(texts: pa.Array, header: list[str] | None = None) -> pa.Array:
+    """Events of each text; null for null.  Flat columns and offsets, no object an event."""
+    columns, upto = ([], [], [], [], []), [0]
+    kinds, names, norms, cats, values = columns
+    for text in texts.to_pylist():
+        for kind, key, value in events_of(text, header).out if text is not None else ():
+            norm = keys.normal(key) if kind not in ("word", "cef") else None
+            kinds.append(kind), names.append(key), norms.append(norm), cats.append(norm and keys.category_of(norm)), values.append(value)
+        upto.append(len(kinds))
+    events = pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in columns], fields=list(_FIELDS))
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), events, mask=texts.is_null())
+
+
 def tokenize(msg: Column, header: list[str] | None = None) -> Column:
     """Events of a message."""
 
-    @F.pandas_udf(EVENTS)
-    def structured(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [{"kind": k, "key": key, "value": v} for k, key, v in events_of(t, header).out])
+    def run(texts: pa.Array) -> pa.Array:
+        return event_lists(texts, header)
 
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    structured = F.arrow_udf(run, EVENTS)
+    none = F.lit(None).cast("string")
     plain = F.lit(False) if header else ~msg.rlike(r"[=:{]") & (F.octet_length(msg) <= MOST_LINE)
-    native = F.slice(F.transform(words(msg), lambda w: F.struct(F.lit("word").alias("kind"), F.lit(None).cast("string").alias("key"), w.alias("value"))), 1, MOST_EVENTS)
+    native = F.slice(F.transform(words(msg), lambda w: F.struct(F.lit("word").alias("kind"), none.alias("key"), none.alias("norm"), none.alias("category"), w.alias("value"))), 1, MOST_EVENTS)
     return F.when(plain, native).otherwise(structured(F.when(~plain, msg)))
 
 

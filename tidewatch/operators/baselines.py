@@ -27,38 +27,57 @@ def ring_days(rows: DataFrame) -> DataFrame:
     return days.withColumn("held", held).select("tenant_id", "day", F.explode("held").alias("held"))
 
 
-def with_ring(rows: DataFrame, row_features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with n_bucket, row features with df), both as of before the row.
+def _opened(rows: DataFrame) -> DataFrame:
+    """rows with day and opens: whether the row is the first of its tenant and day."""
+    rows = rows.withColumn("day", timing.day_epoch(F.col("ws")))
+    first = rows.groupBy("tenant_id", "day").agg(F.min(F.struct("ws", "device_key")).alias("first"))
+    return rows.join(first, ["tenant_id", "day"]).withColumn("opens", F.struct("ws", "device_key") == F.col("first")).drop("first")
 
-    A slot holds its latest active day.  The first row of a day still sees the day that its slot held before; later
-    rows see the rows before them of their own day instead.  Daily sums are formed first; the frames that count
-    earlier rows of a day run inside (tenant, day, bucket), so no key's history is sorted in one task.
+
+def _ring_count(each: DataFrame, held: DataFrame, by: list[str], name: str) -> DataFrame:
+    """each (by, device_key, ws, day, bucket, opens) with how many rows of the ring that its row sees share the columns `by`.
+
+    Rows are counted by window first; running sums go over the few windows of a day and bucket, and only the devices of one
+    window are ranked among themselves, so what all rows have doesn't gather a day of them in one task.
     """
-    day = timing.day_epoch(F.col("ws"))
-    rows = rows.withColumn("day", day)
-    held = ring_days(rows).withColumn("same", timing.day_slot(F.col("day")) == timing.day_slot(F.col("held")))
-    first = rows.groupBy("tenant_id", "day").agg(F.min(F.struct("ws", "device_key")).alias("first"))
-    daily = rows.groupBy("tenant_id", "day", "bucket").agg(F.count("*").alias("c"))
+    window = [*by, "ws"]
+    inside = Window.partitionBy(*window)
+    ranked = each.withColumns({"_rank": F.row_number().over(inside.orderBy("device_key")) - 1, "_c": F.count("*").over(inside)})
+    counts = ranked.where("_rank = 0").select(*window, "day", "bucket", "_c")
+    before = Window.partitionBy(*by, "day", "bucket").orderBy("ws").rowsBetween(Window.unboundedPreceding, -1)
+    daily = counts.groupBy(*by, "day", "bucket").agg(F.sum("_c").alias("c"))
     ring = held.join(daily.withColumnRenamed("day", "held"), ["tenant_id", "held"])
-    ring = ring.groupBy("tenant_id", "day", "bucket").agg(F.sum(F.when(~F.col("same"), F.col("c"))).alias("other"), F.sum(F.when(F.col("same"), F.col("c"))).alias("old"))
-    in_day = Window.partitionBy("tenant_id", "day", "bucket").orderBy("ws", "device_key")
-    flagged = rows.join(first, ["tenant_id", "day"]).withColumn("opens", F.struct("ws", "device_key") == F.col("first")).drop("first")
-    counted = flagged.withColumn("earlier", F.row_number().over(in_day) - 1).join(ring, ["tenant_id", "day", "bucket"], "left")
+    ring = ring.groupBy(*by, "day", "bucket").agg(F.sum(F.when(~F.col("same"), F.col("c"))).alias("_other"), F.sum(F.when(F.col("same"), F.col("c"))).alias("_old"))
+    counts = counts.withColumn("_earlier", F.sum("_c").over(before)).join(ring, [*by, "day", "bucket"], "left").select(*window, "_earlier", "_other", "_old")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    total = F.col("_rank") + zero(F.col("_earlier")) + zero(F.col("_other")) + F.when(F.col("opens"), zero(F.col("_old"))).otherwise(0)
+    return ranked.join(counts, window).withColumn(name, total.cast("long")).drop("_rank", "_c", "_earlier", "_other", "_old")
 
-    def total(earlier: str) -> Column:
-        zero = F.lit(0)
-        return (F.col(earlier) + F.coalesce("other", zero) + F.when(F.col("opens"), F.coalesce("old", zero)).otherwise(0)).cast("long")
 
-    counted = counted.withColumn("n_bucket", total("earlier")).drop("earlier", "other", "old")
+def _held(rows: DataFrame) -> DataFrame:
+    return ring_days(rows).withColumn("same", timing.day_slot(F.col("day")) == timing.day_slot(F.col("held")))
 
-    keyed = row_features.join(flagged.select("tenant_id", "device_key", "ws", "day", "bucket", "opens"), ["tenant_id", "device_key", "ws"])
-    daily = keyed.groupBy("tenant_id", "day", "bucket", "feature").agg(F.count("*").alias("c"))
-    ring = held.join(daily.withColumnRenamed("day", "held"), ["tenant_id", "held"])
-    ring = ring.groupBy("tenant_id", "day", "bucket", "feature").agg(F.sum(F.when(~F.col("same"), F.col("c"))).alias("other"), F.sum(F.when(F.col("same"), F.col("c"))).alias("old"))
-    in_day = Window.partitionBy("tenant_id", "day", "bucket", "feature").orderBy("ws", "device_key")
-    seen = keyed.withColumn("earlier", F.row_number().over(in_day) - 1).join(ring, ["tenant_id", "day", "bucket", "feature"], "left")
-    seen = seen.withColumn("df", total("earlier")).drop("earlier", "other", "old", "opens")
-    return counted.drop("opens", "day"), seen.drop("day")
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows with day, opens, n_bucket (rows of the ring in the bucket) and i, the place in the history of device and bucket."""
+    i = F.row_number().over(Window.partitionBy("tenant_id", "device_key", "bucket").orderBy("ws")).cast("long")
+    return _ring_count(_opened(rows), _held(rows), ["tenant_id"], "n_bucket").withColumn("i", i)
+
+
+def seen_features(row_features: DataFrame, at: DataFrame) -> DataFrame:
+    """row features with day, bucket, opens, i, n_bucket of their rows (at: as of `placed`) and df, as of before the row."""
+    keyed = row_features.drop("bucket").join(at.select("tenant_id", "device_key", "ws", "day", "bucket", "opens", "i", "n_bucket"), ["tenant_id", "device_key", "ws"])
+    return _ring_count(keyed, _held(at), ["tenant_id", "feature"], "df")
+
+
+def with_ring(rows: DataFrame, row_features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with n_bucket, row features with bucket and df), both as of before the row.
+
+    A slot holds its latest active day.  The first row of a day still sees the day that its slot held before; later
+    rows see the rows before them of their own day instead.
+    """
+    at = placed(rows)
+    return at.drop("opens", "day", "i"), seen_features(row_features, at).drop("day", "opens", "i", "n_bucket")
 
 
 def capped_df(df: DataFrame, most: int = 200_000) -> DataFrame:
@@ -89,24 +108,43 @@ def _decayed(x: Column, i: Column, keys: list[str], beta: float) -> Column:
     return own * down + other * down * beta**size
 
 
-def with_centroid(rows: DataFrame, seen: DataFrame, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
-    """(rows with dot, row_norm2, centroid_norm2; row features with tf_w and centroid), as of before the row.
+GROUP = ["tenant_id", "device_key", "bucket"]
+
 
-    The centroid of a (device, bucket) is an exponential mean of weighted rows, in closed form: its value for a feature
-    is a decayed sum over the feature's own earlier rows.  Its norm needs features absent from the row too; it follows
-    |C'|^2 = b^2 |C|^2 + 2ab C.x + a^2 |x|^2, again a decayed sum, of one number a row.
+def centroid_features(seen: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """row features (with bucket and i) with tf_w and centroid, the device's and bucket's mean of the feature before the row.
+
+    The centroid is an exponential mean of weighted rows, in closed form: its value for a feature is a decayed sum over the
+    feature's own earlier rows.
     """
-    group = ["tenant_id", "device_key", "bucket"]
-    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy(*group).orderBy("ws")).cast("long"))
     seen = seen.withColumn("tf_w", weighted(F.col("feature"), F.col("n")))
-    seen = seen.join(numbered.select("tenant_id", "device_key", "ws", "i"), ["tenant_id", "device_key", "ws"])
+    return seen.withColumn("centroid", F.lit(alpha) * _decayed(F.col("tf_w").cast("double"), F.col("i"), [*GROUP, "feature"], 1 - alpha))
+
+
+def centroid_sums() -> list[Column]:
+    """Aggregates of centroid_features over a row: dot and row_norm2."""
     x = F.col("tf_w").cast("double")
-    seen = seen.withColumn("centroid", F.lit(alpha) * _decayed(x, F.col("i"), [*group, "feature"], 1 - alpha))
-    sums = seen.groupBy("tenant_id", "device_key", "ws").agg(F.sum(x * F.col("centroid")).alias("dot"), F.sum(x * x).alias("row_norm2"))
-    numbered = numbered.join(sums, ["tenant_id", "device_key", "ws"], "left").fillna(0.0, ["dot", "row_norm2"])
+    return [F.sum(x * F.col("centroid")).alias("dot"), F.sum(x * x).alias("row_norm2")]
+
+
+def with_centroid_norm(rows: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """rows (i, dot, row_norm2) with centroid_norm2, as of before the row.
+
+    The norm needs features absent from the row too; it follows |C'|^2 = b^2 |C|^2 + 2ab C.x + a^2 |x|^2, a decayed sum of
+    one number a row.
+    """
+    rows = rows.fillna(0.0, ["dot", "row_norm2"])
     step = F.lit(2 * alpha * (1 - alpha)) * F.col("dot") + F.lit(alpha * alpha) * F.col("row_norm2")
-    numbered = numbered.withColumn("centroid_norm2", _decayed(step, F.col("i"), group, (1 - alpha) ** 2))
-    return numbered.drop("i"), seen.drop("i")
+    return rows.withColumn("centroid_norm2", _decayed(step, F.col("i"), GROUP, (1 - alpha) ** 2))
+
+
+def with_centroid(rows: DataFrame, seen: DataFrame, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
+    """(rows with dot, row_norm2, centroid_norm2; row features with tf_w and centroid), as of before the row."""
+    key = ["tenant_id", "device_key", "ws"]
+    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy(*GROUP).orderBy("ws")).cast("long"))
+    made = centroid_features(seen.join(numbered.select(*key, "i"), key), alpha)
+    numbered = numbered.join(made.groupBy(*key).agg(*centroid_sums()), key, "left")
+    return with_centroid_norm(numbered, alpha).drop("i"), made.drop("i")
 
 
 def capped_centroid(values: DataFrame, most: int = 10_000) -> DataFrame:

@@ -45,16 +45,15 @@ def z_score(value: Column, n: Column, mean: Column, var: Column) -> Column:
 
 def scored(rows: DataFrame, row_features: DataFrame, size: int, t: Thresholds = Thresholds(), alpha: float = baselines.ALPHA) -> tuple[DataFrame, DataFrame]:
     """(rows with all scores, row features with df, idf, tf_w and contrib)."""
-    with_n, seen = baselines.with_ring(rows, row_features)
-    with_c, seen = baselines.with_centroid(with_n, seen, alpha)
-    with_all = baselines.with_stats(with_c)
-    seen = seen.join(with_all.select(*KEY, "n_bucket"), KEY).withColumn("idf", idf(F.col("n_bucket"), F.col("df"))).drop("n_bucket")
+    at = baselines.placed(rows)
+    seen = baselines.centroid_features(baselines.seen_features(row_features, at), alpha)
     mass = F.col("tf_w").cast("double")
-    seen = seen.withColumn("contrib", (mass * F.col("idf")).cast("float")).where("tf_w > 0")
-    sums = seen.groupBy(*KEY).agg(
-        F.sum(mass).alias("mass"), F.sum(mass * F.col("idf")).alias("mass_idf"), F.sum(F.when(families.is_blob(F.col("feature")), mass).otherwise(0.0)).alias("mass_blob")
-    )
-    out = with_all.join(sums, KEY, "left").fillna(0.0, ["mass", "mass_idf", "mass_blob"])
+    seen = seen.withColumn("idf", idf(F.col("n_bucket"), F.col("df"))).withColumn("contrib", (mass * F.col("idf")).cast("float")).where("tf_w > 0")
+    blob = F.when(families.is_blob(F.col("feature")), mass).otherwise(0.0)
+    sums = seen.groupBy(*KEY).agg(*baselines.centroid_sums(), F.sum(mass).alias("mass"), F.sum(mass * F.col("idf")).alias("mass_idf"), F.sum(blob).alias("mass_blob"))
+    seen = seen.drop("day", "opens", "i", "n_bucket")
+    out = at.drop("opens", "day").join(sums, KEY, "left").fillna(0.0, ["mass", "mass_idf", "mass_blob"])
+    out = baselines.with_stats(baselines.with_centroid_norm(out, alpha)).drop("i")
     some = F.col("mass") > 1e-12
     row_norm, centroid_norm = F.sqrt("row_norm2"), F.sqrt(F.greatest(F.col("centroid_norm2"), F.lit(0.0)))
     cosine = F.col("dot") / (row_norm * centroid_norm)

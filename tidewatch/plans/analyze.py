@@ -11,8 +11,8 @@ from ..functions.envelope import with_envelope
 from ..functions.features import emitted
 from ..functions.ids import source_stream_id
 from ..functions.tokens import tokenize
-from ..llm.common import settled
 from ..operators import alerts, provenance, scoring, volume_loss, windows
+from ..sources.shared import settled, spread
 
 
 def dated(lines: DataFrame, ingest_ts: int = 0, since: int | None = None, until: int | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def dated(lines: DataFrame, ingest_ts: int = 0, since: int | None = None, until:
     # Tests on ts (the filters here, null tests that joins infer) must not be pushed below this projection: each step of
     # the envelope would be put in place of its name again and again.  A term that is always 0 but not deterministic stops them.
     ts = F.coalesce("p.ts", F.lit(0).cast("long")) + F.spark_partition_id() * 0
-    out = with_envelope(lines, ingest_ts).withColumn("ts", ts)
+    out = with_envelope(spread(lines), ingest_ts).withColumn("ts", ts)
     if since is not None:
         out = out.where(F.col("ts") >= since)
     if until is not None:

@@ -61,9 +61,9 @@ def df_ring_windows(spark, sf_dir):
 
 def rarity(spark, sf_dir):
     _, rows, found = _base(spark, sf_dir)
-    counted, seen = baselines.with_ring(rows, found)
+    seen = baselines.seen_features(found, baselines.placed(rows))
     tf = baselines.weighted(F.col("feature"), F.col("n")).cast("double")
-    mass = seen.join(counted.select(*KEY, "n_bucket"), KEY).groupBy(*KEY).agg(F.max("n_bucket").alias("n_bucket"), (F.sum(tf * scoring.idf(F.col("n_bucket"), F.col("df"))) / F.sum(tf)).alias("m"))
+    mass = seen.groupBy(*KEY).agg(F.max("n_bucket").alias("n_bucket"), (F.sum(tf * scoring.idf(F.col("n_bucket"), F.col("df"))) / F.sum(tf)).alias("m"))
     return mass.select(*KEY, "n_bucket", F.round(1 - F.exp(-F.col("m")), 6).alias("rarity"))
 
 
@@ -244,10 +244,13 @@ QUERIES = {
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    from .rule_queries import QUERIES as RULES
+
+    return QUERIES | RULES
 
 
 def oracle_sql() -> dict[str, str]:
     from .oracle import SQL
+    from .rule_oracle import SQL as RULES
 
-    return dict(SQL)
+    return SQL | RULES
