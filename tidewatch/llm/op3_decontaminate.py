@@ -69,7 +69,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     if (few.agg(F.sum(F.size("hits") + 1)).first()[0] or 0) <= MOST_BROADCAST:
         some = F.broadcast(some)
     texts = docs.select(doc_key().alias("dk"), F.xxhash64("text").alias("tie"), "text").join(some, ["dk", "tie"])
-    own = texts.select("dk", "tie", "hits", words(F.col("text")).alias("w")).select("dk", "tie", F.explode(F.transform("hits", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), F.slice("w", x["at"], x["len"]).alias("gram")))).alias("x"))
+    # the explode keeps the words from being put in place of their name, where each hit would find them anew
+    own = texts.select("dk", "tie", "hits", F.explode(F.array(words(F.col("text")))).alias("w")).select("dk", "tie", F.explode(F.transform("hits", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), F.slice("w", x["at"], x["len"]).alias("gram")))).alias("x"))
     same = bench.select("gram", "items")
     verified = own.select("dk", "tie", "x.*").join(F.broadcast(same) if size_of <= MOST_BYTES else same, "gram")
     verified = verified.groupBy("dk", "tie").agg(
@@ -109,7 +110,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop: bool = True)
         bad = bad.drop("_spans")
     if (bad.agg(F.sum(F.lit(1) if drop else F.size("_spans"))).first()[0] or 0) <= MOST_BROADCAST:
         bad = F.broadcast(bad)
-    docs, back = set_aside(docs, "_dk", "_tk", "_spans")
+    docs, back = set_aside(docs, "_dk", "_tk", "_spans", "_parts")
     keyed = docs.withColumns({"_dk": doc_key(), "_tk": F.xxhash64("text")})
     if drop:
         return keyed.join(bad, ["_dk", "_tk"], "left_anti").select(*docs.columns).withColumnsRenamed(back)
@@ -122,13 +123,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop: bool = True)
 
     # disjoint ranges of hit words, after an empty one at the first word
     merged = F.aggregate("_spans", F.array(span(F.lit(1), F.lit(1))), merge)
-    keyed = keyed.join(bad, ["_dk", "_tk"], "left").withColumn("_spans", F.when(F.col("_spans").isNotNull(), merged))
+    bad = bad.select("_dk", "_tk", merged.alias("_spans"))
+    keyed = keyed.join(settled(bad, "cuts"), ["_dk", "_tk"], "left")
     w, gaps = raw_words(F.col("text")), F.split("text", WORD, -1)
-    both = F.transform(w, lambda x, i: F.concat(F.get(gaps, i), x))
-    stop = lambda i: F.coalesce(F.get("_spans", i + 1)["at"], F.size(w) + 1)
+    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(w)), w, lambda gap, word: F.concat(gap, word))
+    # exploded, so it is made once and not anew for each span
+    parts = F.when(F.col("_spans").isNotNull(), F.struct(gaps.alias("gaps"), both.alias("both"), F.size(w).alias("n")))
+    keyed = keyed.withColumn("_parts", F.explode(F.array(parts)))
+    stop = lambda i: F.coalesce(F.get("_spans", i + 1)["at"], F.col("_parts.n") + 1)
     text = lambda array, a, b: F.array_join(F.slice(array, a, b - a), "")
-    cut = F.array_join(F.transform("_spans", lambda x, i: F.concat(text(gaps, x["at"], x["end"]), text(both, x["end"], stop(i)))), "")
-    cut = F.concat(cut, F.element_at(gaps, -1))
+    cut = F.transform("_spans", lambda x, i: F.concat(text(F.col("_parts.gaps"), x["at"], x["end"]), text(F.col("_parts.both"), x["end"], stop(i))))
+    cut = F.concat(F.array_join(cut, ""), F.element_at("_parts.gaps", -1))
     return keyed.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns).withColumnsRenamed(back)
 
 
