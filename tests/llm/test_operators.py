@@ -1,6 +1,5 @@
 """Each operator against SQL or brute force, and its defined cases."""
 
-import base64
 import hashlib
 import random
 import zlib
@@ -177,7 +176,7 @@ def test_dedup_edges(spark, edge, empty):
         assert module.dedup(edge).count() == edge.count() and module.dedup(empty).count() == 0
         twice = [r for r in module.dedup(edge).collect() if r.doc_id == 20]
         assert len(twice) == 2 and twice[0] == twice[1]
-        assert twice[0].n_removed == (len(" ".join([])) if module is None else twice[0].n_removed)
+        assert twice[0].n_removed > 0  # a row without doc_id has its text
     got = op8_bottomk.near_duplicates(edge).collect()
     assert len(got) == edge.count() and all(r.kept and r.component_id is None for r in got if r.doc_id is None)
     assert {r.component_id for r in got if r.doc_id in (20, 21, 22)} == {20}
@@ -254,4 +253,4 @@ def test_secret_repositories(spark):
 
 def test_ranks_are_whole():
     ranks = op5_bpe.read_ranks(op5_bpe.vocabulary())
-    assert base64.b64encode(b"a") and len(ranks) == 50_256
+    assert len(ranks) == 50_256
