@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import families, timing
+from ..sources.shared import settled
 
 ALPHA = 0.5
 
@@ -41,9 +42,8 @@ def _ring_count(each: DataFrame, held: DataFrame, by: list[str], name: str) -> D
     window are ranked among themselves, so what all rows have doesn't gather a day of them in one task.
     """
     window = [*by, "ws"]
-    inside = Window.partitionBy(*window)
-    ranked = each.withColumns({"_rank": F.row_number().over(inside.orderBy("device_key")) - 1, "_c": F.count("*").over(inside)})
-    counts = ranked.where("_rank = 0").select(*window, "day", "bucket", "_c")
+    ranked = each.withColumn("_rank", F.row_number().over(Window.partitionBy(*window).orderBy("device_key")) - 1)
+    counts = each.groupBy(*window, "day", "bucket").agg(F.count("*").alias("_c"))
     before = Window.partitionBy(*by, "day", "bucket").orderBy("ws").rowsBetween(Window.unboundedPreceding, -1)
     daily = counts.groupBy(*by, "day", "bucket").agg(F.sum("_c").alias("c"))
     ring = held.join(daily.withColumnRenamed("day", "held"), ["tenant_id", "held"])
@@ -51,7 +51,7 @@ def _ring_count(each: DataFrame, held: DataFrame, by: list[str], name: str) -> D
     counts = counts.withColumn("_earlier", F.sum("_c").over(before)).join(ring, [*by, "day", "bucket"], "left").select(*window, "_earlier", "_other", "_old")
     zero = lambda c: F.coalesce(c, F.lit(0))
     total = F.col("_rank") + zero(F.col("_earlier")) + zero(F.col("_other")) + F.when(F.col("opens"), zero(F.col("_old"))).otherwise(0)
-    return ranked.join(counts, window).withColumn(name, total.cast("long")).drop("_rank", "_c", "_earlier", "_other", "_old")
+    return ranked.join(counts, window).withColumn(name, total.cast("long")).drop("_rank", "_earlier", "_other", "_old")
 
 
 def _held(rows: DataFrame) -> DataFrame:
@@ -59,15 +59,18 @@ def _held(rows: DataFrame) -> DataFrame:
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """rows with day, opens, n_bucket (rows of the ring in the bucket) and i, the place in the history of device and bucket."""
+    """rows with day, opens, n_bucket (rows of the ring in the bucket) and i, the place in the history of device and bucket.
+
+    They are few beside their features and used many times, so they are written to the shared folder."""
     i = F.row_number().over(Window.partitionBy("tenant_id", "device_key", "bucket").orderBy("ws")).cast("long")
-    return _ring_count(_opened(rows), _held(rows), ["tenant_id"], "n_bucket").withColumn("i", i)
+    opened = settled(_opened(rows), "opened")
+    return settled(_ring_count(opened, _held(opened), ["tenant_id"], "n_bucket").withColumn("i", i), "placed")
 
 
 def seen_features(row_features: DataFrame, at: DataFrame) -> DataFrame:
     """row features with day, bucket, opens, i, n_bucket of their rows (at: as of `placed`) and df, as of before the row."""
     keyed = row_features.drop("bucket").join(at.select("tenant_id", "device_key", "ws", "day", "bucket", "opens", "i", "n_bucket"), ["tenant_id", "device_key", "ws"])
-    return _ring_count(keyed, _held(at), ["tenant_id", "feature"], "df")
+    return _ring_count(settled(keyed, "keyed"), _held(at), ["tenant_id", "feature"], "df")
 
 
 def with_ring(rows: DataFrame, row_features: DataFrame) -> tuple[DataFrame, DataFrame]:

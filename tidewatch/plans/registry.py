@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import families, timing
 from ..operators import baselines, scoring, volume_loss, windows
+from ..sources.shared import spread
 from . import inputs
 from .inputs import SIZE
 
@@ -183,14 +184,14 @@ def supplier_volume(spark, sf_dir):
 def envelope(spark, sf_dir):
     from ..functions.envelope import with_envelope
 
-    return with_envelope(inputs.raw_lines(spark, sf_dir), 1_706_745_600).select("seq", "p.pri", "p.version", "p.ts", "p.host", "p.app", "p.procid", "p.msgid", "p.msg")
+    return with_envelope(spread(inputs.raw_lines(spark, sf_dir)), 1_706_745_600).select("seq", "p.pri", "p.version", "p.ts", "p.host", "p.app", "p.procid", "p.msgid", "p.msg")
 
 
 def tokens(spark, sf_dir):
     from ..functions.envelope import with_envelope
     from ..functions.tokens import tokenize
 
-    lines = with_envelope(inputs.raw_lines(spark, sf_dir), 1_706_745_600)
+    lines = with_envelope(spread(inputs.raw_lines(spark, sf_dir)), 1_706_745_600)
     got = lines.select("seq", F.explode(tokenize(F.col("p.msg"))).alias("e")).select("seq", "e.kind", "e.key", "e.value")
     return got.groupBy("kind", "key").agg(F.count("*").alias("n"), F.countDistinct("value").alias("distinct_values"))
 
