@@ -60,6 +60,37 @@ def test_oneshot(spark, tmp_path, monkeypatch):
     assert {r.source_path for r in found if r.subject_kind == "source_stream"} == {"x.log"}
 
 
+def test_resume(spark, tmp_path, monkeypatch, capsys):
+    """A second run reads what files gained; its alerts are those of new lines only; alerts can go to standard output."""
+    import gzip
+    import json
+
+    from tidewatch.plans import cli
+
+    d = tmp_path / "logs" / "t" / "a"
+    d.mkdir(parents=True)
+    (d / "x.log").write_text("".join(text(0, i, "all is well") + "\n" for i in range(12)))
+    (d / "y.log.gz").write_bytes(gzip.compress("".join(text(1, i, "packed") + "\n" for i in range(12)).encode()))
+    toml = tmp_path / "c.toml"
+    toml.write_text('[output]\nsink = "stdout"\n[scoring]\noutlier_threshold = 0.0\n[vdrop]\nenabled = false\n')
+    monkeypatch.setattr(cli, "_spark", lambda: spark)
+    args = ["--config", str(toml), "oneshot", "--root", str(tmp_path / "logs"), "--state", str(tmp_path / "state")]
+
+    def run():
+        assert cli.main(args) == 0
+        return sorted(((r["window_start_ts"] - DAY0) // 60, r["lines"]) for r in map(json.loads, capsys.readouterr().out.splitlines()))
+
+    first = run()
+    assert run() == [] and first and set(first) <= {(0, 12), (1, 12)}
+    with open(d / "x.log", "a") as f:
+        f.write("".join(text(2, i, "new words") + "\n" for i in range(15)))
+    assert set(run()) <= {(2, 15)}
+    cursors = spark.read.parquet(cli._cursor_folders(str(tmp_path / "state"))[-1]).collect()
+    assert {r.file_rel: r.offset for r in cursors} == {n: (d / n).stat().st_size for n in ("x.log", "y.log.gz")}
+    assert cli.main([*args[:3], "--root", str(tmp_path / "none"), "--out", str(tmp_path / "o")]) == 3
+    assert cli.main(["oneshot", "--root", str(tmp_path)]) == 1
+
+
 def test_settings():
     cfg = config.load(environ={}, vdrop_tenant_enabled=False, caps_max_word_features_per_window=7, caps_max_hosts=3)
     assert config.volume(cfg) == volume_loss.Volume(tenant=False)

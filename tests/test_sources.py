@@ -22,7 +22,7 @@ def archive(*chunks, stored=False, bad=False):
         packed = c if stored else zstandard.ZstdCompressor().compress(c)
         head = struct.pack("<HHQQQQQIIQ", 64, 0x8000 if stored else 0, i, 0, 1, len(c), len(packed), 3, zlib.crc32(c) ^ bad, 0)
         out += files.ZLG_CHUNK + head + bytes(60 - len(head)) + b"sum" + packed
-    return out + files.ZLG_DIRECTORY
+    return out + files.ZLG_DIRECTORY + struct.pack("<IQ", 64, len(chunks)) + bytes(64 * len(chunks)) + files.ZLG_FOOTER + struct.pack("<I", 48) + bytes(40)
 
 
 @pytest.fixture
@@ -52,11 +52,20 @@ def test_archive_fails_closed():
 
     good = archive(b"x\n", stored=True)
     assert [d for _, _, d in files.zlg_chunks(io.BytesIO(good))] == [b"x\n"]
-    for broken in (good[:40], b"no" + good, archive(b"x\n", bad=True)):
+    assert [d for _, _, d in files.zlg_chunks(io.BytesIO(good[:-48]))] == [b"x\n"]  # a directory may end the file
+    for broken in (good[:40], b"no" + good, archive(b"x\n", bad=True), good[:-1], good[:-48] + b"else" + good[-44:], good[:-120]):
         with pytest.raises(ValueError):
             list(files.zlg_chunks(io.BytesIO(broken)))
 
 
+def test_lines_across_chunks():
+    got = list(files.lines_of("x.zlg", archive(b"one\ntw", b"o and", b" on\r\nthree")))
+    assert [(n, line) for _, _, n, line in got] == [(4, "one"), (12, "two and on"), (5, "three")]
+    assert got[1][0] == got[0][0] and got[1][1] == got[2][1] and got[2][0] > got[0][1]
+    packed = gzip.compress(b"a\r\n") + gzip.compress(b"b\nc")
+    assert [line for *_, line in files.lines_of("x.gz", packed)] == ["a", "b", "c"]
+
+
 def test_cursors(spark):
     cols = "tenant_id string, device_dir string, file_rel string, is_gzip boolean, inode long, size long"
     now = [("t", "d", n, n.endswith(".gz"), i, s) for n, i, s in (("new.log", 1, 5), ("same.log", 2, 9), ("moved.log", 9, 9), ("cut.log", 4, 3), ("z.gz", 5, 7))]

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import glob
 import json
+import os
 import sys
+import time
 
 from . import config, control
 
@@ -17,8 +20,10 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     one = sub.add_parser("oneshot", help="alerts of a root of log files")
     one.add_argument("--root", required=True)
-    one.add_argument("--out", required=True)
+    one.add_argument("--out", help="table of alerts; not needed where output.sink is stdout")
     one.add_argument("--tenant")
+    one.add_argument("--policy", help="file with the policy of --tenant")
+    one.add_argument("--state", help="folder of cursors: only what files gained since the last run is read")
     one.add_argument("--since", type=int)
     one.add_argument("--until", type=int)
     one.add_argument("--eval-ts", type=int, help="when silences are judged (else now)")
@@ -102,21 +107,63 @@ def _oneshot(args, cfg) -> int:
     from ..functions.ids import device_key
     from ..operators import alerts
     from ..operators.scoring import Thresholds
-    from ..sources.files import read_lines
+    from ..sources.files import advance, read_lines
+    from ..sources.shared import settled
     from .analyze import analyze
 
+    stdout = cfg["output"]["sink"] == "stdout"
+    if (not stdout and not args.out) or (args.policy and not args.tenant):
+        return 1
     s = cfg["scoring"]
     t = Thresholds(outlier=s["outlier_threshold"], noise=s["noise_threshold"], min_lines=s["min_lines_per_window"], cold_start_days=s["cold_start_days"])
-    lines = read_lines(_spark(), args.root, cfg["ingest"]["max_line_len"])
-    if args.tenant:
-        lines = lines.where(F.col("tenant_id") == args.tenant)
-    lines = lines.withColumn("device_key", device_key(F.col("tenant_id"), F.col("device_dir")))
+    policy = config.load_policy(args.policy) if args.policy else None
+    files = _listed(args) if args.state else None
+    lines = read_lines(_spark(), args.root, cfg["ingest"]["max_line_len"], files)
+    if files is not None:
+        lines = settled(lines, "lines")  # cursors end where these lines end, whatever files gain meanwhile
+    read = lines.where(F.col("tenant_id") == args.tenant) if args.tenant else lines
+    keyed = read.withColumn("device_key", device_key(F.col("tenant_id"), F.col("device_dir")))
     features, entities = config.caps(cfg)
-    found = analyze(lines, cfg["ingest"]["window_size_s"], t, since=args.since, until=args.until, eval_ts=args.eval_ts, volume=config.volume(cfg), feature_caps=features, entity_caps=entities)
-    alerts.write_table(found, args.out)
+    found = analyze(keyed, cfg["ingest"]["window_size_s"], t, since=args.since, until=args.until, eval_ts=args.eval_ts, volume=config.volume(cfg, policy), feature_caps=features, entity_caps=entities)
+    if stdout:
+        for row in found.toJSON().toLocalIterator():
+            print(row)
+    else:
+        alerts.write_table(found, args.out)
+    if files is not None:
+        seen = files.where(F.col("tenant_id") == args.tenant) if args.tenant else files
+        others = files.where(F.col("tenant_id") != args.tenant) if args.tenant else None
+        done = advance(seen, read, int(time.time()))
+        _write_cursors(args.state, done if others is None else done.unionByName(others.withColumn("last_read_ts", F.lit(0))))
     return 0
 
 
+def _cursor_folders(state: str) -> list[str]:
+    """Whole cursor tables of a state folder, the last one last."""
+    return sorted(d for d in glob.glob(os.path.join(state, "cursors-*")) if os.path.exists(os.path.join(d, "_SUCCESS")))
+
+
+def _listed(args):
+    """The files of the root with the offsets where reading goes on."""
+    from pyspark.sql import functions as F
+
+    from ..sources.files import discover, reconcile
+    from ..sources.shared import settled
+
+    spark, keys = _spark(), ["tenant_id", "device_dir", "file_rel", "is_gzip", "size"]
+    now = discover(spark, args.root).select(*keys, F.lit(0).cast("long").alias("inode"))
+    folders = _cursor_folders(args.state)
+    old = spark.read.parquet(folders[-1]) if folders else now.withColumn("offset", F.lit(0).cast("long")).where("false")
+    return settled(reconcile(now, old).drop("reason"), "listed")
+
+
+def _write_cursors(state: str, cursors) -> None:
+    """A table of its own after alerts are written: a run that ends before reads its lines again."""
+    folders = _cursor_folders(state)
+    at = int(folders[-1].rpartition("-")[2]) + 1 if folders else 0
+    cursors.write.mode("overwrite").parquet(os.path.join(state, f"cursors-{at:08d}"))
+
+
 def main(argv: list[str] | None = None) -> int:
     try:
         args = parser().parse_args(argv)
@@ -157,6 +204,13 @@ def main(argv: list[str] | None = None) -> int:
     except OSError as e:
         print(e, file=sys.stderr)
         return 3
+    except Exception as e:
+        from pyspark.errors import PySparkException
+
+        if not isinstance(e, PySparkException):
+            raise
+        print(str(e).split("\n")[0], file=sys.stderr)  # a table or folder that can't be read or written
+        return 3
     return 0
 
 

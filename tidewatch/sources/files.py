@@ -11,6 +11,7 @@ import gzip
 import io
 import struct
 import zlib
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,14 +20,17 @@ from pyspark.sql import functions as F
 #: Suffixes that are read; the caps of a line.
 SUFFIXES = (".log", ".txt", ".json", ".csv", ".cef", ".gz", ".zlg")
 MOST_LINE = 16_384
+#: Cursors up to this number are broadcast.
+MOST_BROADCAST = 200_000
 LINES = "tenant_id string, device_dir string, file_rel string, offset_start long, offset_end long, is_gzip boolean, byte_len long, line string, line_no long"
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """tenant_id, device_dir, file_rel, path, size, mtime, is_gzip of all files with a known suffix, dotfiles left out."""
-    found = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*/*").select("path", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
+def discover(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+    """tenant_id, device_dir, file_rel, path, size, mtime, is_gzip (and content, if asked for) of all files with a known suffix,
+    dotfiles left out."""
+    found = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*/*")
     part = lambda i: F.element_at(F.split("path", "/"), -i)
-    found = found.select(part(3).alias("tenant_id"), part(2).alias("device_dir"), part(1).alias("file_rel"), "path", "size", "mtime")
+    found = found.select(part(3).alias("tenant_id"), part(2).alias("device_dir"), part(1).alias("file_rel"), "path", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), *["content"] * content)
     known = F.lit(False)
     for s in SUFFIXES:
         known = known | F.col("file_rel").endswith(s)
@@ -39,21 +43,24 @@ def inventory(files: DataFrame) -> DataFrame:
     return files.groupBy("tenant_id", "device_dir").agg(F.sort_array(F.collect_list(F.struct("is_gzip", "file_rel"))).alias("files"))
 
 
+def _text(raw: bytes, most: int) -> str:
+    """A line without its LF and the CR before it, cut at the cap."""
+    raw = raw.removesuffix(b"\n")
+    return raw.removesuffix(b"\r")[:most].decode("utf-8", "replace")
+
+
 def split_lines(data: bytes, most: int = MOST_LINE, at: int = 0):
-    """(start, end, raw length, line) of each line: LF ends it, a CR before it goes, what is over the cap is cut."""
+    """(start, end, raw length, line) of each line."""
     start = 0
     while start < len(data):
-        end = data.find(b"\n", start)
-        stop = len(data) if end < 0 else end + 1
-        raw = data[start : stop - (end >= 0)]
-        text = raw[: -1 if raw.endswith(b"\r") else None][:most]
-        yield at + start, at + stop, stop - start, text.decode("utf-8", "replace")
+        stop = data.find(b"\n", start) + 1 or len(data)
+        yield at + start, at + stop, stop - start, _text(data[start:stop], most)
         start = stop
 
 
 #: Fixed values of the chunked archive: magics, sizes, flag of a stored chunk, caps.
 ZLG_MAGIC, ZLG_CHUNK, ZLG_DIRECTORY, ZLG_FOOTER = b"ZLG1P0\0\0", b"ZCH1", b"ZDR1", b"ZFT1"
-ZLG_HEADER, ZLG_CHUNK_HEADER, ZLG_STORED = 32, 64, 0x8000
+ZLG_HEADER, ZLG_CHUNK_HEADER, ZLG_STORED, ZLG_ENTRY, ZLG_FOOTER_SIZE = 32, 64, 0x8000, 64, 48
 ZLG_MOST_SUMMARY, ZLG_MOST_CHUNK = 64 << 20, 1 << 30
 
 
@@ -73,6 +80,13 @@ def zlg_chunks(f: io.BufferedIOBase):
     at = ZLG_HEADER
     while magic := f.read(4):
         if magic == ZLG_DIRECTORY:
+            entry, entries = struct.unpack("<IQ", take(12))
+            if entry != ZLG_ENTRY:
+                raise ValueError("directory entry out of bounds")
+            for _ in range(entries):
+                take(entry)
+            if (magic := f.read(4)) and (magic != ZLG_FOOTER or struct.unpack("<I", take(4))[0] != ZLG_FOOTER_SIZE or not take(ZLG_FOOTER_SIZE - 8)):
+                raise ValueError("no footer after the directory")
             return
         if magic != ZLG_CHUNK:
             raise ValueError("unexpected record")
@@ -89,37 +103,62 @@ def zlg_chunks(f: io.BufferedIOBase):
         at = end
 
 
+def archive_lines(chunks, most: int = MOST_LINE):
+    """(start, end, raw length, line) of lines of (start, end, data) chunks; a line that goes on in later chunks has the places of
+    all of them."""
+    held, since, end = b"", 0, 0
+    for start, end, data in chunks:
+        cut = data.rfind(b"\n") + 1
+        if not cut:
+            since, held = since if held else start, held + data
+            continue
+        first = since if held else start
+        for i, (_, _, n, line) in enumerate(split_lines(held + data[:cut], most)):
+            yield start if i else first, end, n, line
+        held, since = data[cut:], start
+    if held:
+        yield since, end, len(held), _text(held, most)
+
+
 def lines_of(name: str, data: bytes, most: int = MOST_LINE, start: int = 0):
-    """(start, end, raw length, line) of a file.  Compressed files give the offsets of what holds the line."""
+    """(start, end, raw length, line) of a file.  Compressed files give the offsets of what holds the line, and are never
+    decompressed as a whole."""
     if name.endswith(".zlg"):
-        for a, b, chunk in zlg_chunks(io.BytesIO(data)):
-            if b > start:
-                yield from ((a, b, n, line) for _, _, n, line in split_lines(chunk, most))
+        yield from archive_lines(((a, b, chunk) for a, b, chunk in zlg_chunks(io.BytesIO(data)) if b > start), most)
     elif name.endswith(".gz"):
-        yield from ((0, len(data), n, line) for _, _, n, line in split_lines(gzip.decompress(data), most))
+        if start >= len(data) > 0:
+            return
+        with gzip.open(io.BytesIO(data)) as f:
+            yield from ((0, len(data), len(raw), _text(raw, most)) for raw in f)
     else:
-        yield from split_lines(data[start:], most, start)
+        yield from split_lines(data[start:] if start else data, most, start)
+
+
+#: Lines of one Arrow batch.
+BATCH = 20_000
 
 
 def read_lines(spark: SparkSession, root: str, most: int = MOST_LINE, cursors: DataFrame | None = None) -> DataFrame:
-    """Lines with offsets and their number in what was read of the file.  cursors (file_key columns and offset): where to go on; absent files start at 0."""
+    """Lines with offsets and their number in what was read of the file.  cursors (file_key columns and offset): where to go on; absent
+    files start at 0.  One scan gives names and contents; cursors, small rows, are joined to it."""
     keys = ["tenant_id", "device_dir", "file_rel"]
-    files = discover(spark, root)
+    files = discover(spark, root, content=True)
     if cursors is not None:
-        files = files.join(cursors.select(*keys, "offset"), keys, "left")
+        known = cursors.select(*keys, "offset")
+        files = files.join(F.broadcast(known) if known.count() <= MOST_BROADCAST else known, keys, "left")
     else:
         files = files.withColumn("offset", F.lit(0).cast("long"))
     files = files.withColumn("offset", F.coalesce("offset", F.lit(0)))
-    content = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*/*").select("path", "content")
+    names = [c.split()[0] for c in LINES.split(", ")]
 
     def run(batches):
         for pdf in batches:
-            out = []
             for t, d, name, gz, offset, data in zip(pdf.tenant_id, pdf.device_dir, pdf.file_rel, pdf.is_gzip, pdf.offset, pdf.content):
-                out += [(t, d, name, a, b, gz, n, line, i) for i, (a, b, n, line) in enumerate(lines_of(name, data, most, offset))]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in LINES.split(", ")])
+                lines = ((t, d, name, a, b, gz, n, line, i) for i, (a, b, n, line) in enumerate(lines_of(name, data, most, offset)))
+                while some := list(islice(lines, BATCH)):
+                    yield pd.DataFrame(some, columns=names)
 
-    return files.join(content, "path").select(*keys, "is_gzip", "offset", "content").mapInPandas(run, LINES)
+    return files.select(*keys, "is_gzip", "offset", "content").mapInPandas(run, LINES)
 
 
 def text_lines(spark: SparkSession, root: str) -> DataFrame:
@@ -149,7 +188,10 @@ def reconcile(files: DataFrame, cursors: DataFrame) -> DataFrame:
 
 
 def advance(files: DataFrame, lines: DataFrame, read_ts: int) -> DataFrame:
-    """Cursors after `lines` were read: the last offset of each file, at most its size."""
+    """Cursors after `lines` were read: the last offset of each file, at least the one it had (offset, if files have it), at most its
+    size."""
     keys = ["tenant_id", "device_dir", "file_rel"]
-    ends = lines.groupBy(*keys).agg(F.max("offset_end").alias("offset"))
-    return files.join(ends, keys, "left").withColumns({"offset": F.least(F.coalesce("offset", F.lit(0)), F.col("size")), "last_read_ts": F.lit(read_ts)})
+    ends = lines.groupBy(*keys).agg(F.max("offset_end").alias("_end"))
+    before = F.col("offset") if "offset" in files.columns else F.lit(0)
+    offset = F.least(F.greatest(F.coalesce("_end", F.lit(0)), before), F.col("size"))
+    return files.join(ends, keys, "left").withColumns({"offset": offset.cast("long"), "last_read_ts": F.lit(read_ts)}).drop("_end")
