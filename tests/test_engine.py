@@ -107,3 +107,14 @@ def test_labels(spark):
     t = scoring.Thresholds()
     assert t.cold_start_windows(60) == 120 and t.cold_start_windows(3600) == 2
     assert windows.FEATURE_CAPS["all"] == 50_000
+
+
+def test_full_dictionary(spark):
+    from tidewatch.operators.dictionary import dictionary, faults
+
+    lines = spark.createDataFrame([("t", i, [f"w=a{i}", "k=x"]) for i in range(5)] + [("u", 1, ["k=y"])], "tenant_id string, seq long, features array<string>")
+    first = dictionary(lines, most=3)
+    got = {(r.tenant_id, r.feature): r.feature_id for r in first.collect()}
+    assert got == {("t", "k=x"): 1, ("t", "w=a0"): 2, ("t", "w=a1"): 3, ("u", "k=y"): 1} and faults(first, 3).count() == 0
+    again = dictionary(lines, first, 4)
+    assert {(r.tenant_id, r.feature): r.feature_id for r in again.collect()} == got | {("t", "w=a2"): 4}

@@ -10,10 +10,10 @@ from ..functions.families import family, family_order
 MOST = 2_000_000
 
 
-def dictionary(lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """tenant_id, feature, feature_id.  Features of `known` keep their ids, new ones follow.
+def dictionary(lines: DataFrame, known: DataFrame | None = None, most: int = MOST) -> DataFrame:
+    """tenant_id, feature, feature_id.  Features of `known` keep their ids, new ones follow until the tenant has `most`; later ones get none.
 
-    Distinct features come first, so a tenant's sort holds its vocabulary (at most MOST), not its lines.
+    Distinct features come first, so a tenant's sort holds its vocabulary, not its lines.
     """
     each = lines.select("tenant_id", "seq", F.explode("features").alias("feature"))
     first = each.groupBy("tenant_id", "feature").agg(F.min("seq").alias("seq"))
@@ -25,7 +25,7 @@ def dictionary(lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
     got = first.withColumn("k", F.row_number().over(order).cast("long"))
     if last is not None:
         got = got.join(F.broadcast(last), "tenant_id", "left").withColumn("k", F.col("k") + F.coalesce("last", F.lit(0)))
-    got = got.select("tenant_id", "feature", F.col("k").alias("feature_id"))
+    got = got.where(F.col("k") <= most).select("tenant_id", "feature", F.col("k").alias("feature_id"))
     return got if known is None else known.select("tenant_id", "feature", "feature_id").unionByName(got)
 
 
