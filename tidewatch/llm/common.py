@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +55,15 @@ def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
             taken.add(own.lower())
             new[c] = own
     return df.withColumnsRenamed(new), {v: k for k, v in new.items()}
+
+
+def tidy(run):
+    """run, for mapInArrow; what Arrow has freed goes back to the system when the task ends, since workers are kept for others."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return tidied

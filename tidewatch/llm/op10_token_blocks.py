@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets, shared_dir, table
+from .common import buckets, shared_dir, table, tidy
 from .kernels import utf8
 from .pieces import Encoder
 
@@ -206,7 +206,7 @@ def write_tokens(docs: DataFrame, path: str, end: int = END) -> str:
         if size:
             yield shard()
 
-    dealt.mapInArrow(run, "part long, seq long, start long, size long, shard binary").write.parquet(out)
+    dealt.mapInArrow(tidy(run), "part long, seq long, start long, size long, shard binary").write.parquet(out)
     return out
 
 
@@ -229,7 +229,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 base = known.value[part.as_py()] + start.as_py()
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(upto[:-1] + base), pa.array(s.counts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("part", "start", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "start", "shard").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

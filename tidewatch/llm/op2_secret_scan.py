@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, set_aside, settled, spread_join, table
+from .common import doc_key, set_aside, settled, spread_join, table, tidy
 
 #: The kinds in their order, and their patterns (assign: on bytes with A-Z lower-cased).
 KINDS = ("assign", "access", "hex", "token")
@@ -92,7 +92,7 @@ def scan(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *columns], names=["row", "doc_id", "tie", "repo", "owner", "kinds", "starts", "ends", "values"])
 
-    return rows.mapInArrow(run, _SCANNED)
+    return rows.mapInArrow(tidy(run), _SCANNED)
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def redacted(docs: DataFrame, repo: Column | None = None, owner: Column | None =
             texts = [t.as_py() if s is None else redact(t.as_py(), [(x["start"], x["end"]) for x in s]) for t, s in zip(batch.column("text"), batch.column("_spans").to_pylist())]
             yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
 
-    return keyed.mapInArrow(run, docs.schema).withColumnsRenamed(back)
+    return keyed.mapInArrow(tidy(run), docs.schema).withColumnsRenamed(back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, tidy
 from .gbt import Forest, train
 from .kernels import SPACES, Digests, chunks, grams, spans, utf8, word_table
 
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
             _, x = statistics(buf, offs)
             yield pa.RecordBatch.from_arrays([batch.column("quality"), *[pa.array(x[:, j]) for j in range(x.shape[1])]], names=["quality", *FEATURES])
 
-    found = texts.mapInArrow(run, ", ".join(f"{n} double" for n in ("quality", *FEATURES)))
+    found = texts.mapInArrow(tidy(run), ", ".join(f"{n} double" for n in ("quality", *FEATURES)))
     # rows that repeat a doc_id could be more than the labels
     got = found.orderBy(F.xxhash64(*FEATURES), "quality").limit(sample).toArrow()
     x = np.stack([got[n].to_numpy() for n in FEATURES], 1) if len(got) else np.zeros((0, len(FEATURES)))
@@ -136,7 +136,7 @@ def rate(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, least_wo
             quality = shipped.value.score(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(base[:, j]) for j in range(len(BASE))], pa.array(failed), pa.array(quality), pa.array(~failed & (quality >= threshold))], names=[*batch.schema.names, *[f.name for f in new]])
 
-    return given.mapInArrow(run, T.StructType([*given.schema.fields, *new]))
+    return given.mapInArrow(tidy(run), T.StructType([*given.schema.fields, *new]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

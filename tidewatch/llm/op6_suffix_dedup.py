@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import repeats
-from .common import set_aside, table
+from .common import set_aside, table, tidy
 from .kernels import CHUNK, Digests, blocks, mix
 
 WINDOW, CORE = 100, 32
@@ -122,7 +122,7 @@ def dedup(docs: DataFrame, name: str = "suffixes", texts: bool = True) -> DataFr
                     column.append(v)
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept_columns], *[pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]], names=[f.name for f in [*kept_columns, *new]])
 
-    return found.mapInArrow(run, T.StructType([*kept_columns, *new])).withColumnsRenamed(back)
+    return found.mapInArrow(tidy(run), T.StructType([*kept_columns, *new])).withColumnsRenamed(back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import repeats
-from .common import set_aside, table
+from .common import set_aside, table, tidy
 from .kernels import Digests, chunks, mix, sequences, spans, word_table
 
 WINDOW, ROUNDS = 13, 3
@@ -190,7 +190,7 @@ def dedup(docs: DataFrame, name: str = "symbols", texts: bool = True) -> DataFra
             columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept_columns], *columns[: len(new)]], names=[f.name for f in [*kept_columns, *new]])
 
-    return found.mapInArrow(run, T.StructType([*kept_columns, *new])).withColumnsRenamed(back)
+    return found.mapInArrow(tidy(run), T.StructType([*kept_columns, *new])).withColumnsRenamed(back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import set_aside, settled, spread_join, table
+from .common import set_aside, settled, spread_join, table, tidy
 from .components import components
 from .kernels import Digests, ascii_lower, chunks, grams, mix, spans, utf8, word_table
 
@@ -92,7 +92,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), pa.array(d1), pa.array(d2), sketch], names=["row", "doc_id", "tie", "n", "d1", "d2", "sketch"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text")
-    return rows.mapInArrow(run, "row long, doc_id long, tie long, n long, d1 long, d2 long, sketch array<long>")
+    return rows.mapInArrow(tidy(run), "row long, doc_id long, tie long, n long, d1 long, d2 long, sketch array<long>")
 
 
 def least_shared(similarity: float) -> int:
@@ -144,7 +144,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(_signed(h)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(n)), members], names=["id", "members"])
 
-    return picked.mapInArrow(run, "id long, members array<long>")
+    return picked.mapInArrow(tidy(run), "id long, members array<long>")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import set_aside, table
+from .common import set_aside, table, tidy
 
 #: Verdict, host, path of the query's rules.
 RULES = (
@@ -162,7 +162,7 @@ def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, ur
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "rule", "verdict"])
 
     schema = T.StructType([*parts.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
-    return parts.mapInArrow(run, schema)
+    return parts.mapInArrow(tidy(run), schema)
 
 
 def filter_urls_joined(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets, doc_key, settled
+from .common import buckets, doc_key, settled, tidy
 from .kernels import mix, utf8
 
 #: Records that a task holds before it deals them out; and windows that a bucket compares at once.
@@ -151,7 +151,7 @@ def _splitters(texts: DataFrame, kind: Kind, n: int) -> np.ndarray:
                 chosen = (np.arange(len(rows)) - np.repeat(new, np.diff(np.append(new, len(rows))))) < EACH
                 yield pa.RecordBatch.from_arrays([pa.array((core[chosen, 0] ^ np.uint64(1 << 63)).view(np.int64))], names=["key"])
 
-    got = sampled.select("text").mapInArrow(run, "key long").agg(F.percentile_approx("key", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10_000)).alias("q")).first()["q"] if n > 1 else None
+    got = sampled.select("text").mapInArrow(tidy(run), "key long").agg(F.percentile_approx("key", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10_000)).alias("q")).first()["q"] if n > 1 else None
     return np.array(got or [], np.int64).view(np.uint64) ^ np.uint64(1 << 63)
 
 
@@ -349,16 +349,16 @@ def repeated(docs: DataFrame, kind: Kind, name: str) -> DataFrame:
     n = buckets(spark)
     texts = docs.select(doc_key().alias("dk"), F.xxhash64("text").alias("tk"), "text")
     splitters = _splitters(texts, kind, n) if kind.ranges else None
-    dealt = texts.mapInArrow(_deal(kind, n, splitters), "bucket int, done boolean, blob binary").repartitionById(n, F.col("bucket"))
-    known = settled(dealt.mapInArrow(_classify(kind, splitters), _ROWS), f"{name}-classes")
+    dealt = texts.mapInArrow(tidy(_deal(kind, n, splitters)), "bucket int, done boolean, blob binary").repartitionById(n, F.col("bucket"))
+    known = settled(dealt.mapInArrow(tidy(_classify(kind, splitters)), _ROWS), f"{name}-classes")
     open_ = known.where("state = 1").groupBy("dk", "tk").agg(F.collect_list("recs").alias("recs"))
     keys = known.where("state = 1").select("dk").distinct()
     few = keys.count() <= MOST_BROADCAST
     picked = texts.join(F.broadcast(keys), "dk", "left_semi") if few else texts
     fetched = picked.join(open_, ["dk", "tk"])
-    suffixes = fetched.select("dk", "tk", "text", "recs").mapInArrow(_fetch(kind), "lead binary, hot boolean, dk long, tk long, start long, n long, cover binary")
+    suffixes = fetched.select("dk", "tk", "text", "recs").mapInArrow(tidy(_fetch(kind)), "lead binary, hot boolean, dk long, tk long, start long, n long, cover binary")
     spread = [F.when(F.col("hot"), F.col(c)) for c in ("dk", "tk", "start")]
-    compared = settled(suffixes.repartitionByRange(n, "lead", *spread).mapInArrow(_compare(kind), _WINDOWS), f"{name}-windows")
+    compared = settled(suffixes.repartitionByRange(n, "lead", *spread).mapInArrow(tidy(_compare(kind)), _WINDOWS), f"{name}-windows")
     # across boundaries: firsts of a window in several buckets
     order = Window.partitionBy("d1", "d2").orderBy("dk", "tk", "at")
     met = compared.where("d1 IS NOT NULL").withColumns({"k": F.rank().over(order), "low": F.first("dk").over(order)})
