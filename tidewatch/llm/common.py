@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,13 +59,22 @@ def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
     return df.withColumnsRenamed(new), {v: k for k, v in new.items()}
 
 
+def give_back() -> None:
+    """Memory that was freed goes back to the system, as far as the libraries can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not in every C library
+        pass
+
+
 def tidy(run):
-    """run, for mapInArrow; what Arrow has freed goes back to the system when the task ends, since workers are kept for others."""
+    """run, for mapInArrow; what was freed goes back to the system when the task ends, since workers are kept for others."""
 
     def tidied(batches):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return tidied

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table, tidy
+from .common import give_back, table, tidy
 from .kernels import utf8
 from .pieces import Encoder
 
@@ -220,7 +220,7 @@ def bpe(docs: DataFrame, path: str, text: str = "text", ids: bool = True) -> Dat
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in kept], *[f.name for f in new]])
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return given.mapInArrow(tidy(run), T.StructType([*kept, *new]))
 
