@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +62,7 @@ def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
 
 def give_back() -> None:
     """Memory that was freed goes back to the system, as far as the libraries can."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -104,7 +104,7 @@ class Bpe:
 
     def __init__(self, path: str):
         self.ranks, vocabulary, merges = tables(path)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "96MB", "temp_directory": ""})
         self.db.register("v", vocabulary), self.db.register("m", merges)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
@@ -112,6 +112,7 @@ class Bpe:
         if (self.byte < 0).any():
             raise ValueError("the ranks lack single bytes")
         self.encoder = Encoder(self.pieces)
+        give_back()
 
     def close(self) -> None:
         self.encoder.forget()
