@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_chat_format, op2_secret_scan, op3_decontaminate, op4_quality, op5_bpe, op6_suffix_dedup, op7_recompression, op8_bottomk, op9_url_filter, op10_token_blocks
+from . import op1_chat_format, op2_secret_scan, op3_decontaminate, op4_quality, op5_bpe, op6_suffix_dedup, op7_recompression, op8_bottomk, op9_url_filter, op10_token_blocks, op11_quality_nbsvm, op12_divergence, op13_periodic_runs
 
-MODULES = (op1_chat_format, op2_secret_scan, op3_decontaminate, op4_quality, op5_bpe, op6_suffix_dedup, op7_recompression, op8_bottomk, op9_url_filter, op10_token_blocks)
+MODULES = (op1_chat_format, op2_secret_scan, op3_decontaminate, op4_quality, op5_bpe, op6_suffix_dedup, op7_recompression, op8_bottomk, op9_url_filter, op10_token_blocks, op11_quality_nbsvm, op12_divergence, op13_periodic_runs)
 
 
 def queries() -> dict:
