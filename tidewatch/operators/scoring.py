@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from ..functions import families
 from . import baselines
 from .windows import KEY
 
+if TYPE_CHECKING:
+    from .state import Baseline
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -43,17 +47,18 @@ def z_score(value: Column, n: Column, mean: Column, var: Column) -> Column:
     return F.when((n < 2) | (var <= 1e-12), 0.0).otherwise(F.greatest(F.lit(0.0), (value - mean) / F.sqrt(var)))
 
 
-def scored(rows: DataFrame, row_features: DataFrame, size: int, t: Thresholds = Thresholds(), alpha: float = baselines.ALPHA) -> tuple[DataFrame, DataFrame]:
-    """(rows with all scores, row features with df, idf, tf_w and contrib)."""
-    at = baselines.placed(rows)
-    seen = baselines.centroid_features(baselines.seen_features(row_features, at), alpha)
+def scored(rows: DataFrame, row_features: DataFrame, size: int, t: Thresholds = Thresholds(), alpha: float = baselines.ALPHA, past: Baseline | None = None, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows with all scores, row features with df, idf, tf_w and contrib).  past: what earlier runs left; carry: keep the columns that `state.advanced` needs."""
+    place = baselines.placed(rows, past)
+    seen = baselines.centroid_features(baselines.seen_features(row_features, place, past), alpha, past)
     mass = F.col("tf_w").cast("double")
     seen = seen.withColumn("idf", idf(F.col("n_bucket"), F.col("df"))).withColumn("contrib", (mass * F.col("idf")).cast("float")).where("tf_w > 0")
     blob = F.when(families.is_blob(F.col("feature")), mass).otherwise(0.0)
     sums = seen.groupBy(*KEY).agg(*baselines.centroid_sums(), F.sum(mass).alias("mass"), F.sum(mass * F.col("idf")).alias("mass_idf"), F.sum(blob).alias("mass_blob"))
-    seen = seen.drop("day", "opens", "i", "n_bucket")
-    out = at.drop("opens", "day").join(sums, KEY, "left").fillna(0.0, ["mass", "mass_idf", "mass_blob"])
-    out = baselines.with_stats(baselines.with_centroid_norm(out, alpha)).drop("i")
+    carried = ["day", "i"] if carry else []
+    seen = seen.drop(*{"day", "opens", "i", "n_bucket"}.difference(carried))
+    out = place.rows.drop("opens", "held", "visible").join(sums, KEY, "left").fillna(0.0, ["mass", "mass_idf", "mass_blob"])
+    out = baselines.with_stats(baselines.with_centroid_norm(out, alpha, past), past)
     some = F.col("mass") > 1e-12
     row_norm, centroid_norm = F.sqrt("row_norm2"), F.sqrt(F.greatest(F.col("centroid_norm2"), F.lit(0.0)))
     cosine = F.col("dot") / (row_norm * centroid_norm)
@@ -74,7 +79,7 @@ def scored(rows: DataFrame, row_features: DataFrame, size: int, t: Thresholds =
             "cold_start": (centroid_norm <= 0.0) | (F.lit(least > 0) & (F.col("n_bucket") < least)),
         }
     )
-    return out.drop("mass", "mass_idf", "mass_blob", "dot", "row_norm2", "centroid_norm2"), seen
+    return out.drop("mass", "mass_idf", "mass_blob", *{"day", "i", "dot", "row_norm2", "centroid_norm2"}.difference(["day", "i", "dot", "row_norm2", "centroid_norm2"] if carry else [])), seen
 
 
 def top_features(seen: DataFrame, most: int = 25) -> DataFrame:

@@ -128,6 +128,10 @@ SQL = {
     "drift": f"WITH {ROWS}{CENTROID} SELECT tenant_id, device_key, ws, round(dot, 5) AS dot, round(row_norm2, 5) AS row_norm2, round(centroid_norm2, 5) AS centroid_norm2 FROM dr",
     "scores": f"""WITH {RING}{STATS}{CENTROID}{SCORES} SELECT tenant_id, device_key, ws, round(rarity, 5) AS rarity, round(drift, 5) AS drift, round(volume, 5) AS volume, round(total, 5) AS total, cold_start,
         round(centroid_norm, 5) AS centroid_norm FROM tot""",
+    "resumed_scores": f"""WITH {RING}{STATS}{CENTROID}{SCORES} SELECT tot.tenant_id, tot.device_key, tot.ws, st.stats_n, round(tot.rarity, 5) AS rarity, round(tot.drift, 5) AS drift, round(tot.volume, 5) AS volume, round(tot.total, 5) AS total,
+        tot.cold_start, round(tot.centroid_norm, 5) AS centroid_norm FROM tot JOIN st ON st.tenant_id = tot.tenant_id AND st.device_key = tot.device_key AND st.ws = tot.ws""",
+    "baseline_groups": f"""WITH {ROWS} SELECT tenant_id, device_key, bucket, count(*) AS n, max(ws) AS last_ws, round(avg(lines), 4) AS lines_mean, round(var_pop(lines) * count(*), 4) AS lines_m2,
+        round(avg(bytes), 4) AS bytes_mean, round(var_pop(bytes) * count(*), 4) AS bytes_m2 FROM r GROUP BY ALL""",
     "volume_stats": f"WITH {ROWS}{STATS} SELECT tenant_id, device_key, ws, stats_n, round(lines_mean, 6) AS lines_mean, round(lines_var, 6) AS lines_var, round(bytes_mean, 6) AS bytes_mean, round(bytes_var, 6) AS bytes_var FROM st",
     "final_stats": f"""WITH {ROWS} SELECT tenant_id, device_key, bucket, count(*) AS n, max(ws) AS last_ws, round(avg(lines), 4) AS lines_mean, round(sum(lines * lines) - count(*) * avg(lines) * avg(lines), 4) AS lines_m2,
         round(avg(bytes), 4) AS bytes_mean, round(var_pop(bytes) * count(*), 4) AS bytes_m2 FROM r GROUP BY ALL""",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import families, timing
-from ..operators import baselines, scoring, volume_loss, windows
-from ..sources.shared import spread
+from ..operators import baselines, scoring, state, volume_loss, windows
+from ..sources.shared import settled, shared_dir, spread
 from . import inputs
 from .inputs import SIZE
 
@@ -78,6 +80,35 @@ def scores(spark, sf_dir):
     return _round(got.select(*KEY, "rarity", "drift", "volume", "total", "cold_start", "centroid_norm"), "rarity", "drift", "volume", "total", "centroid_norm", digits=5)
 
 
+def resumed_scores(spark, sf_dir):
+    """The events in two runs, cut at a window in the middle of a day; the second goes on from the tables that the first left."""
+    _, rows, found = _base(spark, sf_dir)
+    cut = int(rows.agg((F.min("ws") + (F.max("ws") - F.min("ws")) / 2).alias("x")).first()[0] or 0) // SIZE * SIZE
+    first, second = F.col("ws") < cut, F.col("ws") >= cut
+    got, seen = scoring.scored(rows.where(first), found.where(first), SIZE, LOW, carry=True)
+    got, seen = settled(got, "scores"), settled(seen, "seen")
+    path = f"{shared_dir(spark).rstrip('/')}/baselines-{uuid.uuid4().hex}"
+    state.save(state.advanced(state.empty(spark), got, seen), path)
+    later, _ = scoring.scored(rows.where(second), found.where(second), SIZE, LOW, past=state.load(spark, path))
+    both = got.select(later.columns).unionByName(later)
+    return _round(both.select(*KEY, "stats_n", "rarity", "drift", "volume", "total", "cold_start", "centroid_norm"), "rarity", "drift", "volume", "total", "centroid_norm", digits=5)
+
+
+def baseline_groups(spark, sf_dir):
+    """What three runs over thirds of the days leave of each device and bucket: counts and moments, the centroid's norm, how many features it has."""
+    _, rows, found = _base(spark, sf_dir)
+    day = F.floor(F.col("ws") / timing.DAY)
+    past = None
+    for k in range(3):
+        own = F.pmod(F.floor(day / 10), F.lit(3)) == k  # tens of days: runs need not follow one another in time
+        got, seen = scoring.scored(rows.where(own), found.where(own), SIZE, LOW, past=past, carry=True)
+        got, seen = settled(got, "scores"), settled(seen, "seen")
+        path = f"{shared_dir(spark).rstrip('/')}/baselines-{uuid.uuid4().hex}"
+        state.save(state.advanced(past or state.empty(spark), got, seen), path)
+        past = state.load(spark, path)
+    return _round(past.groups.select("tenant_id", "device_key", "bucket", "n", "last_ws", "lines_mean", "lines_m2", "bytes_mean", "bytes_m2"), "lines_mean", "lines_m2", "bytes_mean", "bytes_m2", digits=4)
+
+
 def drift(spark, sf_dir):
     _, rows, found = _base(spark, sf_dir)
     got, seen = baselines.with_centroid(rows, found.join(rows.select(*KEY, "bucket"), KEY))
@@ -238,7 +269,7 @@ def stream_windows(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        rarity, window_rows, row_features, entity_topk, feature_caps, df_ring, df_ring_windows, drift, scores, volume_stats, final_stats, row_alerts, top_features, alert_filter, alert_search, alert_counts, expected_sources,
+        rarity, window_rows, row_features, entity_topk, feature_caps, df_ring, df_ring_windows, drift, scores, resumed_scores, baseline_groups, volume_stats, final_stats, row_alerts, top_features, alert_filter, alert_search, alert_counts, expected_sources,
         hard_silence, sharp_drop, tenant_sharp_drop, open_drops, drop_diagnostics, supplier_volume, envelope, tokens, parsed_features, parsed_entities, document_words, feature_dictionary, stream_windows,
     )
 }
