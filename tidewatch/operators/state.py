@@ -22,6 +22,7 @@ from ..functions import timing
 from ..sources.shared import settled
 from . import baselines
 from .baselines import ALPHA, GROUP
+from .volume_loss import WATCHED, Watched
 
 STATS = ("lines", "bytes", "total")
 SCHEMAS = {
@@ -44,14 +45,22 @@ def empty(spark: SparkSession) -> Baseline:
     return Baseline(**{n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()})
 
 
-def save(base: Baseline, path: str) -> None:
-    """A folder with a table of each; a writer that ends before leaves the folder without its last one, `centroids`."""
-    for f in fields(base):
-        getattr(base, f.name).write.mode("overwrite").parquet(os.path.join(path, f.name))
+def save(tables: Baseline | Watched, path: str) -> None:
+    """A folder with a table of each."""
+    for f in fields(tables):
+        getattr(tables, f.name).write.mode("overwrite").parquet(os.path.join(path, f.name))
+
+
+def _read(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    return {n: spark.read.schema(s).parquet(os.path.join(path, n)) for n, s in schemas.items()}
 
 
 def load(spark: SparkSession, path: str) -> Baseline:
-    return Baseline(**{n: spark.read.schema(s).parquet(os.path.join(path, n)) for n, s in SCHEMAS.items()})
+    return Baseline(**_read(spark, path, SCHEMAS))
+
+
+def load_watched(spark: SparkSession, path: str) -> Watched:
+    return Watched(**_read(spark, path, WATCHED))
 
 
 def _ring(old: DataFrame, new: DataFrame, by: list[str], held: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .baselines import merged_moments
+
 #: Subject kinds.
 DEVICE, TENANT, STREAM = 1, 2, 3
 
@@ -99,9 +101,19 @@ def evaluate_silence(state: DataFrame, eval_ts: Column, gates: SilenceGates = Si
     ).drop(*names, "opened")
 
 
-def expected_volume(rows: DataFrame, key: str = "device_key") -> DataFrame:
-    """rows with maturity, mean_lines, mean_bytes and sd_lines of the earlier windows of the same subject and bucket."""
+def expected_volume(rows: DataFrame, key: str = "device_key", past: DataFrame | None = None) -> DataFrame:
+    """rows with maturity, mean_lines, mean_bytes and sd_lines of the earlier windows of the same subject and bucket.  past: moments that earlier runs left, as of `volumes_after`."""
     before = Window.partitionBy("tenant_id", key, "bucket").orderBy("ws").rowsBetween(Window.unboundedPreceding, -1)
+    if past is not None:
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        old = past.select("tenant_id", F.col("subject_key").alias(key), "bucket", F.col("n").alias("_n"), *[F.col(f"{c}_{m}").alias(f"_{c}_{m}") for c in ("lines", "bytes") for m in ("mean", "m2")])
+        rows = rows.join(old, ["tenant_id", key, "bucket"], "left")
+        n, n0, made = F.count("lines").over(before), F.coalesce("_n", F.lit(0)), {}
+        for c in ("lines", "bytes"):
+            made[c] = merged_moments(n0, zero(F.col(f"_{c}_mean")), zero(F.col(f"_{c}_m2")), n, zero(F.avg(c).over(before)), zero(F.var_pop(c).over(before) * n))
+        sd = F.when(n + n0 > 1, F.sqrt(made["lines"][1] / (n + n0 - 1))).otherwise(0.0)
+        rows = rows.withColumns({"maturity": n + n0, "mean_lines": made["lines"][0], "mean_bytes": made["bytes"][0], "sd_lines": sd})
+        return rows.drop("_n", *[f"_{c}_{m}" for c in ("lines", "bytes") for m in ("mean", "m2")])
     return rows.withColumns(
         {
             "maturity": F.count("lines").over(before),
@@ -155,18 +167,26 @@ def evaluate_drop(windows: DataFrame, gates: DropGates = DropGates()) -> DataFra
 RECOVERED = ("AbsoluteDropBelowFloor", "ObservedRatioAboveThreshold", "DropRatioBelowThreshold")
 
 
-def emitted_drops(evaluated: DataFrame, keys: list[str], silences: DataFrame | None = None) -> DataFrame:
+def _drop_mark() -> Column:
+    """1: a candidate, which opens a drop; 0: recovered, which closes it."""
+    return F.when(F.col("suppression").isNull(), 1).when(F.col("suppression").isin(*RECOVERED), 0)
+
+
+def emitted_drops(evaluated: DataFrame, keys: list[str], silences: DataFrame | None = None, opened: DataFrame | None = None) -> DataFrame:
     """Candidates that open a drop: one while a drop is open is suppressed, recovery or hard silence closes it.
+    opened: tenant_id and subject_key of drops that earlier runs left open.
 
     Without recursion: a candidate is emitted unless the last mark before it in its subject is a candidate too.
     silences: keys and ws of hard silences, which close.
     """
-    mark = F.when(F.col("suppression").isNull(), 1).when(F.col("suppression").isin(*RECOVERED), 0)
-    marked = evaluated.withColumn("mark", mark)
+    marked = evaluated.withColumn("mark", _drop_mark())
     if silences is not None:
         marked = marked.unionByName(silences.select(*keys, "ws").withColumn("mark", F.lit(0)), allowMissingColumns=True)
     before = Window.partitionBy(*keys).orderBy("ws", F.desc_nulls_last("mark")).rowsBetween(Window.unboundedPreceding, -1)
     marked = marked.withColumn("was", F.last("mark", ignorenulls=True).over(before))
+    if opened is not None:
+        left = opened.select("tenant_id", "subject_key", F.lit(1).alias("left"))
+        marked = marked.join(left, ["tenant_id", "subject_key"], "left").withColumn("was", F.coalesce("was", "left")).drop("left")
     return marked.where("mark = 1 AND coalesce(was, 0) = 0").drop("mark", "was")
 
 
@@ -277,36 +297,128 @@ class Volume:
         return DropGates(min_maturity=2 if kind == TENANT else self.gates.min_mature, min_expected=lines, min_absolute=lines)
 
 
+#: What runs leave of volume: subjects as of `expected_state` (a stream with its device and path), moments of lines and bytes by bucket, open silences and drops.
+WATCHED = {
+    "subjects": "subject_kind int, tenant_id string, subject_key string, window_size_s long, observed_windows long, mature_windows long, last_ws long, last_we long, last_lines long, last_bytes long, last_bucket int, last_update_ts long, device_key string, source_path string",
+    "volumes": "subject_kind int, tenant_id string, subject_key string, bucket int, n long, lines_mean double, lines_m2 double, bytes_mean double, bytes_m2 double",
+    "opened": "subject_kind int, tenant_id string, subject_key string, silence boolean, sharp_drop boolean",
+}
+SUBJECT = ["subject_kind", "tenant_id", "subject_key"]
+
+
+@dataclass(frozen=True)
+class Watched:
+    subjects: DataFrame
+    volumes: DataFrame
+    opened: DataFrame
+
+
+def nothing_watched(spark: SparkSession) -> Watched:
+    return Watched(**{n: spark.createDataFrame([], s) for n, s in WATCHED.items()})
+
+
+def state_after(past: DataFrame, now: DataFrame) -> DataFrame:
+    """expected_state of all windows, from that of earlier runs and of this one, whose windows come later where they end alike."""
+    names = ("last_ws", "last_we", "last_lines", "last_bytes", "last_bucket")
+    both = past.withColumn("_run", F.lit(0)).unionByName(now.withColumn("_run", F.lit(1)))
+    last = F.max_by(F.struct("window_size_s", *names, "device_key", "source_path"), F.struct("last_we", "last_ws", "_run"))
+    got = both.groupBy(*SUBJECT).agg(F.sum("observed_windows").alias("observed_windows"), F.sum("mature_windows").alias("mature_windows"), last.alias("l"), F.max("last_update_ts").alias("last_update_ts"))
+    return got.select(*SUBJECT, "l.window_size_s", "observed_windows", "mature_windows", *[f"l.{c}" for c in names], "last_update_ts", "l.device_key", "l.source_path")
+
+
+def volumes_after(past: DataFrame, rows: DataFrame, kind: int, key: str) -> DataFrame:
+    """Moments of lines and bytes of subjects of a kind by bucket, after the windows `rows`."""
+    made = [F.count("*").alias("n")]
+    for c in ("lines", "bytes"):
+        made += [F.avg(c).alias(f"{c}_mean"), (F.var_pop(c) * F.count(c)).alias(f"{c}_m2")]
+    keys, old = [*SUBJECT, "bucket"], past.where(F.col("subject_kind") == kind)
+    now = rows.select(F.lit(kind).alias("subject_kind"), "tenant_id", F.col(key).alias("subject_key"), "bucket", "lines", "bytes").groupBy(*keys).agg(*made)
+    both = now.join(old.withColumnsRenamed({c: f"_{c}" for c in old.columns if c not in keys}), keys, "full")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    n, n0, out = F.coalesce("n", F.lit(0)), F.coalesce("_n", F.lit(0)), []
+    for c in ("lines", "bytes"):
+        mean, m2 = merged_moments(n0, zero(F.col(f"_{c}_mean")), zero(F.col(f"_{c}_m2")), n, zero(F.col(f"{c}_mean")), zero(F.col(f"{c}_m2")))
+        out += [mean.alias(f"{c}_mean"), m2.alias(f"{c}_m2")]
+    return both.select(*keys, (n + n0).alias("n"), *out)
+
+
 def loss_alerts(rows: DataFrame, size: int, eval_ts: Column, volume: Volume = Volume(), min_lines: int = 10, streams: DataFrame | None = None) -> DataFrame | None:
+    """As judged, of one run alone."""
+    return judged(rows, size, eval_ts, volume, min_lines, streams)[0]
+
+
+def judged(rows: DataFrame, size: int, eval_ts: Column, volume: Volume = Volume(), min_lines: int = 10, streams: DataFrame | None = None, past: Watched | None = None) -> tuple[DataFrame | None, Watched]:
     """Alert rows, without ids, in the order of priority: silences of devices and of tenants at eval_ts, drops of those that are not
-    silent, then source streams (streams: as of `stream_rows`).  None where nothing is watched."""
-    found, silent = [], {}
-    for kind, on in ((DEVICE, volume.device), (TENANT, volume.tenant)):
-        if on:
-            got = evaluate_silence(expected_state(rows, kind, size, min_lines), eval_ts, volume.gates)
-            found.append(silence_alerts(got))
-            silent[kind] = got.where("suppression IS NULL").select("tenant_id", "subject_key")
-    volumes = expected_volume(rows)
+    silent, then source streams (streams: as of `stream_rows`); None where nothing is watched.  And what the next run goes on from.
+
+    past: what earlier runs left.  A subject that stays silent is not reported again until a window of it was seen; nor is a
+    drop before its source has recovered or been silent.
+    """
+    old = past or nothing_watched(rows.sparkSession)
+    found, silent, states, volumes, opens = [], {}, [], [], []
+    kinds = [(DEVICE, volume.device, rows), (TENANT, volume.tenant, rows), (STREAM, volume.stream and streams is not None, streams)]
+    for kind, on, windows in kinds:
+        if not on:
+            continue
+        now = expected_state(windows, kind, size, min_lines)
+        if kind == STREAM:
+            named = stream_catalog(streams).select("tenant_id", F.col("source_stream_id").alias("subject_key"), "device_key", "source_path")
+            now = now.join(named, ["tenant_id", "subject_key"])
+        else:
+            now = now.withColumns({c: F.lit(None).cast("string") for c in ("device_key", "source_path")})
+        still, state = None, now
+        if past is not None:
+            state = state_after(old.subjects.where(F.col("subject_kind") == kind), now)
+            still = old.opened.where((F.col("subject_kind") == kind) & F.col("silence")).join(now, SUBJECT, "left_anti")
+        got = evaluate_silence(state, eval_ts, volume.gates, open_silence=still)
+        if kind != STREAM:
+            got = got.drop("device_key", "source_path")
+        found.append(silence_alerts(got))
+        silent[kind] = got.where("suppression IS NULL OR suppression = 'OpenSilenceAlreadyExists'").select("tenant_id", "subject_key")
+        states.append(state)
+        opens.append(silent[kind].select(F.lit(kind).alias("subject_kind"), "tenant_id", "subject_key", F.lit(True).alias("silence"), F.lit(False).alias("sharp_drop")))
+    moments = lambda kind: None if past is None else old.volumes.where(F.col("subject_kind") == kind)
 
     def drops(windows: DataFrame, kind: int, key: str, quiet: DataFrame) -> DataFrame:
         loud = windows.withColumn("subject_key", F.col(key)).join(quiet, ["tenant_id", "subject_key"], "left_anti")
+        evaluated = evaluate_drop(loud, volume.drops(kind))
         keys = ["tenant_id", "device_key", "subject_key"] if kind == STREAM else ["tenant_id", "subject_key"]
-        return drop_alerts(emitted_drops(evaluate_drop(loud, volume.drops(kind)), keys), kind, volume.drops(kind))
-
+        left = old.opened.where((F.col("subject_kind") == kind) & F.col("sharp_drop")).select("tenant_id", "subject_key").join(quiet, ["tenant_id", "subject_key"], "left_anti")
+        marks = evaluated.withColumn("mark", _drop_mark()).where("mark IS NOT NULL").groupBy("tenant_id", "subject_key").agg(F.max_by("mark", "ws").alias("mark"))
+        now = left.join(marks, ["tenant_id", "subject_key"], "left_anti").unionByName(marks.where("mark = 1").select("tenant_id", "subject_key"))
+        opens.append(now.select(F.lit(kind).alias("subject_kind"), "tenant_id", "subject_key", F.lit(False).alias("silence"), F.lit(True).alias("sharp_drop")))
+        return drop_alerts(emitted_drops(evaluated, keys, opened=None if past is None else left), kind, volume.drops(kind))
+
+    expected = expected_volume(rows, past=moments(DEVICE))
+    if volume.device or volume.tenant:
+        volumes.append(volumes_after(old.volumes, rows, DEVICE, "device_key"))
     if volume.device:
-        found.append(drops(volumes, DEVICE, "device_key", silent[DEVICE]))
+        found.insert(1 + volume.tenant, drops(expected, DEVICE, "device_key", silent[DEVICE]))
     if volume.tenant:
-        found.append(drops(tenant_windows(volumes, volume.drops(DEVICE), silent.get(DEVICE)), TENANT, "tenant_id", silent[TENANT]))
-    if volume.stream and streams is not None:
-        named = stream_catalog(streams).select("tenant_id", F.col("source_stream_id").alias("subject_key"), "device_key", "source_path")
-        got = evaluate_silence(expected_state(streams, STREAM, size, min_lines), eval_ts, volume.gates)
-        quiet = got.where("suppression IS NULL")
-        found.append(silence_alerts(quiet.join(named, ["tenant_id", "subject_key"])))
-        found.append(drops(expected_volume(streams, "source_stream_id"), STREAM, "source_stream_id", quiet.select("tenant_id", "subject_key")))
+        found.insert(2 * volume.device + 1, drops(tenant_windows(expected, volume.drops(DEVICE), silent.get(DEVICE)), TENANT, "tenant_id", silent[TENANT]))
+    if STREAM in silent:
+        found.append(drops(expected_volume(streams, "source_stream_id", moments(STREAM)), STREAM, "source_stream_id", silent[STREAM]))
+        volumes.append(volumes_after(old.volumes, streams, STREAM, "source_stream_id"))
     out = None
     for part in found:
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    return out, _after(old, states, volumes, opens)
+
+
+def _after(old: Watched, states: list[DataFrame], volumes: list[DataFrame], opens: list[DataFrame]) -> Watched:
+    """Of kinds that were judged the new tables, of others those that were there."""
+    made = {}
+    for name, parts in (("subjects", states), ("volumes", volumes), ("opened", opens)):
+        columns = [c.strip().split()[0] for c in WATCHED[name].split(",")]
+        out = getattr(old, name)
+        if parts:
+            new = parts[0].select(columns)
+            for p in parts[1:]:
+                new = new.unionByName(p.select(columns))
+            out = out.join(new.select("subject_kind").distinct(), "subject_kind", "left_anti").select(columns).unionByName(new) if name != "opened" else new
+        made[name] = out
+    made["opened"] = made["opened"].groupBy(*SUBJECT).agg(F.bool_or("silence").alias("silence"), F.bool_or("sharp_drop").alias("sharp_drop"))
+    return Watched(**made)
 
 
 def diagnostics(silences: DataFrame, drops: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..functions.envelope import with_envelope
 from ..functions.features import emitted
 from ..functions.ids import source_stream_id
 from ..functions.tokens import tokenize
-from ..operators import alerts, provenance, scoring, volume_loss, windows
+from ..operators import alerts, provenance, scoring, state, volume_loss, windows
 from ..sources.shared import settled, spread
 
 
@@ -52,20 +53,26 @@ def _placed(lines: DataFrame) -> DataFrame:
 def analyze(
     lines: DataFrame, size: int = 60, thresholds: scoring.Thresholds = scoring.Thresholds(), ingest_ts: int = 0, since: int | None = None, until: int | None = None, eval_ts: int | None = None,
     volume: volume_loss.Volume | None = volume_loss.Volume(), feature_caps: dict[str, int] = windows.FEATURE_CAPS, entity_caps: dict[str, int] = windows.ENTITY_CAPS,
+    past: tuple[state.Baseline, volume_loss.Watched] | None = None, keep: Callable[[state.Baseline, volume_loss.Watched], None] | None = None,
 ) -> DataFrame:
     """Alerts of raw lines (tenant_id, device_key, line, byte_len), of rows and of lost volume (volume: None for none), silences
     as of eval_ts (else now); with provenance where lines have offsets, which source streams need too.
 
     Dated lines, counts and rows are written to the shared folder, so lines are parsed once, before this returns.
+    past: what earlier runs left to score against; keep: called with what this one leaves, for the caller to write.
     """
+    base, watched_before = past or (None, None)
     timed = settled(dated(_placed(lines), ingest_ts, since, until), "dated")
     rows = settled(windows.rows(timed, size), "rows")
     features, drops, counted = windows.capped_items(settled(windows.ordered_items(_events(timed), size), "items"), feature_caps)
     features = settled(features, "features")
-    got, seen = scoring.scored(rows, features, size, thresholds)
-    lost = ["dropped_features", "dropped_words", "dropped_shapes"]
-    got = settled(got.join(drops, windows.KEY, "left").fillna(0, lost), "scores")
-    labelled = scoring.labelled(got, settled(seen, "seen"), windows.entities_wide(windows.ranked(counted, entity_caps)), thresholds)
+    got, seen = scoring.scored(rows, features, size, thresholds, past=base, carry=keep is not None)
+    got = settled(got.join(drops, windows.KEY, "left").fillna(0, ["dropped_features", "dropped_words", "dropped_shapes"]), "scores")
+    seen = settled(seen, "seen")
+    if keep is not None:
+        after = state.advanced(base or state.empty(lines.sparkSession), got, seen)
+        got, seen = got.drop("day", "i", "dot", "row_norm2", "centroid_norm2"), seen.drop("day", "i")
+    labelled = scoring.labelled(got, seen, windows.entities_wide(windows.ranked(counted, entity_caps)), thresholds)
     out = alerts.row_alerts(labelled, size)
     from_files = "offset_start" in lines.columns
     watched = volume is not None and volume.stream and from_files
@@ -73,9 +80,13 @@ def analyze(
     streams = settled(volume_loss.stream_rows(named.withColumn("source_stream_id", F.lit(None).cast("string")), size), "streams") if watched else None
     if watched:
         streams = settled(streams.withColumn("source_stream_id", source_stream_id(F.col("tenant_id"), F.col("device_key"), F.col("source_path"))), "streams")
+    left = watched_before or volume_loss.nothing_watched(lines.sparkSession)
     if volume is not None:
         at = F.lit(int(time.time()) if eval_ts is None else eval_ts)
-        out = alerts.with_volume(out, volume_loss.loss_alerts(rows, size, at, volume, thresholds.min_lines, streams))
+        lost, left = volume_loss.judged(rows, size, at, volume, thresholds.min_lines, streams, watched_before)
+        out = alerts.with_volume(out, lost)
+    if keep is not None:
+        keep(after, left)
     if not from_files:
         return out
     out = settled(out, "alerts")

@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--out", help="table of alerts; not needed where output.sink is stdout")
     one.add_argument("--tenant")
     one.add_argument("--policy", help="file with the policy of --tenant")
-    one.add_argument("--state", help="folder of cursors: only what files gained since the last run is read")
+    one.add_argument("--state", help="folder of cursors and baselines: only what files gained since the last run is read, and scored against all runs before")
     one.add_argument("--since", type=int)
     one.add_argument("--until", type=int)
     one.add_argument("--eval-ts", type=int, help="when silences are judged (else now)")
@@ -124,7 +124,8 @@ def _oneshot(args, cfg) -> int:
     read = lines.where(F.col("tenant_id") == args.tenant) if args.tenant else lines
     keyed = read.withColumn("device_key", device_key(F.col("tenant_id"), F.col("device_dir")))
     features, entities = config.caps(cfg)
-    found = analyze(keyed, cfg["ingest"]["window_size_s"], t, since=args.since, until=args.until, eval_ts=args.eval_ts, volume=config.volume(cfg, policy), feature_caps=features, entity_caps=entities)
+    kept = {} if files is None else {"past": _past(args.state), "keep": lambda base, watched: _write_past(args.state, base, watched)}
+    found = analyze(keyed, cfg["ingest"]["window_size_s"], t, since=args.since, until=args.until, eval_ts=args.eval_ts, volume=config.volume(cfg, policy), feature_caps=features, entity_caps=entities, **kept)
     if stdout:
         for row in found.toJSON().toLocalIterator():
             print(row)
@@ -157,11 +158,31 @@ def _listed(args):
     return settled(reconcile(now, old).drop("reason"), "listed")
 
 
+def _next(state: str) -> int:
+    folders = _cursor_folders(state)
+    return int(folders[-1].rpartition("-")[2]) + 1 if folders else 0
+
+
+def _past(state: str):
+    """Baselines and watched subjects as of the last cursors; None before the first run."""
+    from ..operators import state as kept
+
+    path = os.path.join(state, f"baselines-{_next(state) - 1:08d}")
+    return (kept.load(_spark(), path), kept.load_watched(_spark(), path)) if os.path.isdir(path) else None
+
+
+def _write_past(state: str, base, watched) -> None:
+    """Beside the cursors to come, which make them count: those of a run that ends before are written again by the next."""
+    from ..operators import state as kept
+
+    path = os.path.join(state, f"baselines-{_next(state):08d}")
+    kept.save(base, path)
+    kept.save(watched, path)
+
+
 def _write_cursors(state: str, cursors) -> None:
     """A table of its own after alerts are written: a run that ends before reads its lines again."""
-    folders = _cursor_folders(state)
-    at = int(folders[-1].rpartition("-")[2]) + 1 if folders else 0
-    cursors.write.mode("overwrite").parquet(os.path.join(state, f"cursors-{at:08d}"))
+    cursors.write.mode("overwrite").parquet(os.path.join(state, f"cursors-{_next(state):08d}"))
 
 
 def main(argv: list[str] | None = None) -> int:

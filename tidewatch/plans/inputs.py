@@ -18,9 +18,13 @@ def event_seconds():
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lines of `events`: two tenants, event types as devices, features and entities straight from the columns."""
+    return lines_of(events(spark, sf_dir))
+
+
+def lines_of(found: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     user = F.concat(F.lit("u"), F.col("user_id"))
-    return events(spark, sf_dir).select(
+    return found.select(
         F.col("event_id").alias("seq"),
         F.concat(F.lit("t"), F.pmod("user_id", F.lit(2))).alias("tenant_id"),
         F.col("event_type").alias("device_key"),

@@ -87,4 +87,7 @@ SQL = {
     "cursor_progress": """SELECT CAST(p_partkey AS VARCHAR) || CASE WHEN p_partkey % 5 = 0 THEN '.zlg' ELSE '.log' END AS file_rel, CASE WHEN p_partkey % 3 = 0 THEN 0 WHEN p_partkey % 5 = 1 THEN p_size * 10 ELSE least(7, p_size * 10) END::BIGINT AS "offset", 9::BIGINT AS last_read_ts FROM part""",
     "streamed_rows": f"""WITH {LINES}, r AS (SELECT tenant_id, device_key, ws, ws + 3600 AS we, {BUCKET} AS bucket, count(*) AS lines, CAST(sum(byte_len - length(device_key)) AS BIGINT) AS bytes FROM lw GROUP BY ALL)
         SELECT * FROM r WHERE we <= (SELECT max(ts) FROM l) - 120""",
+    "streamed_scores": f"""WITH {RING}{STATS}{CENTROID}{SCORES} SELECT tenant_id, device_key, ws, cold_start, round(rarity, 5) AS rarity, round(drift, 5) AS drift, round(volume, 5) AS volume, round(total, 5) AS total,
+        round(centroid_norm, 5) AS centroid_norm FROM tot WHERE ws + 3600 <= (SELECT max(ts) FROM e) - 120""",
+    "idle_windows": f"WITH {ROWS} SELECT tenant_id, device_key, ws, ws + 3600 AS we, bucket, lines, bytes FROM r",
 }

@@ -15,10 +15,11 @@ from ..functions.tokens import parse_counters, tokenize
 from ..operators import alerts, baselines, provenance, scoring, volume_loss, windows
 from ..sources import files
 from ..sources.shared import shared_dir, spread
-from ..streaming.windows import run_once, stream_rows
+from ..streaming.scoring import stream_scores
+from ..streaming.windows import idle_rows, keyed_state, run_once, run_until_idle, stream_rows, to_table
 from . import inputs
 from .inputs import SIZE
-from .registry import EVAL_TS, KEY, _alerts, _labelled, _round
+from .registry import EVAL_TS, KEY, LOW, _alerts, _labelled, _round
 
 INGEST = 1_706_745_600
 
@@ -273,10 +274,40 @@ def streamed_rows(spark, sf_dir):
     return spark.read.schema(made.schema).parquet(out)
 
 
+def _events_stream(spark, sf_dir) -> DataFrame:
+    """Lines as of inputs.event_lines, read as a stream."""
+    return inputs.lines_of(spark.readStream.schema(inputs.events(spark, sf_dir).schema).parquet(f"{sf_dir}/event[s].parquet"))
+
+
+def _streamed(spark, made: DataFrame, run) -> DataFrame:
+    """What a stream with keyed state gives, each batch in a folder of its own."""
+    folder = shared_dir(spark).rstrip("/")
+    out = f"{folder}/stream-{uuid.uuid4().hex}"
+    with keyed_state(spark):
+        run(made, f"{folder}/state-{uuid.uuid4().hex}", to_table(out))
+    return spark.read.schema(made.schema).option("recursiveFileLookup", True).parquet(out)
+
+
+def streamed_scores(spark, sf_dir):
+    """Scores of a stream with keyed state, of the windows that the watermark has closed."""
+    made = stream_scores(_events_stream(spark, sf_dir), SIZE, LOW)
+    got = _streamed(spark, made, lambda *x: run_once(*x).awaitTermination())
+    numbers = ("rarity", "drift", "volume", "total", "centroid_norm")
+    return got.select(*KEY, "cold_start", *[F.round(c, 5).alias(c) for c in numbers])
+
+
+def idle_windows(spark, sf_dir):
+    """Window rows of a stream with the last ones too, closed by timers when nothing more has come."""
+    made = idle_rows(_events_stream(spark, sf_dir), SIZE, 3)
+    got = _streamed(spark, made, run_until_idle)
+    # a line later than its window's end and grace opens a second row of it
+    return got.groupBy(*KEY, "we", "bucket").agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         envelope_formats, token_rules, csv_tokens, token_caps, key_rules, df_caps, centroid_caps, noise_labels, signature_texts, provenance_spans, span_lines, silence_policy, silence_lifecycle, loss_alerts, stream_volume,
-        stream_silence, alert_category, alert_upsert, alert_show, file_lines, cursor_decisions, cursor_progress, streamed_rows,
+        stream_silence, alert_category, alert_upsert, alert_show, file_lines, cursor_decisions, cursor_progress, streamed_rows, streamed_scores, idle_windows,
     )
 }
