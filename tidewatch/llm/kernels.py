@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -86,19 +87,25 @@ def blocks(buf: np.ndarray) -> np.ndarray:
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
+def new_key() -> int:
+    """A key for the digests of one run; drawn on the driver and shipped, so all tasks have the same."""
+    return secrets.randbits(64)
+
+
 class Digests:
     """64-bit digests of byte ranges of a buffer.
 
     Each step mixes 8 bytes into the state by a bijection that is not linear, from a state that the length sets: ranges of up
-    to 8 bytes of one length never collide, and there is no structure (as of powers modulo 2**64) that makes others do so.
+    to 8 bytes of one length never collide.  Who knows the state can solve for bytes that make two longer ranges meet, so where
+    digests decide, a run draws its own key (`new_key`), which no text can have been made for.
     """
 
-    def __init__(self, buf: np.ndarray):
-        self.buf, self.blocks = buf, blocks(buf)
+    def __init__(self, buf: np.ndarray, key: int = 0):
+        self.buf, self.blocks, self.key = buf, blocks(buf), key
 
     def of(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
         size = ends - starts
-        out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xA24BAED4963EE407 % (1 << 64)))
+        out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 0xA24BAED4963EE407 + self.key) % (1 << 64)))
         at = np.flatnonzero((size > 0) & (size <= LONG))
         if len(at) == len(size):
             at = slice(None)
@@ -119,7 +126,7 @@ class Digests:
                 keep = np.arange(len(out))[at]
             keep, start, left, h = keep[more], start[more], left[more], h[more]
         for i in np.flatnonzero(size > LONG).tolist():
-            out[i] = xxhash.xxh3_64_intdigest(self.buf[starts[i] : ends[i]].tobytes(), seed + 1)
+            out[i] = xxhash.xxh3_64_intdigest(self.buf[starts[i] : ends[i]].tobytes(), (seed + 1 + self.key) % (1 << 64))
         return out
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import table, tidy
 from .gbt import Forest, train
-from .kernels import SPACES, Digests, chunks, grams, spans, utf8, word_table
+from .kernels import SPACES, Digests, chunks, grams, new_key, spans, utf8, word_table
 
 SAMPLE, THRESHOLD = 20_000, 0.2
 #: The characters that count as symbols.
@@ -65,12 +65,12 @@ def _distinct(rows: np.ndarray, digests: np.ndarray, n: int) -> tuple[np.ndarray
 def statistics(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(base counts, features) of texts, one row each; texts are looked at in chunks."""
     base, features = [], []
-    t = _tables()
+    t, key = _tables(), new_key()  # lines and words are compared inside this call alone
     for a, b in chunks(offs):
         own, rows = buf[offs[a] : offs[b]], b - a
         o = offs[a : b + 1] - offs[a]
         starts, ends, row = spans(own, o, t["word"])
-        h = Digests(own)
+        h = Digests(own, key)
         n_words = np.bincount(row, minlength=rows)
         lead = (own & 0xC0) != 0x80
         chars = _per_row(lead & t["word"][own], o)

@@ -11,7 +11,7 @@ over all of them; it is contracted by a heap instead, with the same result.  Pie
 bounded number; a task gives its DuckDB up when it ends, and DuckDB never writes to disk.
 
 Defined cases: a null or empty text has no ids and decodes to nothing; a very long text is cut at white characters where
-a piece surely starts; repeated rows are encoded each; an empty table gives an empty result; extra columns stay and the
+a piece surely starts, and decoded in parts of ROWS ids; repeated rows are encoded each; an empty table gives an empty result; extra columns stay and the
 result columns replace columns of the same name.
 """
 
@@ -104,7 +104,7 @@ class Bpe:
 
     def __init__(self, path: str):
         self.ranks, vocabulary, merges = tables(path)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "96MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         self.db.register("v", vocabulary), self.db.register("m", merges)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
@@ -167,7 +167,12 @@ class Bpe:
         return out
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        """The bytes of each document."""
+        """The bytes of each document; one of over ROWS ids is decoded in parts of as many."""
+        if len(counts) and counts.max() > ROWS:
+            sizes = [[ROWS] * (c // ROWS) + [c % ROWS] for c in counts.tolist()]
+            parts = self.decode(ids, np.array([s for own in sizes for s in own], np.int64))
+            ends = np.cumsum([len(own) for own in sizes]).tolist()
+            return [b"".join(parts[a:b]) for a, b in zip([0, *ends], ends)]
         out = [b""] * len(counts)
         upto = np.concatenate([[0], np.cumsum(counts)])
         a = 0

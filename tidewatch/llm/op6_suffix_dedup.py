@@ -17,6 +17,8 @@ columns stay with `dedup`, and the result columns replace columns of the same na
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 import hashlib
 
 import numpy as np
@@ -26,14 +28,14 @@ from pyspark.sql import types as T
 
 from . import repeats
 from .common import set_aside, table, tidy
-from .kernels import CHUNK, Digests, blocks, mix
+from .kernels import CHUNK, Digests, blocks, mix, new_key
 
 WINDOW, CORE = 100, 32
 _REACH = WINDOW - CORE  # an anchor is at most so far after the window's start
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
-def records(buf: np.ndarray, offs: np.ndarray):
+def records(buf: np.ndarray, offs: np.ndarray, key: int = 0):
     """Records of a batch; long texts are looked at in overlapping pieces, so memory is bounded."""
     row_ends = offs[1:]
     step = CHUNK - WINDOW + 1
@@ -57,19 +59,19 @@ def records(buf: np.ndarray, offs: np.ndarray):
         core = mix(lane[: len(at)] ^ _SEED)
         for k in range(8, CORE, 8):
             core = mix(core ^ lane[k : k + len(at)])
-        key = (core & ~np.uint64(CHUNK - 1)) | at.astype(np.uint64)  # least digest, then leftmost
+        place = (core & ~np.uint64(CHUNK - 1)) | at.astype(np.uint64)  # least digest, then leftmost
         reach = 1
         while 2 * reach <= _REACH + 1:
-            key = np.minimum(key[:-reach], key[reach:])
+            place = np.minimum(place[:-reach], place[reach:])
             reach *= 2
-        key = np.minimum(key[:n], key[_REACH + 1 - reach : _REACH + 1 - reach + n])
-        anchor = (key & np.uint64(CHUNK - 1)).astype(np.int64)[p]
+        place = np.minimum(place[:n], place[_REACH + 1 - reach : _REACH + 1 - reach + n])
+        anchor = (place & np.uint64(CHUNK - 1)).astype(np.int64)[p]
         new = np.ones(len(p), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (np.diff(p) != 1)
         lo = p[new]
         hi = p[np.append(np.flatnonzero(new)[1:], len(p)) - 1]
         anchor = anchor[new]
-        cover = mix(Digests(part).of(lo, hi + WINDOW, 1) + ((anchor - lo) * 256 + (anchor - hi)).astype(np.uint64))
+        cover = mix(Digests(part, key).of(lo, hi + WINDOW, 1) + ((anchor - lo) * 256 + (anchor - hi)).astype(np.uint64))
         lead = np.stack([lane[anchor + k].byteswap() for k in range(0, CORE, 8)], 1)
         row = np.searchsorted(offs, lo + c, "right") - 1
         yield row, lead, cover, anchor + c - offs[row], (anchor - lo).astype(np.uint16), (anchor - hi).astype(np.uint16), np.full(len(lo), CORE, np.uint16)
@@ -80,7 +82,7 @@ def payload(text: bytes, anchor: np.ndarray, before: np.ndarray, last: np.ndarra
     return [text[a : a + CORE] for a in anchor.tolist()], [text[a:b] for a, b in zip(starts, ends)]
 
 
-def compare(cover: list[bytes], n: np.ndarray):
+def compare(cover: list[bytes], n: np.ndarray, key: int = 0):
     raw = np.frombuffer(b"".join(cover) + bytes(8), np.uint8)
     sizes = np.fromiter(map(len, cover), np.int64, len(cover))
     starts = np.repeat(np.cumsum(sizes) - sizes, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -94,7 +96,7 @@ def compare(cover: list[bytes], n: np.ndarray):
 
     def digests(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a = starts[chosen]
-        return tuple(Digests(raw).of(a, a + WINDOW, seed) for seed in (2, 3))
+        return tuple(Digests(raw, key).of(a, a + WINDOW, seed) for seed in (2, 3))
 
     return group, digests
 
@@ -107,7 +109,9 @@ def dedup(docs: DataFrame, name: str = "suffixes", texts: bool = True) -> DataFr
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     new += [T.StructField("kept", T.BinaryType())] * texts
     given, back = set_aside(docs.drop(*[f.name for f in new]), "recs", "spans", "dk", "tk")
-    found = repeats.with_spans(given, KIND, name)
+    key = new_key()
+    kind = dataclasses.replace(KIND, records=functools.partial(records, key=key), compare=functools.partial(compare, key=key))
+    found = repeats.with_spans(given, kind, name)
     kept_columns = [f for f in given.schema.fields if f.name != "text"]
 
     def run(batches):

@@ -2,7 +2,7 @@
 
 Words are symbols.  The first round names runs of one symbol, and each round names pairs: a symbol's name decides
 globally whether it is a left or a right half, and a left half next to a right one becomes a new symbol.  A name is a
-64-bit digest of what it stands for, so it is global without a dictionary, and equal word sequences get equal symbols
+64-bit digest (with a key drawn for the run) of what it stands for, so it is global without a dictionary, and equal word sequences get equal symbols
 but for their ends.  How far the ends reach is kept with every symbol: its context is all words that its shape depends on.
 A window picks, among symbols whose whole context it holds, one of the highest level, then of least name; such a
 symbol and its context are the same wherever the window's words stand.  `repeats` then meets shared symbols and their
@@ -17,6 +17,8 @@ result columns replace columns of the same name.
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 import hashlib
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import repeats
 from .common import set_aside, table, tidy
-from .kernels import Digests, chunks, mix, sequences, spans, word_table
+from .kernels import Digests, chunks, mix, new_key, sequences, spans, word_table
 
 WINDOW, ROUNDS = 13, 3
 #: Words of one piece of a long text; pieces overlap by a window.
@@ -119,14 +121,14 @@ def anchors(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     return p[first], p[last], lo_of[p[first]], hi_of[p[first]] + 1
 
 
-def records(buf: np.ndarray, offs: np.ndarray):
+def records(buf: np.ndarray, offs: np.ndarray, key: int = 0):
     for a, b in chunks(offs):
         own, o = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         starts, ends, row = spans(own, o, word_table())
         if not len(starts):
             continue
-        h_all = Digests(own).of(starts, ends)
-        g_all = Digests(own).of(starts, ends, 1)
+        h_all = Digests(own, key).of(starts, ends)
+        g_all = Digests(own, key).of(starts, ends, 1)
         before = np.cumsum(np.bincount(row, minlength=b - a)) - np.bincount(row, minlength=b - a)
         for s in range(0, len(h_all), PIECE):  # one pass, but for a text of over PIECE words
             e = min(len(h_all), s + PIECE + WINDOW - 1)
@@ -174,7 +176,8 @@ def dedup(docs: DataFrame, name: str = "symbols", texts: bool = True) -> DataFra
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     new += [T.StructField("kept", T.StringType())] * texts
     given, back = set_aside(docs.drop(*[f.name for f in new]), "recs", "spans", "dk", "tk")
-    found = repeats.with_spans(given, KIND, name)
+    kind = dataclasses.replace(KIND, records=functools.partial(records, key=new_key()))
+    found = repeats.with_spans(given, kind, name)
     kept_columns = [f for f in given.schema.fields if f.name != "text"]
 
     def run(batches):

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import set_aside, settled, spread_join, table, tidy
 from .components import components
-from .kernels import Digests, ascii_lower, chunks, grams, mix, spans, utf8, word_table
+from .kernels import Digests, ascii_lower, chunks, grams, mix, new_key, spans, utf8, word_table
 
 WORDS, K, LISTED = 5, 64, 32
 #: The chance that a pair at the threshold is not met.
@@ -43,12 +43,12 @@ MISSED = 1e-8
 MOST_BROADCAST = 2_000_000
 
 
-def shingle_sets(buf: np.ndarray, offs: np.ndarray):
+def shingle_sets(buf: np.ndarray, offs: np.ndarray, key: int = 0):
     """Yields (first row, sorted distinct digests of all rows, counts) for successive rows."""
     for a, b in chunks(offs):
         own, o, rows = ascii_lower()[buf[offs[a] : offs[b]]], offs[a : b + 1] - offs[a], b - a
         starts, ends, row = spans(own, o, word_table())
-        word = Digests(own).of(starts, ends)
+        word = Digests(own, key).of(starts, ends)
         n_words = np.bincount(row, minlength=rows)
         first = np.cumsum(n_words) - n_words
         keys, owner = [], []
@@ -76,13 +76,13 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return (x ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, key: int = 0) -> DataFrame:
     """row, doc_id, tie (a digest of the text), n, d1, d2 (digests of the set), sketch (its K least values in order)."""
 
     def run(batches):
         for batch in batches:
             buf, offs = utf8(batch.column("text"))
-            for row, h, n in shingle_sets(buf, offs):
+            for row, h, n in shingle_sets(buf, offs, key):
                 upto = np.concatenate([[0], np.cumsum(n)])
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h * np.uint64(c)), dtype=np.uint64)]) for c in (3, 5)]
                 d1, d2 = ((s[upto[1:]] - s[upto[:-1]]).view(np.int64) for s in sums)
@@ -132,7 +132,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataF
     return both.where(enough).select("a", "b", "na", "nb")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame, key: int = 0) -> DataFrame:
     """id, members (the whole set in order) of the documents in ids."""
     n = ids.count()
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, "id")
@@ -140,7 +140,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             buf, offs = utf8(batch.column("text"))
-            for row, h, n in shingle_sets(buf, offs):
+            for row, h, n in shingle_sets(buf, offs, key):
                 members = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(_signed(h)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(n)), members], names=["id", "members"])
 
@@ -198,14 +198,14 @@ def _own_ids(docs: DataFrame, classes: DataFrame, again: DataFrame) -> tuple[Dat
     return settled(classes, "classes"), each.join(again, "doc_id", "left_anti").unionByName(first)
 
 
-def _all_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _all_links(docs: DataFrame, classes: DataFrame, percent: int, key: int) -> DataFrame:
     """u, v: all pairs of classes at the threshold, but for some inside components that others already tie."""
     labels = classes.select("id", F.col("id").alias("c"))
-    sets = settled(full_sets(docs, labels.select("id")), "sets")
+    sets = settled(full_sets(docs, labels.select("id"), key), "sets")
     return _links(prefix_pairs(sets, labels, percent), sets, percent)
 
 
-def _sketch_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _sketch_links(docs: DataFrame, classes: DataFrame, percent: int, key: int) -> DataFrame:
     """u, v: links whose components are those of all links that the inverted lists meet."""
     lists = settled(inverted(classes, percent / 100), "lists")
     pivots = lists.groupBy("v", "band").agg(F.min("id").alias("a"), F.min_by("n", "id").alias("na"), F.count("*").alias("m")).where("m > 1")
@@ -214,25 +214,26 @@ def _sketch_links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     first = spread_join(lists, pivots, ["v", "band"], "m").where(F.col("id") > F.col("a")).where(near(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct()
     tested = settled(_estimated(first, classes, percent / 100).select("a", "b"), "pairs")
     ids = tested.select(F.col("a").alias("id")).unionByName(tested.select(F.col("b").alias("id"))).distinct()
-    links = settled(_links(tested, settled(full_sets(docs, ids), "sets"), percent), "links")
+    links = settled(_links(tested, settled(full_sets(docs, ids, key), "sets"), percent), "links")
     # members of lists that the first links left apart
     labelled = lists.join(components(links), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     apart = labelled.groupBy("v", "band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high").select("v", "band", "m")
     left = settled(spread_join(labelled, settled(apart, "lists-apart"), ["v", "band"], "m", "left_semi").select("id", "c").distinct(), "apart")
-    sets = settled(full_sets(docs, left.select("id")), "sets")
+    sets = settled(full_sets(docs, left.select("id"), key), "sets")
     return links.unionByName(_links(prefix_pairs(sets, left, percent), sets, percent))
 
 
 def _judged(docs: DataFrame, percent: int, exact: bool = False) -> DataFrame:
     """near_duplicates with tie, a digest of the text."""
-    made = settled(sketches(docs), "sketches")
+    key = new_key()
+    made = settled(sketches(docs, key), "sketches")
     classes = made.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first("sketch").alias("sketch"))
     classes = settled(classes.select("d1", "d2", "n", F.col("least.doc_id").alias("id"), F.col("least.doc_id").alias("doc"), "least.tie", "sketch"), "classes")
     again = settled(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id"), "again")
     repeats = again.count() > 0
     if repeats:
         classes, docs = _own_ids(docs, classes, again)
-    found = components(_all_links(docs, classes, percent) if exact else _sketch_links(docs, classes, percent))
+    found = components(_all_links(docs, classes, percent, key) if exact else _sketch_links(docs, classes, percent, key))
     named = classes.select("d1", "d2", "n", "id", "doc").join(found, "id", "left").select("d1", "d2", "n", "doc", F.coalesce("component", "id").alias("c"))
     if repeats:  # ids are not all doc_ids: a component's least doc_id is that of its classes
         named = settled(named, "components")
