@@ -107,7 +107,7 @@ def _oneshot(args, cfg) -> int:
     from ..functions.ids import device_key
     from ..operators import alerts
     from ..operators.scoring import Thresholds
-    from ..sources.files import advance, read_lines
+    from ..sources.files import KEYS, advance, read_parts
     from ..sources.shared import settled
     from .analyze import analyze
 
@@ -118,7 +118,9 @@ def _oneshot(args, cfg) -> int:
     t = Thresholds(outlier=s["outlier_threshold"], noise=s["noise_threshold"], min_lines=s["min_lines_per_window"], cold_start_days=s["cold_start_days"])
     policy = config.load_policy(args.policy) if args.policy else None
     files = _listed(args) if args.state else None
-    lines = read_lines(_spark(), args.root, cfg["ingest"]["max_line_len"], files)
+    lines, failed = read_parts(_spark(), args.root, cfg["ingest"]["max_line_len"], files)
+    if args.tenant:
+        failed = failed.where(F.col("tenant_id") == args.tenant)
     if files is not None:
         lines = settled(lines, "lines")  # cursors end where these lines end, whatever files gain meanwhile
     read = lines.where(F.col("tenant_id") == args.tenant) if args.tenant else lines
@@ -132,11 +134,17 @@ def _oneshot(args, cfg) -> int:
     else:
         alerts.write_table(found, args.out)
     if files is not None:
-        seen = files.where(F.col("tenant_id") == args.tenant) if args.tenant else files
-        others = files.where(F.col("tenant_id") != args.tenant) if args.tenant else None
+        # files of other tenants and those that failed stay where they were
+        seen = (files.where(F.col("tenant_id") == args.tenant) if args.tenant else files).join(failed, KEYS, "left_anti")
         done = advance(seen, read, int(time.time()))
-        _write_cursors(args.state, done if others is None else done.unionByName(others.withColumn("last_read_ts", F.lit(0))))
-    return 0
+        others = files.join(done.select(*KEYS), KEYS, "left_anti").withColumn("last_read_ts", F.lit(0))
+        # one that failed is told apart from one that was read to its end: as if its size had been another
+        others = others.join(failed.select(*KEYS, F.lit(True).alias("_failed")), KEYS, "left").withColumn("size", F.when(F.col("_failed"), F.lit(-1)).otherwise(F.col("size")).cast("long")).drop("_failed")
+        _write_cursors(args.state, done.unionByName(others))
+    broken = failed.orderBy(*KEYS).limit(100).collect()
+    for r in broken:
+        print(f"{r['tenant_id']}/{r['device_dir']}/{r['file_rel']}: {r['error']}", file=sys.stderr)
+    return 6 if broken else 0
 
 
 def _cursor_folders(state: str) -> list[str]:

@@ -89,5 +89,7 @@ SQL = {
         SELECT * FROM r WHERE we <= (SELECT max(ts) FROM l) - 120""",
     "streamed_scores": f"""WITH {RING}{STATS}{CENTROID}{SCORES} SELECT tenant_id, device_key, ws, cold_start, round(rarity, 5) AS rarity, round(drift, 5) AS drift, round(volume, 5) AS volume, round(total, 5) AS total,
         round(centroid_norm, 5) AS centroid_norm FROM tot WHERE ws + 3600 <= (SELECT max(ts) FROM e) - 120""",
+    "streamed_silences": f"""WITH {ROWS}, n AS (SELECT *, lead(ws) OVER (PARTITION BY tenant_id, device_key ORDER BY ws) AS later FROM r)
+        SELECT tenant_id, device_key, we AS window_start_ts, we + 3 * 3600 AS eval_ts FROM n WHERE (later IS NULL OR later >= we + 3 * 3600) AND we + 3 * 3600 <= (SELECT max(ts) FROM e) - 120""",
     "idle_windows": f"WITH {ROWS} SELECT tenant_id, device_key, ws, ws + 3600 AS we, bucket, lines, bytes FROM r",
 }

@@ -16,6 +16,7 @@ from ..operators import alerts, baselines, provenance, scoring, volume_loss, win
 from ..sources import files
 from ..sources.shared import shared_dir, spread
 from ..streaming.scoring import stream_scores
+from ..streaming.silences import stream_silences
 from ..streaming.windows import idle_rows, keyed_state, run_once, run_until_idle, stream_rows, to_table
 from . import inputs
 from .inputs import SIZE
@@ -296,6 +297,13 @@ def streamed_scores(spark, sf_dir):
     return got.select(*KEY, "cold_start", *[F.round(c, 5).alias(c) for c in numbers])
 
 
+def streamed_silences(spark, sf_dir):
+    """Silences of devices in a stream, three windows long at least, opened by timers up to the watermark."""
+    made = stream_silences(_events_stream(spark, sf_dir), SIZE, volume_loss.SilenceGates(0, 3, 0))
+    got = _streamed(spark, made, lambda *x: run_once(*x).awaitTermination())
+    return got.select("tenant_id", "device_key", "window_start_ts", F.col("window_end_ts").alias("eval_ts"))
+
+
 def idle_windows(spark, sf_dir):
     """Window rows of a stream with the last ones too, closed by timers when nothing more has come."""
     made = idle_rows(_events_stream(spark, sf_dir), SIZE, 3)
@@ -308,6 +316,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         envelope_formats, token_rules, csv_tokens, token_caps, key_rules, df_caps, centroid_caps, noise_labels, signature_texts, provenance_spans, span_lines, silence_policy, silence_lifecycle, loss_alerts, stream_volume,
-        stream_silence, alert_category, alert_upsert, alert_show, file_lines, cursor_decisions, cursor_progress, streamed_rows, streamed_scores, idle_windows,
+        stream_silence, alert_category, alert_upsert, alert_show, file_lines, cursor_decisions, cursor_progress, streamed_rows, streamed_scores, streamed_silences, idle_windows,
     )
 }

@@ -1,8 +1,9 @@
 """Log files as lines: discovery, plain, gzip and chunked-archive readers, cursors.
 
-Files lie at root/tenant/device/file.  They are listed and read by Spark (binaryFile), so any store that Spark reads
-will do; a file is split into lines with its byte offsets in the task that read it.  For files too large for a task
-use `text_lines`, which splits plain files but has no offsets.
+Files lie at root/tenant/device/file, in any store that Spark reads.  Plain files are read in ranges by Spark's text source, so
+a large one is many tasks: each line gets its place inside its range in the pass that reads it, and ranges get theirs
+from the sums of those before.  Compressed files are read whole, one task each; one that can't be read ends nothing: it is
+told in a table of failures, and none of its lines count.
 """
 
 from __future__ import annotations
@@ -13,29 +14,43 @@ import struct
 import zlib
 from itertools import islice
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import settled
+
 #: Suffixes that are read; the caps of a line.
 SUFFIXES = (".log", ".txt", ".json", ".csv", ".cef", ".gz", ".zlg")
 MOST_LINE = 16_384
+#: Those of plain and of compressed files, as globs.
+PLAIN, PACKED = "*.{log,txt,json,csv,cef}", "*.{gz,zlg}"
 #: Cursors up to this number are broadcast.
 MOST_BROADCAST = 200_000
 LINES = "tenant_id string, device_dir string, file_rel string, offset_start long, offset_end long, is_gzip boolean, byte_len long, line string, line_no long"
 
 
-def discover(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """tenant_id, device_dir, file_rel, path, size, mtime, is_gzip (and content, if asked for) of all files with a known suffix,
-    dotfiles left out."""
-    found = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*/*")
-    part = lambda i: F.element_at(F.split("path", "/"), -i)
-    found = found.select(part(3).alias("tenant_id"), part(2).alias("device_dir"), part(1).alias("file_rel"), "path", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), *["content"] * content)
+def _parts(path: str) -> list[Column]:
+    part = lambda i: F.element_at(F.split(path, "/"), -i)
+    return [part(3).alias("tenant_id"), part(2).alias("device_dir"), part(1).alias("file_rel")]
+
+
+def _shown() -> Column:
+    return ~(F.col("file_rel").startswith(".") | F.col("tenant_id").startswith(".") | F.col("device_dir").startswith("."))
+
+
+def discover(spark: SparkSession, root: str, content: bool = False, names: str | None = None) -> DataFrame:
+    """tenant_id, device_dir, file_rel, path, size, mtime, is_gzip (and content, if asked for) of all files with a known suffix (of those
+    that match the glob `names`), dotfiles left out."""
+    reader = spark.read.format("binaryFile")
+    found = (reader.option("pathGlobFilter", names) if names else reader).load(f"{root.rstrip('/')}/*/*/*")
+    found = found.select(*_parts("path"), "path", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), *["content"] * content)
     known = F.lit(False)
     for s in SUFFIXES:
         known = known | F.col("file_rel").endswith(s)
-    hidden = F.col("file_rel").startswith(".") | F.col("tenant_id").startswith(".") | F.col("device_dir").startswith(".")
-    return found.where(known & ~hidden).withColumn("is_gzip", F.col("file_rel").endswith(".gz"))
+    return found.where(known & _shown()).withColumn("is_gzip", F.col("file_rel").endswith(".gz"))
 
 
 def inventory(files: DataFrame) -> DataFrame:
@@ -136,36 +151,93 @@ def lines_of(name: str, data: bytes, most: int = MOST_LINE, start: int = 0):
 
 #: Lines of one Arrow batch.
 BATCH = 20_000
+KEYS = ["tenant_id", "device_dir", "file_rel"]
+
+
+def _numbered(batches):
+    """Rows of the text source, in order, with their place and number inside their range: path, range, size, raw, at, length, number."""
+    key, at, number = None, 0, 0
+    for batch in batches:
+        path, start = batch.column("path"), batch.column("range")
+        coded = np.asarray(path.dictionary_encode().indices)
+        starts = np.asarray(start, np.int64)
+        length = np.asarray(batch.column("length"), np.int64)
+        first = np.concatenate([[0], np.flatnonzero((np.diff(coded) != 0) | (np.diff(starts) != 0)) + 1, [len(length)]]) if len(length) else np.zeros(1, np.int64)
+        place, count = np.cumsum(length) - length, np.arange(len(length))
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            now = (path[a].as_py(), int(starts[a]))
+            if now != key:
+                key, at, number = now, 0, 0
+            place[a:b] += at - place[a]
+            count[a:b] += number - count[a]
+            at, number = int(place[b - 1] + length[b - 1]), int(count[b - 1]) + 1
+        yield pa.RecordBatch.from_arrays([path, start, batch.column("size"), batch.column("raw"), pa.array(place), batch.column("length"), pa.array(count)], names=["path", "range", "size", "raw", "at", "length", "number"])
+
+
+def _plain(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of plain files: KEYS, raw (without LF), offset_start, offset_end, line_no (of the file).
+
+    They are written to the shared folder before their offsets are known, so files that grow meanwhile change nothing.
+    """
+    text = spark.read.option("lineSep", "\n").option("pathGlobFilter", PLAIN).text(f"{root.rstrip('/')}/*/*/*")
+    of = F.col("_metadata")
+    rows = text.select(of["file_path"].alias("path"), of["file_block_start"].alias("range"), of["file_size"].alias("size"), F.col("value").cast("binary").alias("raw"), (F.octet_length("value") + 1).cast("long").alias("length"))
+    rows = settled(rows.mapInArrow(_numbered, "path string, range long, size long, raw binary, at long, length long, number long"), "ranges")
+    ranges = rows.groupBy("path", "range").agg(F.sum("length").alias("length"), F.count("*").alias("lines"))
+    before = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("path", "range", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("_from"), F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("_lines"))
+    start = F.col("_from") + F.col("at")
+    # the last line may have no LF
+    rows = rows.join(ranges, ["path", "range"]).select(*_parts("path"), "raw", start.alias("offset_start"), F.least(start + F.col("length"), F.col("size")).alias("offset_end"), (F.col("_lines") + F.col("number")).alias("line_no"))
+    return rows.where(_shown())
+
+
+def _known(files: DataFrame, cursors: DataFrame | None) -> DataFrame:
+    """files with offset, where reading goes on."""
+    if cursors is None:
+        return files.withColumn("offset", F.lit(0).cast("long"))
+    known = cursors.select(*KEYS, "offset")
+    return files.join(F.broadcast(known) if known.count() <= MOST_BROADCAST else known, KEYS, "left").withColumn("offset", F.coalesce("offset", F.lit(0)))
+
+
+def read_parts(spark: SparkSession, root: str, most: int = MOST_LINE, cursors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(lines with offsets and their number in the file, or in what was read of a compressed one; failures: KEYS and error).
+
+    cursors (KEYS and offset): where to go on; absent files start at 0.  A compressed file that can't be read through gives a failure and no lines.
+    """
+    names = [c.split()[0] for c in LINES.split(", ")]
 
+    def cut(batches):
+        for batch in batches:
+            start, end, since = (np.asarray(batch.column(c), np.int64) for c in ("offset_start", "offset_end", "offset"))
+            skipped = np.maximum(since - start, 0)
+            raw = batch.column("raw").to_pylist()
+            line = [_text(r[k:] if k else r, most) for r, k in zip(raw, skipped.tolist())]
+            columns = [*(batch.column(c) for c in KEYS), pa.array(start + skipped), pa.array(end), pa.array(np.zeros(len(start), bool)), pa.array(end - start - skipped), pa.array(line, pa.string()), batch.column("line_no")]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-def read_lines(spark: SparkSession, root: str, most: int = MOST_LINE, cursors: DataFrame | None = None) -> DataFrame:
-    """Lines with offsets and their number in what was read of the file.  cursors (file_key columns and offset): where to go on; absent
-    files start at 0.  One scan gives names and contents; cursors, small rows, are joined to it."""
-    keys = ["tenant_id", "device_dir", "file_rel"]
-    files = discover(spark, root, content=True)
-    if cursors is not None:
-        known = cursors.select(*keys, "offset")
-        files = files.join(F.broadcast(known) if known.count() <= MOST_BROADCAST else known, keys, "left")
-    else:
-        files = files.withColumn("offset", F.lit(0).cast("long"))
-    files = files.withColumn("offset", F.coalesce("offset", F.lit(0)))
-    names = [c.split()[0] for c in LINES.split(", ")]
+    plain = _known(_plain(spark, root), cursors).where(F.col("offset_end") > F.col("offset")).mapInArrow(cut, LINES)
 
     def run(batches):
         for pdf in batches:
             for t, d, name, gz, offset, data in zip(pdf.tenant_id, pdf.device_dir, pdf.file_rel, pdf.is_gzip, pdf.offset, pdf.content):
-                lines = ((t, d, name, a, b, gz, n, line, i) for i, (a, b, n, line) in enumerate(lines_of(name, data, most, offset)))
-                while some := list(islice(lines, BATCH)):
-                    yield pd.DataFrame(some, columns=names)
+                lines = ((t, d, name, a, b, gz, n, line, i, None) for i, (a, b, n, line) in enumerate(lines_of(name, data, most, offset)))
+                try:
+                    while some := list(islice(lines, BATCH)):
+                        yield pd.DataFrame(some, columns=[*names, "error"])
+                except Exception as e:  # whatever a broken file makes its library say
+                    yield pd.DataFrame([(t, d, name, 0, 0, gz, 0, None, -1, f"{type(e).__name__}: {e}")], columns=[*names, "error"])
 
-    return files.select(*keys, "is_gzip", "offset", "content").mapInPandas(run, LINES)
+    packed = _known(discover(spark, root, content=True, names=PACKED), cursors).select(*KEYS, "is_gzip", "offset", "content")
+    found = settled(packed.mapInPandas(run, f"{LINES}, error string"), "packed")
+    failed = found.where("error IS NOT NULL").select(*KEYS, "error")
+    whole = found.where("error IS NULL").drop("error").join(failed.select(*KEYS), KEYS, "left_anti")
+    return plain.unionByName(whole), failed
 
 
-def text_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Lines without offsets, read by Spark's splittable text source (gzip is decompressed by it)."""
-    got = spark.read.text(f"{root.rstrip('/')}/*/*/*").select(F.col("value").alias("line"), F.input_file_name().alias("path"))
-    part = lambda i: F.element_at(F.split("path", "/"), -i)
-    return got.select(part(3).alias("tenant_id"), part(2).alias("device_dir"), part(1).alias("file_rel"), (F.octet_length("line") + 1).cast("long").alias("byte_len"), "line")
+def read_lines(spark: SparkSession, root: str, most: int = MOST_LINE, cursors: DataFrame | None = None) -> DataFrame:
+    """The lines of read_parts."""
+    return read_parts(spark, root, most, cursors)[0]
 
 
 def reconcile(files: DataFrame, cursors: DataFrame) -> DataFrame:
@@ -190,7 +262,7 @@ def reconcile(files: DataFrame, cursors: DataFrame) -> DataFrame:
 def advance(files: DataFrame, lines: DataFrame, read_ts: int) -> DataFrame:
     """Cursors after `lines` were read: the last offset of each file, at least the one it had (offset, if files have it), at most its
     size."""
-    keys = ["tenant_id", "device_dir", "file_rel"]
+    keys = KEYS
     ends = lines.groupBy(*keys).agg(F.max("offset_end").alias("_end"))
     before = F.col("offset") if "offset" in files.columns else F.lit(0)
     offset = F.least(F.greatest(F.coalesce("_end", F.lit(0)), before), F.col("size"))
