@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, timing
+from ..sources.shared import settled
 
 #: The entity kinds of filters and the arrays they look into.
 ENTITY_FIELDS = {"srcip": "src_ips", "dstip": "dst_ips", "userid": "user_ids", "domain": "domains", "host": "hosts"}
@@ -106,6 +107,59 @@ def export(alerts: DataFrame, path: str, gzip: bool = False, category: str | Non
     out.write.mode("overwrite").option("compression", "gzip" if gzip else "none").json(path)
 
 
+#: Folders of a table that say where an alert_id or an entity is; Spark's readers of the table itself pass over them.
+BY_ID, BY_ENTITY, SHARDS = "_by_id", "_by_entity", 256
+
+
+def _shard(*columns: Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SHARDS)).cast("int")
+
+
 def write_table(alerts: DataFrame, path: str) -> None:
-    """Appends alerts as Parquet, pruned by tenant and day when they are listed."""
-    alerts.withColumn("day", timing.utc_day(F.col("window_start_ts"))).write.mode("append").partitionBy("tenant_id", "day").parquet(path)
+    """Appends alerts as Parquet by tenant and day, in order of their ids, with Bloom filters; and, in folders beside them, where each id
+    and each entity is, dealt by digest and in order: a lookup reads one file of those and the days that it names.
+
+    The places are written after the alerts, so what they name is there; a run that ends before is written again as a whole.
+    """
+    rows = settled(alerts.withColumn("day", timing.utc_day(F.col("window_start_ts"))), "alerts")
+    ordered = rows.repartitionByRange("tenant_id", "day", "alert_id").sortWithinPartitions("tenant_id", "day", "alert_id")
+    ordered.write.mode("append").option("parquet.bloom.filter.enabled#alert_id", "true").partitionBy("tenant_id", "day").parquet(path)
+    place = ["tenant_id", "day", "alert_id"]
+    ids_ = rows.select(_shard(F.col("alert_id")).alias("shard"), *place).distinct()
+    one = lambda kind, f: F.transform(F.col("entities")[f], lambda e: F.struct(F.lit(kind).alias("kind"), e["value"].alias("value")))
+    each = rows.select(*place, F.explode(F.flatten(F.array(*[one(k, f) for k, f in ENTITY_FIELDS.items()]))).alias("e")).select(*place, "e.*").distinct()
+    each = each.select(_shard(F.col("kind"), F.col("value")).alias("shard"), "kind", "value", *place)
+    for found, folder, order, bloom in ((ids_, BY_ID, ["alert_id"], "alert_id"), (each, BY_ENTITY, ["kind", "value"], "value")):
+        found = found.repartition("shard").sortWithinPartitions("shard", *order)
+        found.write.mode("append").option(f"parquet.bloom.filter.enabled#{bloom}", "true").partitionBy("shard").parquet(f"{path}/{folder}")
+
+
+def find(spark: SparkSession, path: str, alert_id: str) -> DataFrame:
+    """The alert of this id in a table of write_table: its place is looked up, then that day of that tenant alone is read."""
+    table = spark.read.parquet(path)
+    if not _indexed(spark, path):
+        return show(table, alert_id)
+    places = spark.read.parquet(f"{path}/{BY_ID}").where((F.col("shard") == _shard(F.lit(alert_id))) & (F.col("alert_id") == alert_id))
+    # an id is of one tenant and window; written again it has the same place
+    at = F.lit(False)
+    for r in places.select("tenant_id", "day").distinct().collect():
+        at = at | ((F.col("tenant_id") == r["tenant_id"]) & (F.col("day") == r["day"]))
+    return show(table.where(at), alert_id)
+
+
+def find_entity(spark: SparkSession, path: str, kind: str, value: str, **filters) -> DataFrame:
+    """As select_alerts with an entity, of a table of write_table: only days that have alerts with it are read."""
+    table = spark.read.parquet(path)
+    if not _indexed(spark, path):
+        return select_alerts(table, entity=(kind, value), **filters)
+    if kind not in ENTITY_FIELDS:
+        raise ValueError(f"entity kind {kind!r}")
+    places = spark.read.parquet(f"{path}/{BY_ENTITY}").where((F.col("shard") == _shard(F.lit(kind), F.lit(value))) & (F.col("kind") == kind) & (F.col("value") == value))
+    hits = table.join(places.select("tenant_id", "day", "alert_id").distinct(), ["tenant_id", "day", "alert_id"], "left_semi")
+    return select_alerts(hits.select(table.columns), **filters)
+
+
+def _indexed(spark: SparkSession, path: str) -> bool:
+    """Whether the table has places: one written otherwise is scanned."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{BY_ID}")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)

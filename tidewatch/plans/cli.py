@@ -82,11 +82,16 @@ def _alerts(args) -> int:
     chosen = {k: getattr(args, k) for k in ("since", "until", "category") if getattr(args, k, None) is not None}
     if getattr(args, "entity", None):
         chosen["entity"] = tuple(args.entity)
+    if action == "list" and "entity" in chosen:
+        found = alerts.find_entity(_spark(), args.table, *chosen.pop("entity"), **chosen).where(F.col("tenant_id") == args.tenant)
+        for row in found.toJSON().toLocalIterator():
+            print(row)
+        return 0
     if action == "export":
         alerts.export(table, args.out, args.gzip, **chosen)
         return 0
     if action in ("show", "drill"):
-        found = alerts.show(table, args.id).first()
+        found = alerts.find(_spark(), args.table, args.id).where(F.col("tenant_id") == args.tenant).first()
         if found is None:
             return 1
         if action == "show":

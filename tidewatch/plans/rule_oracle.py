@@ -74,6 +74,8 @@ SQL = {
           tenant_id || '|' || device_key || '|' || source_path || ';source_path=' || source_path AS details FROM v WHERE n >= 5 AND 1706745600 > last_we AND m >= 3 AND last_lines * m >= 3""",
     "alert_category": f"WITH {RING}{STATS}{CENTROID}{SCORES}{ALERTS} SELECT tenant_id, device_key, ws AS window_start_ts, label FROM alerts WHERE label = 'outlier'",
     "alert_upsert": "SELECT CAST(o_custkey AS VARCHAR) AS alert_id, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+    "alert_lookup": f"""WITH {RING}{STATS}{CENTROID}{SCORES}{ALERTS}, o AS (SELECT * FROM alerts ORDER BY ws, tenant_id, device_key LIMIT 1) SELECT 'id' AS found_by, tenant_id, device_key, ws AS window_start_ts, label FROM o
+        UNION ALL SELECT DISTINCT 'entity', a.tenant_id, a.device_key, a.ws, a.label FROM alerts a JOIN lw ON lw.tenant_id = a.tenant_id AND lw.device_key = a.device_key AND lw.ws = a.ws WHERE lw.usr = 'u7' AND a.ws >= 1704672000 AND a.ws < 1705881600""",
     "alert_show": f"WITH {RING}{STATS}{CENTROID}{SCORES}{ALERTS} SELECT tenant_id, device_key, ws AS window_start_ts FROM alerts ORDER BY ws, tenant_id, device_key LIMIT 1",
     "file_lines": f"""WITH {RAW}, x AS (SELECT *, make_timestamp(ts * 1000000) AS m, strftime(make_timestamp(ts * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM c2), t AS (SELECT tenant_id, device_key, seq % 2 = 1 AS is_gzip, CASE form
           WHEN 0 THEN '<34>1 ' || iso || ' ' || host || ' ' || device_key || ' ' || pid || ' ' || mid || ' - ' || pairs WHEN 1 THEN iso || ' {{"src_ip":"' || ip || '","user":"' || usr || '","action":"' || device_key || '","n":{{"bytes":' || amount || '}}}}'

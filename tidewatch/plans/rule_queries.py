@@ -226,6 +226,17 @@ def alert_show(spark, sf_dir):
     return alerts.show(found, row["alert_id"] if row else "").drop("alert_id")
 
 
+def alert_lookup(spark, sf_dir):
+    """Alerts of a table, found by the places of ids and entities: the first one, and those of a user in two weeks."""
+    path = f"{shared_dir(spark).rstrip('/')}/alerts-{uuid.uuid4().hex}"
+    alerts.write_table(_alerts(spark, sf_dir), path)
+    row = spark.read.parquet(path).orderBy("window_start_ts", "tenant_id", "device_key").first()
+    one = alerts.find(spark, path, row["alert_id"] if row else "")
+    some = alerts.find_entity(spark, path, "userid", "u7", since=1_704_672_000, until=1_705_881_600)
+    of = ["tenant_id", "device_key", "window_start_ts", "label"]
+    return one.select(F.lit("id").alias("found_by"), *of).unionByName(some.select(F.lit("entity").alias("found_by"), *of))
+
+
 def file_lines(spark, sf_dir):
     """Lines written as plain and gzip files of tenants and devices, found and read again."""
     root = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
@@ -316,6 +327,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         envelope_formats, token_rules, csv_tokens, token_caps, key_rules, df_caps, centroid_caps, noise_labels, signature_texts, provenance_spans, span_lines, silence_policy, silence_lifecycle, loss_alerts, stream_volume,
-        stream_silence, alert_category, alert_upsert, alert_show, file_lines, cursor_decisions, cursor_progress, streamed_rows, streamed_scores, streamed_silences, idle_windows,
+        stream_silence, alert_category, alert_upsert, alert_show, alert_lookup, file_lines, cursor_decisions, cursor_progress, streamed_rows, streamed_scores, streamed_silences, idle_windows,
     )
 }
