@@ -295,6 +295,7 @@ def _streamed(spark, made: DataFrame, run) -> DataFrame:
     """What a stream with keyed state gives, each batch in a folder of its own."""
     folder = shared_dir(spark).rstrip("/")
     out = f"{folder}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], made.schema).write.parquet(f"{out}/none")  # a stream without rows has no batches
     with keyed_state(spark):
         run(made, f"{folder}/state-{uuid.uuid4().hex}", to_table(out))
     return spark.read.schema(made.schema).option("recursiveFileLookup", True).parquet(out)
