@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import zlg_chunks
+from ..sources.files import zlg_data, zlg_index
 
 MOST_SPANS = 8
 
@@ -64,7 +64,7 @@ def drill(root: str, tenant: str, device: str, provenance: list[dict], most_byte
             continue
         if path.endswith(".zlg"):
             with open(path, "rb") as f:
-                data = b"".join(d for a, b, d in zlg_chunks(f) if a >= s["offset_start"] and b <= s["offset_end"])
+                data = b"".join(zlg_data(f, c) for c in zlg_index(f) if c.start >= s["offset_start"] and c.end <= s["offset_end"])
         elif s["is_gzip"]:
             with gzip.open(path) as f:
                 data = f.read()

@@ -18,6 +18,12 @@ o3 AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY tenant_id, device_ke
 o4 AS (SELECT tenant_id, device_key, ws, file_rel, run, min(a) AS a, max(b) AS b FROM o3 GROUP BY ALL),
 sp AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, device_key, ws ORDER BY file_rel, a) - 1 AS k FROM o4 QUALIFY k < 8)"""
 
+#: The lines that inputs.raw_lines renders.
+WRITTEN = f"""WITH {RAW}, x AS (SELECT *, make_timestamp(ts * 1000000) AS m, strftime(make_timestamp(ts * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM c2), t AS (SELECT tenant_id, device_key, seq % 2 = 1 AS is_gzip, CASE form
+          WHEN 0 THEN '<34>1 ' || iso || ' ' || host || ' ' || device_key || ' ' || pid || ' ' || mid || ' - ' || pairs WHEN 1 THEN iso || ' {{"src_ip":"' || ip || '","user":"' || usr || '","action":"' || device_key || '","n":{{"bytes":' || amount || '}}}}'
+          WHEN 2 THEN 'CEF:0|acme|gate|1.0|100|' || device_key || '|5|src_ip=' || ip || ' suser=' || usr || ' msg=took ' || amount || ' units'
+          WHEN 3 THEN '<13>' || strftime(m, '%b %-d %H:%M:%S') || ' ' || host || ' ' || device_key || '[' || pid || ']: ' || pairs ELSE iso || ' ' || host || ' ' || device_key || ': user ' || usr || ' came from ' || ip || ' today' END AS line FROM x)"""
+
 SQL = {
     "envelope_formats": f"""WITH {SAID} SELECT seq, CASE seq % 6 WHEN 0 THEN 165 WHEN 3 THEN 13 END::BIGINT AS pri, CASE seq % 6 WHEN 0 THEN t - 7200 WHEN 5 THEN NULL ELSE t END AS ts,
         CASE seq % 6 WHEN 0 THEN 'edge' WHEN 1 THEN 'host' WHEN 3 THEN 'box' WHEN 4 THEN 'box' END AS host, CASE WHEN seq % 6 < 3 THEN 'app' WHEN seq % 6 < 5 THEN 'fw' END AS app, CASE WHEN seq % 6 = 0 THEN d END AS procid,
@@ -77,11 +83,10 @@ SQL = {
     "alert_lookup": f"""WITH {RING}{STATS}{CENTROID}{SCORES}{ALERTS}, o AS (SELECT * FROM alerts ORDER BY ws, tenant_id, device_key LIMIT 1) SELECT 'id' AS found_by, tenant_id, device_key, ws AS window_start_ts, label FROM o
         UNION ALL SELECT DISTINCT 'entity', a.tenant_id, a.device_key, a.ws, a.label FROM alerts a JOIN lw ON lw.tenant_id = a.tenant_id AND lw.device_key = a.device_key AND lw.ws = a.ws WHERE lw.usr = 'u7' AND a.ws >= 1704672000 AND a.ws < 1705881600""",
     "alert_show": f"WITH {RING}{STATS}{CENTROID}{SCORES}{ALERTS} SELECT tenant_id, device_key, ws AS window_start_ts FROM alerts ORDER BY ws, tenant_id, device_key LIMIT 1",
-    "file_lines": f"""WITH {RAW}, x AS (SELECT *, make_timestamp(ts * 1000000) AS m, strftime(make_timestamp(ts * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM c2), t AS (SELECT tenant_id, device_key, seq % 2 = 1 AS is_gzip, CASE form
-          WHEN 0 THEN '<34>1 ' || iso || ' ' || host || ' ' || device_key || ' ' || pid || ' ' || mid || ' - ' || pairs WHEN 1 THEN iso || ' {{"src_ip":"' || ip || '","user":"' || usr || '","action":"' || device_key || '","n":{{"bytes":' || amount || '}}}}'
-          WHEN 2 THEN 'CEF:0|acme|gate|1.0|100|' || device_key || '|5|src_ip=' || ip || ' suser=' || usr || ' msg=took ' || amount || ' units'
-          WHEN 3 THEN '<13>' || strftime(m, '%b %-d %H:%M:%S') || ' ' || host || ' ' || device_key || '[' || pid || ']: ' || pairs ELSE iso || ' ' || host || ' ' || device_key || ': user ' || usr || ' came from ' || ip || ' today' END AS line FROM x)
-        SELECT tenant_id, device_key, is_gzip, count(*) AS lines, CAST(sum(length(line) + 1) AS BIGINT) AS bytes, 0::BIGINT AS least_gap FROM t GROUP BY ALL""",
+    "file_lines": f"""{WRITTEN} SELECT tenant_id, device_key, is_gzip, count(*) AS lines, CAST(sum(length(line) + 1) AS BIGINT) AS bytes, 0::BIGINT AS least_gap FROM t GROUP BY ALL""",
+    "archived_lines": f"""{WRITTEN} SELECT tenant_id, device_key, count(*) AS lines, CAST(sum(length(line) + 1) AS BIGINT) AS bytes, count(*) AS numbered FROM t GROUP BY ALL""",
+    "tailed_lines": f"""{WRITTEN} SELECT tenant_id, device_key, is_gzip, count(*) AS lines, CAST(sum(length(line) + 1) AS BIGINT) AS bytes, 0::BIGINT AS errors FROM t GROUP BY ALL""",
+    "alert_files_rows": f"WITH {RING}{STATS}{CENTROID}{SCORES}{ALERTS} SELECT tenant_id, device_key, strftime(make_timestamp(ws * 1000000), '%Y%m%d') AS day, count(*) AS n, count(*) AS ids, true AS placed FROM alerts GROUP BY ALL",
     "cursor_decisions": """WITH p AS (SELECT p_partkey AS k, p_size * 10 AS size FROM part), f AS (SELECT *, CAST(k AS VARCHAR) || CASE WHEN k % 5 = 0 THEN '.zlg' ELSE '.log' END AS file_rel, k % 4 = 1 AS gz, k % 4 = 1 OR k % 5 = 0 AS packed,
           size - CASE WHEN k % 2 = 0 THEN 5 ELSE 0 END AS was, size - 5 + CASE WHEN k % 9 = 0 THEN 10 ELSE 0 END AS off FROM p),
         d AS (SELECT file_rel, off, CASE WHEN k % 6 = 0 THEN 'new' WHEN gz <> (k % 8 = 1) THEN 'type' WHEN k % 11 = 0 THEN 'inode' WHEN packed AND size <> was THEN 'size' WHEN NOT packed AND size < off THEN 'truncated' ELSE 'resume' END AS reason FROM f)

@@ -14,7 +14,9 @@ from ..functions.features import emitted
 from ..functions.tokens import parse_counters, tokenize
 from ..operators import alerts, baselines, provenance, scoring, volume_loss, windows
 from ..sources import files
+from ..sources.alert_files import write_alerts
 from ..sources.shared import shared_dir, spread
+from ..sources.tail import SCHEMA, tail
 from ..streaming.scoring import stream_scores
 from ..streaming.silences import stream_silences
 from ..streaming.windows import idle_rows, keyed_state, run_once, run_until_idle, stream_rows, to_table
@@ -251,6 +253,80 @@ def file_lines(spark, sf_dir):
     )
 
 
+def _archives(batches, root: str):
+    """Writes the lines of a partition as archives, one for each device, in chunks that end anywhere; what comes out are their names."""
+    import os
+    import struct
+    import zlib
+
+    import pandas as pd
+    import zstandard
+
+    name, known = uuid.uuid4().hex, {}
+    for pdf in batches:
+        for (tenant, device), own in pdf.groupby(["tenant_id", "device_key"]):
+            path = f"{root}/{tenant}/{device}/{name}.zlg"
+            data = "".join(x + "\n" for x in own.line).encode()
+            first = path not in known
+            known[path] = known.get(path, 0)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb" if first else "ab") as f:
+                if first:
+                    f.write(files.ZLG_MAGIC + struct.pack("<HH", 1, files.ZLG_HEADER) + bytes(20))
+                for at in range(0, len(data), 5000):
+                    plain = data[at : at + 5000]
+                    packed = zstandard.ZstdCompressor().compress(plain)
+                    head = struct.pack("<HHQQQQQIIQ", files.ZLG_CHUNK_HEADER, 0, known[path], 0, 0, len(plain), len(packed), 0, zlib.crc32(plain), 0)
+                    f.write(files.ZLG_CHUNK + head + packed)
+                    known[path] += 1
+    for path, chunks in known.items():
+        with open(path, "ab") as f:
+            f.write(files.ZLG_DIRECTORY + struct.pack("<IQ", files.ZLG_ENTRY, chunks) + bytes(files.ZLG_ENTRY * chunks) + files.ZLG_FOOTER + struct.pack("<I", files.ZLG_FOOTER_SIZE) + bytes(files.ZLG_FOOTER_SIZE - 8))
+        yield pd.DataFrame({"path": [path]})
+
+
+def archived_lines(spark, sf_dir):
+    """Lines written as chunked archives, read again in groups of chunks: lines that go on in the next chunk, and numbers of lines."""
+    root = f"{shared_dir(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    lines = spread(inputs.raw_lines(spark, sf_dir)).select("tenant_id", "device_key", "line")
+    folder = files.local(root)
+    lines.mapInPandas(lambda batches: _archives(batches, folder), "path string").write.format("noop").mode("overwrite").save()
+    got = files.read_lines(spark, root)
+    each = got.groupBy("tenant_id", "device_dir", "file_rel").agg(F.count("*").alias("n"), F.sum("byte_len").alias("bytes"), (F.max("line_no") + 1).alias("last"))
+    return each.groupBy("tenant_id", F.col("device_dir").alias("device_key")).agg(F.sum("n").alias("lines"), F.sum("bytes").cast("long").alias("bytes"), F.sum("last").alias("numbered"))
+
+
+def tailed_lines(spark, sf_dir):
+    """Lines of files read by a stream with cursors as offsets, that stops and goes on when there are more files."""
+    folder = shared_dir(spark).rstrip("/")
+    root, out, state = (f"{folder}/{n}-{uuid.uuid4().hex}" for n in ("tailed", "tailed-out", "tailed-state"))
+    lines = inputs.raw_lines(spark, sf_dir).select("tenant_id", "device_key", F.pmod("seq", F.lit(2)).alias("g"), "line")
+    places = [tuple(r) for r in lines.select("tenant_id", "device_key").distinct().collect()]
+    spark.createDataFrame([], SCHEMA).write.parquet(out)
+    for g, how in ((0, "none"), (1, "gzip")):
+        for tenant, device in places:
+            own = lines.where((F.col("tenant_id") == tenant) & (F.col("device_key") == device) & (F.col("g") == g))
+            own.select("line").write.mode("append").option("compression", how).text(f"{root}/{tenant}/{device}")
+        if places:
+            query = tail(spark, root, range_bytes=1 << 20).writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(to_table(f"{out}/{g}")).start()
+            query.awaitTermination()
+    got = spark.read.schema(SCHEMA).option("recursiveFileLookup", True).parquet(out)
+    return got.groupBy("tenant_id", F.col("device_dir").alias("device_key"), "is_gzip").agg(F.count("*").alias("lines"), F.sum("byte_len").cast("long").alias("bytes"), F.count("error").alias("errors"))
+
+
+def alert_files_rows(spark, sf_dir):
+    """Alerts written as JSON lines of devices and days by the committing sink, read again by folder."""
+    folder = shared_dir(spark).rstrip("/")
+    root = f"{folder}/alert-files-{uuid.uuid4().hex}"
+    write_alerts(_alerts(spark, sf_dir), root, f"{folder}/alert-spool-{uuid.uuid4().hex}", 1 << 20)
+    got = spark.read.schema("alert_id string, tenant_id string, device_key string, window_start_ts long, label string").option("recursiveFileLookup", True).option("pathGlobFilter", "alerts_*.jsonl").json(root)
+    got = got.withColumn("path", F.split(F.col("_metadata.file_path"), "/"))
+    part = lambda i: F.element_at("path", F.lit(-i))
+    placed = F.concat(part(4), part(3), part(2)) == F.date_format(F.timestamp_seconds("window_start_ts"), "yyyyMMdd")
+    placed = placed & (part(5) == F.concat(F.lit("device="), "device_key")) & (part(6) == F.concat(F.lit("tenant="), "tenant_id"))
+    return got.groupBy("tenant_id", "device_key", F.date_format(F.timestamp_seconds("window_start_ts"), "yyyyMMdd").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("alert_id").alias("ids"), F.bool_and(placed).alias("placed"))
+
+
 def _cursor_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Parts as files, and cursors of most of them as they were before."""
     p, k = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey")
@@ -328,6 +404,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         envelope_formats, token_rules, csv_tokens, token_caps, key_rules, df_caps, centroid_caps, noise_labels, signature_texts, provenance_spans, span_lines, silence_policy, silence_lifecycle, loss_alerts, stream_volume,
-        stream_silence, alert_category, alert_upsert, alert_show, alert_lookup, file_lines, cursor_decisions, cursor_progress, streamed_rows, streamed_scores, streamed_silences, idle_windows,
+        stream_silence, alert_category, alert_upsert, alert_show, alert_lookup, file_lines, archived_lines, tailed_lines, alert_files_rows, cursor_decisions, cursor_progress, streamed_rows, streamed_scores, streamed_silences, idle_windows,
     )
 }

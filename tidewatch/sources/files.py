@@ -2,8 +2,9 @@
 
 Files lie at root/tenant/device/file, in any store that Spark reads.  Plain files are read in ranges by Spark's text source, so
 a large one is many tasks: each line gets its place inside its range in the pass that reads it, and ranges get theirs
-from the sums of those before.  Compressed files are read whole, one task each; one that can't be read ends nothing: it is
-told in a table of failures, and none of its lines count.
+from the sums of those before.  On a mount, archives are planned from the headers of their chunks and read in groups of chunks, and a
+gzip file is streamed by one task; in other stores both are read whole.  A compressed file that can't be read ends nothing:
+it is told in a table of failures, and none of its lines count.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ import gzip
 import io
 import struct
 import zlib
+from collections.abc import Iterator
 from itertools import islice
+from typing import NamedTuple
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -79,45 +83,122 @@ ZLG_HEADER, ZLG_CHUNK_HEADER, ZLG_STORED, ZLG_ENTRY, ZLG_FOOTER_SIZE = 32, 64, 0
 ZLG_MOST_SUMMARY, ZLG_MOST_CHUNK = 64 << 20, 1 << 30
 
 
-def zlg_chunks(f: io.BufferedIOBase):
-    """(start, end, data) of each chunk; anything out of order is an error."""
-    import zstandard
-
-    def take(n: int) -> bytes:
-        got = f.read(n)
-        if len(got) != n:
-            raise ValueError("archive is cut short")
-        return got
-
-    head = take(ZLG_HEADER)
-    if head[:8] != ZLG_MAGIC or struct.unpack_from("<HH", head, 8) != (1, ZLG_HEADER):
-        raise ValueError("not a chunked archive")
-    at = ZLG_HEADER
-    while magic := f.read(4):
+class Chunk(NamedTuple):
+    """A chunk's place in the file and what its header says of it."""
+
+    start: int
+    end: int
+    stored: bool
+    plain: int
+    packed: int
+    crc: int
+
+
+def _taken(f: io.BufferedIOBase, n: int) -> bytes:
+    got = f.read(n)
+    if len(got) != n:
+        raise ValueError("archive is cut short")
+    return got
+
+
+def zlg_index(f: io.BufferedIOBase, at: int = 0) -> Iterator[Chunk]:
+    """The chunks from one that starts at `at` on (0: all of them), headers only: what they hold is passed over.  Anything out of order
+    is an error, in the directory and the footer too."""
+    size = f.seek(0, io.SEEK_END)
+    if not at:
+        f.seek(0)
+        head = _taken(f, ZLG_HEADER)
+        if head[:8] != ZLG_MAGIC or struct.unpack_from("<HH", head, 8) != (1, ZLG_HEADER):
+            raise ValueError("not a chunked archive")
+        at = ZLG_HEADER
+    while at < size:
+        f.seek(at)
+        magic = _taken(f, 4)
         if magic == ZLG_DIRECTORY:
-            entry, entries = struct.unpack("<IQ", take(12))
+            entry, entries = struct.unpack("<IQ", _taken(f, 12))
             if entry != ZLG_ENTRY:
                 raise ValueError("directory entry out of bounds")
-            for _ in range(entries):
-                take(entry)
-            if (magic := f.read(4)) and (magic != ZLG_FOOTER or struct.unpack("<I", take(4))[0] != ZLG_FOOTER_SIZE or not take(ZLG_FOOTER_SIZE - 8)):
+            if (after := at + 16 + entry * entries) > size:
+                raise ValueError("archive is cut short")
+            f.seek(after)
+            if (magic := f.read(4)) and (magic != ZLG_FOOTER or struct.unpack("<I", _taken(f, 4))[0] != ZLG_FOOTER_SIZE or not _taken(f, ZLG_FOOTER_SIZE - 8)):
                 raise ValueError("no footer after the directory")
             return
         if magic != ZLG_CHUNK:
             raise ValueError("unexpected record")
-        size, flags, _, _, _, plain, packed, summary, crc, _ = struct.unpack("<HHQQQQQIIQ", take(ZLG_CHUNK_HEADER - 4))
-        if size != ZLG_CHUNK_HEADER or summary > ZLG_MOST_SUMMARY or packed > ZLG_MOST_CHUNK or plain > ZLG_MOST_CHUNK:
+        length, flags, _, _, _, plain, packed, summary, crc, _ = struct.unpack("<HHQQQQQIIQ", _taken(f, ZLG_CHUNK_HEADER - 4))
+        if length != ZLG_CHUNK_HEADER or summary > ZLG_MOST_SUMMARY or packed > ZLG_MOST_CHUNK or plain > ZLG_MOST_CHUNK:
             raise ValueError("chunk header out of bounds")
-        take(summary)
-        raw = take(packed)
-        data = raw if flags & ZLG_STORED else zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-        if len(data) != plain or zlib.crc32(data) != crc:
-            raise ValueError("chunk doesn't match its header")
         end = at + ZLG_CHUNK_HEADER + summary + packed
-        yield at, end, data
+        if end > size:
+            raise ValueError("archive is cut short")
+        yield Chunk(at, end, bool(flags & ZLG_STORED), plain, packed, crc)
         at = end
 
 
+def zlg_data(f: io.BufferedIOBase, chunk: Chunk) -> bytes:
+    """What a chunk holds."""
+    import zstandard
+
+    f.seek(chunk.end - chunk.packed)
+    raw = _taken(f, chunk.packed)
+    data = raw if chunk.stored else zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+    if len(data) != chunk.plain or zlib.crc32(data) != chunk.crc:
+        raise ValueError("chunk doesn't match its header")
+    return data
+
+
+def zlg_chunks(f: io.BufferedIOBase, start: int = 0):
+    """(start, end, data) of each chunk that ends after `start`; those before are not read."""
+    return ((c.start, c.end, zlg_data(f, c)) for c in zlg_index(f) if c.end > start)
+
+
+#: Bytes of chunks, as they lie in the archive, that one task reads; the last chunk may pass it.
+GROUP = 16 << 20
+
+
+def zlg_groups(f: io.BufferedIOBase, start: int = 0, most: int = GROUP) -> list[tuple[int, int, int]]:
+    """(start, end, start of the chunk with data before or -1) of groups of chunks that end after `start`."""
+    groups: list[tuple[int, int, int]] = []
+    before, last = -1, -1
+    for c in zlg_index(f):
+        if c.end <= start:
+            continue
+        if groups and c.start - groups[-1][0] < most:
+            groups[-1] = (groups[-1][0], c.end, groups[-1][2])
+        else:
+            before = last
+            groups.append((c.start, c.end, before))
+        if c.plain:
+            last = c.start
+    return groups
+
+
+def group_lines(f: io.BufferedIOBase, group: tuple[int, int, int], most: int = MOST_LINE):
+    """(start, end, raw length, line) of the lines that start in a group of chunks: the rest of one from before is passed, the last one is
+    read to its end, however many chunks it takes."""
+    start, stop, before = group
+
+    def own():
+        passing = before >= 0 and not zlg_data(f, next(zlg_index(f, before))).endswith(b"\n")
+        whole = True  # whether the last line that started here has ended
+        for c in zlg_index(f, start):
+            if c.start >= stop and (passing or whole):
+                return
+            data = zlg_data(f, c)
+            cut = data.find(b"\n") + 1
+            if passing:
+                passing = not cut
+                data = data[cut:] if cut else b""
+            elif c.start >= stop and cut:
+                data = data[:cut]
+            if data:
+                whole = data.endswith(b"\n")
+            yield c.start, c.end, data
+
+    return archive_lines(own(), most)
+
+
 def archive_lines(chunks, most: int = MOST_LINE):
     """(start, end, raw length, line) of lines of (start, end, data) chunks; a line that goes on in later chunks has the places of
     all of them."""
@@ -135,16 +216,20 @@ def archive_lines(chunks, most: int = MOST_LINE):
         yield since, end, len(held), _text(held, most)
 
 
-def lines_of(name: str, data: bytes, most: int = MOST_LINE, start: int = 0):
-    """(start, end, raw length, line) of a file.  Compressed files give the offsets of what holds the line, and are never
-    decompressed as a whole."""
+def lines_of(name: str, data: bytes | io.BufferedIOBase, most: int = MOST_LINE, start: int = 0):
+    """(start, end, raw length, line) of a file, or of an open compressed one.  Compressed files give the offsets of what holds the
+    line, and are never decompressed as a whole."""
+    if name.endswith((".zlg", ".gz")):
+        f = io.BytesIO(data) if isinstance(data, bytes) else data
+        size = f.seek(0, io.SEEK_END)
+        f.seek(0)
     if name.endswith(".zlg"):
-        yield from archive_lines(((a, b, chunk) for a, b, chunk in zlg_chunks(io.BytesIO(data)) if b > start), most)
+        yield from archive_lines(zlg_chunks(f, start), most)
     elif name.endswith(".gz"):
-        if start >= len(data) > 0:
+        if start >= size > 0:
             return
-        with gzip.open(io.BytesIO(data)) as f:
-            yield from ((0, len(data), len(raw), _text(raw, most)) for raw in f)
+        with gzip.open(f) as lines:
+            yield from ((0, size, len(raw), _text(raw, most)) for raw in lines)
     else:
         yield from split_lines(data[start:] if start else data, most, start)
 
@@ -192,6 +277,24 @@ def _plain(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(_shown())
 
 
+PARTS = "tenant_id string, device_dir string, file_rel string, is_gzip boolean, offset long, path string, part int, start long, stop long, before long, error string"
+
+
+def local(path: str) -> str:
+    """A path of a mount, without its scheme."""
+    if path.startswith("file:"):
+        return unquote("/" + path.removeprefix("file:").lstrip("/"))
+    if "://" in path:
+        raise ValueError(f"not on a mount: {path}")
+    return path
+
+
+def _mounted(spark: SparkSession, root: str) -> bool:
+    """Whether tasks can open the files under root themselves, and seek in them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+
+
 def _known(files: DataFrame, cursors: DataFrame | None) -> DataFrame:
     """files with offset, where reading goes on."""
     if cursors is None:
@@ -218,20 +321,55 @@ def read_parts(spark: SparkSession, root: str, most: int = MOST_LINE, cursors: D
 
     plain = _known(_plain(spark, root), cursors).where(F.col("offset_end") > F.col("offset")).mapInArrow(cut, LINES)
 
-    def run(batches):
+    mounted = _mounted(spark, root)
+
+    def planned(batches):
+        """Parts that a task reads: groups of an archive's chunks, other files whole."""
         for pdf in batches:
-            for t, d, name, gz, offset, data in zip(pdf.tenant_id, pdf.device_dir, pdf.file_rel, pdf.is_gzip, pdf.offset, pdf.content):
-                lines = ((t, d, name, a, b, gz, n, line, i, None) for i, (a, b, n, line) in enumerate(lines_of(name, data, most, offset)))
+            out = []
+            for t, d, name, gz, offset, path in zip(pdf.tenant_id, pdf.device_dir, pdf.file_rel, pdf.is_gzip, pdf.offset, pdf.path):
+                key = (t, d, name, gz, offset, path)
                 try:
-                    while some := list(islice(lines, BATCH)):
-                        yield pd.DataFrame(some, columns=[*names, "error"])
+                    groups = [(-1, -1, -1)]
+                    if name.endswith(".zlg"):
+                        with open(local(path), "rb") as f:
+                            groups = zlg_groups(f, offset)
+                    out += [(*key, i, *g, None) for i, g in enumerate(groups)]
                 except Exception as e:  # whatever a broken file makes its library say
-                    yield pd.DataFrame([(t, d, name, 0, 0, gz, 0, None, -1, f"{type(e).__name__}: {e}")], columns=[*names, "error"])
+                    out.append((*key, 0, -1, -1, -1, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PARTS.split(", ")])
 
-    packed = _known(discover(spark, root, content=True, names=PACKED), cursors).select(*KEYS, "is_gzip", "offset", "content")
-    found = settled(packed.mapInPandas(run, f"{LINES}, error string"), "packed")
-    failed = found.where("error IS NOT NULL").select(*KEYS, "error")
+    def run(batches):
+        for pdf in batches:
+            data = pdf.content if "content" in pdf else [None] * len(pdf)
+            for t, d, name, gz, offset, path, k, a, b, before, error, raw in zip(pdf.tenant_id, pdf.device_dir, pdf.file_rel, pdf.is_gzip, pdf.offset, pdf.path, pdf.part, pdf.start, pdf.stop, pdf.before, pdf.error, data):
+                told = error
+                try:
+                    if not told:
+                        with io.BytesIO(raw) if raw is not None else open(local(path), "rb") as f:
+                            found = group_lines(f, (a, b, before), most) if a >= 0 else lines_of(name, f, most, offset)
+                            lines = ((t, d, name, x, y, gz, n, line, i, k, None) for i, (x, y, n, line) in enumerate(found))
+                            while some := list(islice(lines, BATCH)):
+                                yield pd.DataFrame(some, columns=[*names, "part", "error"])
+                except Exception as e:
+                    told = f"{type(e).__name__}: {e}"
+                if told:
+                    yield pd.DataFrame([(t, d, name, 0, 0, gz, 0, None, -1, k, told)], columns=[*names, "part", "error"])
+
+    packed = _known(discover(spark, root, content=not mounted, names=PACKED), cursors)
+    if mounted:
+        parts = packed.select(*KEYS, "is_gzip", "offset", "path").mapInPandas(planned, PARTS)
+        # parts are rows of a few bytes, each much work: a number that is given is left alone by AQE
+        parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "part")
+    else:
+        parts = packed.select(*KEYS, "is_gzip", "offset", "path", F.lit(0).alias("part"), *[F.lit(-1).cast("long").alias(c) for c in ("start", "stop", "before")], F.lit(None).cast("string").alias("error"), "content")
+    found = settled(parts.mapInPandas(run, f"{LINES}, part int, error string"), "packed")
+    failed = found.where("error IS NOT NULL").groupBy(*KEYS).agg(F.min("error").alias("error"))
     whole = found.where("error IS NULL").drop("error").join(failed.select(*KEYS), KEYS, "left_anti")
+    # numbers go on over the parts of a file
+    earlier = Window.partitionBy(*KEYS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = whole.groupBy(*KEYS, "part").agg(F.count("*").alias("_n")).select(*KEYS, "part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_lines"))
+    whole = whole.join(counts, [*KEYS, "part"]).withColumn("line_no", F.col("line_no") + F.col("_lines")).select(*names)
     return plain.unionByName(whole), failed
 
 
