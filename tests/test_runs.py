@@ -73,3 +73,43 @@ def test_oneshot_tells_a_silence_once(spark, tmp_path, monkeypatch, capsys):
     write(device, [16]), write(other, range(16, 22))
     assert run(22) == [17]  # seen, then silent again
     assert spark.read.parquet(str(tmp_path / "state" / "baselines-00000002" / "groups")).agg(F.sum("n")).first()[0] == 9 + 22
+
+
+def test_run_again_and_again(spark, tmp_path, monkeypatch, capsys):
+    """Passes go on from one another: a line is read once, an alert is in the table and in its day's file; a signal ends the run after its pass."""
+    import glob
+    import json
+    import os
+    import signal
+
+    from tidewatch.plans import cli
+
+    from .test_analyze import EVAL, counts, text
+
+    root = tmp_path / "logs" / "t" / "d"
+    root.mkdir(parents=True)
+    (root / "a.log").write_text("".join(text(m, i, "all is well") + "\n" for d, m, n in counts() if d == "a" for i in range(n)))
+    toml = tmp_path / "c.toml"
+    toml.write_text("[vdrop]\nmin_mature_windows = 5\nmin_expected_lines = 2\n")
+    monkeypatch.setattr(cli, "_spark", lambda: spark)
+    folders = {n: str(tmp_path / n) for n in ("out", "state", "jsonl", "data")}
+    args = ["--config", str(toml), "run", "--root", str(tmp_path / "logs"), "--out", folders["out"], "--state", folders["state"], "--eval-ts", str(EVAL + 60), "--every", "0", "--passes", "9"]
+    assert cli.main([*args, "--jsonl", folders["jsonl"]]) == 1  # where would refused alerts go?
+    once, seen = cli._oneshot, []
+
+    def watched(args, cfg):
+        seen.append(once(args, cfg))
+        if len(seen) == 1:
+            with open(root / "a.log", "a") as f:
+                f.write("".join(text(12, i, "all is well") + "\n" for i in range(12)))
+        else:
+            os.kill(os.getpid(), signal.SIGTERM)
+        return seen[-1]
+
+    monkeypatch.setattr(cli, "_oneshot", watched)
+    assert cli.main([*args, "--jsonl", folders["jsonl"], "--data-root", folders["data"]]) == 0 and seen == [0, 0]
+    table = spark.read.parquet(folders["out"]).collect()
+    written = [json.loads(line) for p in glob.glob(f"{folders['jsonl']}/tenant=t/device=*/*/*/*/alerts_*.jsonl") for line in open(p)]
+    assert len(table) >= 2 and sorted(r.alert_id for r in table) == sorted(a["alert_id"] for a in written)
+    offsets = {r.file_rel: r.offset for r in spark.read.parquet(cli._cursor_folders(folders["state"])[-1]).collect()}
+    assert offsets == {"a.log": os.path.getsize(root / "a.log")}

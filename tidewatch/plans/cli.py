@@ -19,14 +19,20 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config")
     sub = p.add_subparsers(dest="command", required=True)
     one = sub.add_parser("oneshot", help="alerts of a root of log files")
-    one.add_argument("--root", required=True)
-    one.add_argument("--out", help="table of alerts; not needed where output.sink is stdout")
-    one.add_argument("--tenant")
-    one.add_argument("--policy", help="file with the policy of --tenant")
-    one.add_argument("--state", help="folder of cursors and baselines: only what files gained since the last run is read, and scored against all runs before")
-    one.add_argument("--since", type=int)
-    one.add_argument("--until", type=int)
-    one.add_argument("--eval-ts", type=int, help="when silences are judged (else now)")
+    again = sub.add_parser("run", help="oneshot again and again, each pass reading what files gained, until a signal ends it")
+    for a in (one, again):
+        a.add_argument("--root", required=True)
+        a.add_argument("--out", help="table of alerts; not needed where output.sink is stdout")
+        a.add_argument("--jsonl", help="folder that alerts are written to as JSON lines too, by tenant, device and day")
+        a.add_argument("--data-root", help="folder of the spool, for alerts that --jsonl refuses")
+        a.add_argument("--tenant")
+        a.add_argument("--policy", help="file with the policy of --tenant")
+        a.add_argument("--state", required=a is again, help="folder of cursors and baselines: only what files gained since the last run is read, and scored against all runs before")
+        a.add_argument("--since", type=int)
+        a.add_argument("--until", type=int)
+        a.add_argument("--eval-ts", type=int, help="when silences are judged (else now)")
+    again.add_argument("--every", type=float, default=60.0, help="seconds from the start of a pass to that of the next")
+    again.add_argument("--passes", type=int, help="how many passes (else until a signal)")
     for name in ("list", "search", "show", "export", "drill"):
         a = sub.add_parser(f"alerts-{name}")
         a.add_argument("--table", required=True)
@@ -112,12 +118,13 @@ def _oneshot(args, cfg) -> int:
     from ..functions.ids import device_key
     from ..operators import alerts
     from ..operators.scoring import Thresholds
+    from ..sources.alert_files import write_alerts
     from ..sources.files import KEYS, advance, read_parts
     from ..sources.shared import settled
     from .analyze import analyze
 
     stdout = cfg["output"]["sink"] == "stdout"
-    if (not stdout and not args.out) or (args.policy and not args.tenant):
+    if (not stdout and not args.out) or (args.policy and not args.tenant) or (args.jsonl and not args.data_root):
         return 1
     s = cfg["scoring"]
     t = Thresholds(outlier=s["outlier_threshold"], noise=s["noise_threshold"], min_lines=s["min_lines_per_window"], cold_start_days=s["cold_start_days"])
@@ -133,6 +140,9 @@ def _oneshot(args, cfg) -> int:
     features, entities = config.caps(cfg)
     kept = {} if files is None else {"past": _past(args.state), "keep": lambda base, watched: _write_past(args.state, base, watched)}
     found = analyze(keyed, cfg["ingest"]["window_size_s"], t, since=args.since, until=args.until, eval_ts=args.eval_ts, volume=config.volume(cfg, policy), feature_caps=features, entity_caps=entities, **kept)
+    if args.jsonl:
+        found = settled(found, "found")  # written twice
+        write_alerts(found, args.jsonl, args.data_root, cfg["output"]["jsonl_rotate_mb"] << 20)
     if stdout:
         for row in found.toJSON().toLocalIterator():
             print(row)
@@ -152,6 +162,31 @@ def _oneshot(args, cfg) -> int:
     return 6 if broken else 0
 
 
+def _run(args, cfg) -> int:
+    """Passes of oneshot.  One that could not read some files goes on (the code is 6 at the end), any other failure ends the run with its
+    code; INT and TERM let the pass at work end first, as what a pass leaves counts only once it has ended."""
+    import signal
+    import threading
+
+    stop, code, done = threading.Event(), 0, 0
+    before = {s: signal.signal(s, lambda *_: stop.set()) for s in (signal.SIGINT, signal.SIGTERM)}
+    try:
+        while not stop.is_set():
+            began = time.time()
+            got = _oneshot(args, cfg)
+            if got not in (0, 6):
+                return got
+            code, done = max(code, got), done + 1
+            print(json.dumps({"pass": done, "code": got, "seconds": round(time.time() - began, 3)}), file=sys.stderr)
+            if done == args.passes:
+                break
+            stop.wait(max(args.every - (time.time() - began), 0))
+    finally:
+        for s, handler in before.items():
+            signal.signal(s, handler)
+    return code
+
+
 def _cursor_folders(state: str) -> list[str]:
     """Whole cursor tables of a state folder, the last one last."""
     return sorted(d for d in glob.glob(os.path.join(state, "cursors-*")) if os.path.exists(os.path.join(d, "_SUCCESS")))
@@ -207,6 +242,8 @@ def main(argv: list[str] | None = None) -> int:
         cfg = config.load(args.config)
         if args.command == "oneshot":
             return _oneshot(args, cfg)
+        if args.command == "run":
+            return _run(args, cfg)
         if args.command.startswith("alerts-"):
             return _alerts(args)
         if args.command == "status":
