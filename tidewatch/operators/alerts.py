@@ -10,6 +10,7 @@ from ..sources.shared import settled
 
 #: The entity kinds of filters and the arrays they look into.
 ENTITY_FIELDS = {"srcip": "src_ips", "dstip": "dst_ips", "userid": "user_ids", "domain": "domains", "host": "hosts"}
+ENTITY_KINDS = {"srcip": "SourceIp", "dstip": "DestIp", "userid": "UserId", "domain": "Domain", "host": "Host"}
 CATEGORIES = ("outlier", "noise_suspect", "info")
 
 
@@ -63,14 +64,28 @@ def upsert(alerts: DataFrame, order: str = "window_end_ts") -> DataFrame:
     return alerts.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def has_entity(kind: str, value: str) -> Column:
-    if kind not in ENTITY_FIELDS:
+def _kind(kind: str) -> str:
+    if kind not in ENTITY_KINDS:
         raise ValueError(f"entity kind {kind!r}")
+    return ENTITY_KINDS[kind]
+
+
+def _of_rows(alerts: DataFrame) -> DataFrame:
+    """Alerts of rows: those of lost volume have no lines, so no entities."""
+    return alerts.where("subject_kind IS NULL") if "subject_kind" in alerts.columns else alerts
+
+
+def has_entity(kind: str, value: str) -> Column:
+    _kind(kind)
     return F.exists(F.col("entities")[ENTITY_FIELDS[kind]], lambda e: e["value"] == value)
 
 
-def select_alerts(alerts: DataFrame, since: int | None = None, until: int | None = None, category: str | None = None, entity: tuple[str, str] | None = None) -> DataFrame:
-    """since <= window start < until; newest first, then by id."""
+def select_alerts(alerts: DataFrame, since: int | None = None, until: int | None = None, category: str | None = None, entity: tuple[str, str] | None = None, every: DataFrame | None = None) -> DataFrame:
+    """since <= window start < until; newest first, then by id.
+
+    every: the entities of windows as of `windows.every_entity`.  With them an entity is found that a row doesn't keep, since it
+    keeps the most frequent alone.
+    """
     if category is not None and category not in CATEGORIES:
         raise ValueError(f"category {category!r}")
     out = alerts
@@ -80,7 +95,11 @@ def select_alerts(alerts: DataFrame, since: int | None = None, until: int | None
         out = out.where(F.col("window_start_ts") < until)
     if category is not None:
         out = out.where(F.col("label") == category)
-    if entity is not None:
+    if entity is not None and every is not None:
+        kind, value = _kind(entity[0]), entity[1]
+        at = every.where((F.col("kind") == kind) & (F.col("value") == value)).select("tenant_id", "device_key", F.col("ws").alias("window_start_ts")).distinct()
+        out = _of_rows(out).join(at, ["tenant_id", "device_key", "window_start_ts"], "left_semi")
+    elif entity is not None:
         out = out.where(has_entity(*entity))
     return out.orderBy(F.desc("window_start_ts"), "alert_id")
 

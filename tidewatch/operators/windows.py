@@ -68,6 +68,12 @@ def top_entities(lines: DataFrame, size: int, caps: dict[str, int] = ENTITY_CAPS
     return ranked(each.groupBy(*KEY, "kind", "value").agg(F.count("*").alias("n")), caps)
 
 
+def every_entity(lines: DataFrame, size: int) -> DataFrame:
+    """KEY, kind, value of the entities of all lines, those too that a row doesn't keep; as often as lines have them."""
+    each = with_window(lines, size).select(*KEY, F.explode_outer("entities").alias("e"))
+    return each.select(*KEY, "e.kind", "e.value").where("kind IS NOT NULL")
+
+
 def ranked(counted: DataFrame, caps: dict[str, int] = ENTITY_CAPS) -> DataFrame:
     counted = counted.where(F.col("kind").isin(*caps))
     order = Window.partitionBy(*KEY, "kind").orderBy(F.desc("n"), "value")

@@ -143,10 +143,11 @@ def top_features(spark, sf_dir):
 
 
 def alert_filter(spark, sf_dir):
-    """Alerts of two weeks with a source address of one entity, newest first."""
+    """Alerts of two weeks with a line of one user, whatever a row keeps of its entities, newest first."""
     from ..operators import alerts
 
-    found = alerts.select_alerts(_alerts(spark, sf_dir), since=1_704_672_000, until=1_705_881_600, entity=("userid", "u7"))
+    every = windows.every_entity(inputs.event_lines(spark, sf_dir), SIZE)
+    found = alerts.select_alerts(_alerts(spark, sf_dir), since=1_704_672_000, until=1_705_881_600, entity=("userid", "u7"), every=every)
     return found.select("tenant_id", "device_key", "window_start_ts", "label")
 
 
