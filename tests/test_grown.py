@@ -42,3 +42,7 @@ def same(spark, duck, folder, name, **frames):
 
 def test_filter_finds_an_entity_that_no_row_keeps(spark, duck, tmp_path, crowd):
     same(spark, duck, tmp_path, "alert_filter", events=crowd)
+
+
+def test_lookup_finds_an_entity_that_no_row_keeps(spark, duck, tmp_path, crowd):
+    same(spark, duck, tmp_path, "alert_lookup", events=crowd)

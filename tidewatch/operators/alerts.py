@@ -134,19 +134,26 @@ def _shard(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SHARDS)).cast("int")
 
 
-def write_table(alerts: DataFrame, path: str) -> None:
+def write_table(alerts: DataFrame, path: str, every: DataFrame | None = None) -> None:
     """Appends alerts as Parquet by tenant and day, in order of their ids, with Bloom filters; and, in folders beside them, where each id
     and each entity is, dealt by digest and in order: a lookup reads one file of those and the days that it names.
 
     The places are written after the alerts, so what they name is there; a run that ends before is written again as a whole.
+    every: the entities of windows as of `windows.every_entity`; with them those that no row keeps have places too.
     """
     rows = settled(alerts.withColumn("day", timing.utc_day(F.col("window_start_ts"))), "alerts")
     ordered = rows.repartitionByRange("tenant_id", "day", "alert_id").sortWithinPartitions("tenant_id", "day", "alert_id")
     ordered.write.mode("append").option("parquet.bloom.filter.enabled#alert_id", "true").partitionBy("tenant_id", "day").parquet(path)
     place = ["tenant_id", "day", "alert_id"]
     ids_ = rows.select(_shard(F.col("alert_id")).alias("shard"), *place).distinct()
-    one = lambda kind, f: F.transform(F.col("entities")[f], lambda e: F.struct(F.lit(kind).alias("kind"), e["value"].alias("value")))
-    each = rows.select(*place, F.explode(F.flatten(F.array(*[one(k, f) for k, f in ENTITY_FIELDS.items()]))).alias("e")).select(*place, "e.*").distinct()
+    if every is None:
+        one = lambda kind, f: F.transform(F.col("entities")[f], lambda e: F.struct(F.lit(kind).alias("kind"), e["value"].alias("value")))
+        each = rows.select(*place, F.explode(F.flatten(F.array(*[one(k, f) for k, f in ENTITY_FIELDS.items()]))).alias("e")).select(*place, "e.*").distinct()
+    else:
+        name = F.coalesce(*[F.when(F.col("kind") == v, k) for k, v in ENTITY_KINDS.items()])
+        found = every.select("tenant_id", "device_key", F.col("ws").alias("window_start_ts"), name.alias("kind"), "value").where("kind IS NOT NULL").distinct()
+        own = _of_rows(rows).select("device_key", "window_start_ts", *place).distinct()
+        each = found.join(own, ["tenant_id", "device_key", "window_start_ts"]).select(*place, "kind", "value")
     each = each.select(_shard(F.col("kind"), F.col("value")).alias("shard"), "kind", "value", *place)
     for found, folder, order, bloom in ((ids_, BY_ID, ["alert_id"], "alert_id"), (each, BY_ENTITY, ["kind", "value"], "value")):
         found = found.repartition("shard").sortWithinPartitions("shard", *order)

@@ -231,7 +231,7 @@ def alert_show(spark, sf_dir):
 def alert_lookup(spark, sf_dir):
     """Alerts of a table, found by the places of ids and entities: the first one, and those of a user in two weeks."""
     path = f"{shared_dir(spark).rstrip('/')}/alerts-{uuid.uuid4().hex}"
-    alerts.write_table(_alerts(spark, sf_dir), path)
+    alerts.write_table(_alerts(spark, sf_dir), path, windows.every_entity(inputs.event_lines(spark, sf_dir), SIZE))
     row = spark.read.parquet(path).orderBy("window_start_ts", "tenant_id", "device_key").first()
     one = alerts.find(spark, path, row["alert_id"] if row else "")
     some = alerts.find_entity(spark, path, "userid", "u7", since=1_704_672_000, until=1_705_881_600)
