@@ -46,3 +46,8 @@ def test_filter_finds_an_entity_that_no_row_keeps(spark, duck, tmp_path, crowd):
 
 def test_lookup_finds_an_entity_that_no_row_keeps(spark, duck, tmp_path, crowd):
     same(spark, duck, tmp_path, "alert_lookup", events=crowd)
+
+
+def test_words_are_taken_once(spark):
+    plan = entry.queries()["document_words"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1

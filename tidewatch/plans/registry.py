@@ -246,11 +246,13 @@ def parsed_entities(spark, sf_dir):
 def document_words(spark, sf_dir):
     """Word features of documents (tenant: language, device: source)."""
     from ..functions.features import word_feature
-    from ..functions.tokens import words
+    from ..functions.tokens import whole_words
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = docs.select(F.col("lang").alias("tenant_id"), F.explode(F.transform(words(F.col("text")), word_feature)).alias("feature"))
-    return got.where("feature IS NOT NULL").groupBy("tenant_id", "feature").agg(F.count("*").alias("n"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    # words are counted as they stand, then features are made of the distinct ones; outer: see `emitted`
+    each = docs.select(F.col("lang").alias("tenant_id"), F.explode_outer(whole_words(F.col("text"))).alias("word")).where("word IS NOT NULL")
+    counted = each.groupBy("tenant_id", "word").agg(F.count("*").alias("n")).withColumn("feature", word_feature(F.col("word")))
+    return counted.where("feature IS NOT NULL").groupBy("tenant_id", "feature").agg(F.sum("n").alias("n"))
 
 
 def feature_dictionary(spark, sf_dir):
