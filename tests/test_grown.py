@@ -51,3 +51,20 @@ def test_lookup_finds_an_entity_that_no_row_keeps(spark, duck, tmp_path, crowd):
 def test_words_are_taken_once(spark):
     plan = entry.queries()["document_words"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_repeated_texts_are_tokenized_once(monkeypatch):
+    import pyarrow as pa
+
+    from tidewatch.functions import tokens
+
+    seen, real = [], tokens.events_of
+    monkeypatch.setattr(tokens, "events_of", lambda text, header=None: seen.append(text) or real(text, header))
+    got = tokens.event_lists(pa.array(["a=1 bb", None, "a=1 bb", "a=1 bb", "", "a=1 bb"]))
+    assert sorted(seen) == ["", "a=1 bb"] and got.is_null().to_pylist() == [False, True, False, False, False, False]
+    assert got[0].as_py() == got[5].as_py() and len(got[0]) == 2 and got[4].as_py() == []
+
+
+def test_entities_make_no_features(spark):
+    plan = entry.queries()["parsed_entities"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_net@" not in plan

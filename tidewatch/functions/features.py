@@ -131,16 +131,19 @@ def text_features(texts: Column, structured: Column) -> Column:
     return F.array_compact(F.concat(F.transform(texts, word_feature), F.transform(texts, lambda w: F.when(~structured, _address(w)))))
 
 
-def emitted(lines: DataFrame) -> DataFrame:
+def emitted(lines: DataFrame, counted: bool = False) -> DataFrame:
     """One row an event of lines (columns events, pri, app, version): features and entities arrays, other columns kept.
 
-    Pairs, words and the rest go their own ways, so each of the three is a small expression."""
+    Pairs, words and the rest go their own ways, so each of the three is a small expression.
+    counted: equal events of equal lines are one row with their number n, so the rules see each once."""
     pairs = F.exists("events", lambda e: e["kind"].isin(*PAIRS))
     none = F.lit(None).cast("string")
     extra = F.transform(syslog_features(F.col("pri"), F.col("app"), F.col("version")), lambda s: F.struct(F.lit("ready").alias("kind"), none.alias("key"), none.alias("norm"), none.alias("category"), s.alias("value")))
     out = lines.withColumns({"_pairs": pairs, "_all": F.concat("events", extra)}).drop("events", "pri", "app", "version")
     # outer: a plain explode would push a size test, with all it is made of, down to the scan
     out = out.withColumn("_e", F.explode_outer("_all")).drop("_all").select("*", "_e.kind", "_e.key", "_e.norm", "_e.category", "_e.value").drop("_e").where("kind IS NOT NULL")
+    if counted:
+        out = out.groupBy(*out.columns).agg(F.count("*").alias("n"))
     out = with_parts(out)
     kind = F.col("kind")
     texts = F.filter(F.split(F.concat_ws(" ", "key", "value"), r"[ \t\n\f\r]+"), lambda w: w != "")

@@ -88,10 +88,10 @@ def key_rules(spark, sf_dir):
         F.lit(".local. url=https://x/y file=C:\\t\\x event_time=2024-01-05T13:00:01Z proc=sh cmd=ls src_to_dst_port=1 dest.address=10.0.0."), "d",
     )
     lines = _said(spark, sf_dir).select("tenant_id", tokenize(msg).alias("events"), F.lit(None).cast("long").alias("pri"), F.lit(None).cast("string").alias("app"), F.lit(None).cast("long").alias("version"))
-    each = emitted(lines)
+    each = emitted(lines, counted=True)
     one = lambda kind, value: F.struct(kind.alias("kind"), value.alias("value"))
     both = F.concat(F.transform("features", lambda f: one(F.lit("feature"), f)), F.transform("entities", lambda x: one(x["kind"], x["value"])))
-    return each.select("tenant_id", F.explode(both).alias("x")).select("tenant_id", "x.kind", "x.value").groupBy("tenant_id", "kind", "value").agg(F.count("*").alias("n"))
+    return each.select("tenant_id", "n", F.explode_outer(both).alias("x")).select("tenant_id", "n", "x.kind", "x.value").where("kind IS NOT NULL").groupBy("tenant_id", "kind", "value").agg(F.sum("n").alias("n"))
 
 
 def _numbered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
