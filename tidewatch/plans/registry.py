@@ -240,7 +240,7 @@ def parsed_entities(spark, sf_dir):
     from . import analyze
 
     lines = analyze.parsed(inputs.raw_lines(spark, sf_dir).withColumn("byte_len", F.length("line").cast("long")), ingest_ts=1_706_745_600)
-    return windows.ranked(windows.items(lines, SIZE)[1]).select(*KEY, "kind", "value", "n")
+    return windows.top_entities(lines, SIZE).select(*KEY, "kind", "value", "n")
 
 
 def document_words(spark, sf_dir):
