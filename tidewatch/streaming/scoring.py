@@ -77,11 +77,14 @@ class Ring(StatefulProcessor):
     OUT = "tenant_id string, device_key string, ws long, bucket int, feature string, n long, bytes long, tf_w double, blob boolean, days array<long>, counts array<long>, own long, visible array<long>"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.slots = handle.getMapState("slots", "bucket int", "held array<long>")
+        # all buckets at once: a call to the store for each would take longer than the rest
+        self.slots = handle.getValueState("slots", "buckets array<int>, held array<long>")
         self.days = handle.getValueState("days", "held array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        got, known, touched = _ordered(rows, "ws", "device_key"), {}, None
+        got, touched = _ordered(rows, "ws", "device_key"), None
+        buckets, flat = self.slots.get() or ([], [])
+        known = {b: Slots(flat[4 * SLOTS * i : 4 * SLOTS * (i + 1)]) for i, b in enumerate(buckets)}
         if key[1] is None:
             found = self.days.get()
             touched = Slots(found[0] if found else None)
@@ -89,8 +92,7 @@ class Ring(StatefulProcessor):
         for ws, bucket in zip(got["ws"].tolist(), got["bucket"].tolist()):
             day = ws // timing.DAY
             if bucket not in known:
-                found = self.slots.getValue((bucket,)) if self.slots.containsKey((bucket,)) else None
-                known[bucket] = Slots(found[0] if found else None)
+                known[bucket] = Slots(None)
             days, counts, own, _ = known[bucket].before(day)
             known[bucket].add(day)
             visible = None
@@ -100,8 +102,7 @@ class Ring(StatefulProcessor):
                 touched.add(day)
             for c, v in zip(out, (days, counts, own, visible)):
                 out[c].append(v)
-        for bucket, s in known.items():
-            self.slots.updateValue((bucket,), (s.held,))
+        self.slots.update((list(known), [x for s in known.values() for x in s.held]))
         if touched is not None:
             self.days.update((touched.held,))
         yield got.assign(**out)
@@ -146,6 +147,7 @@ class Scorer(StatefulProcessor):
         moments = [Moments(*state[k : k + 3]) for k in (2, 5, 8)]
         known: dict[str, tuple[int, float]] = {}
         beta, out = 1 - self.alpha, []
+        fresh = i == 0  # nothing is stored yet
         for ws, row in got.groupby("ws", sort=True):
             of = row[row["feature"].isna()].iloc[0]
             visible = {int(d) for d in of["visible"]}
@@ -157,7 +159,7 @@ class Scorer(StatefulProcessor):
             dot = row_norm2 = mass = mass_idf = mass_blob = 0.0
             for f in row[row["feature"].notna()].itertuples(index=False):
                 if f.feature not in known:
-                    known[f.feature] = tuple(self.values.getValue((f.feature,))) if self.values.containsKey((f.feature,)) else (i, 0.0)
+                    known[f.feature] = tuple(self.values.getValue((f.feature,))) if not fresh and self.values.containsKey((f.feature,)) else (i, 0.0)
                 at, value = known[f.feature]
                 now = value * beta ** (i - at)
                 df = seen(f.days, f.counts, f.own)
