@@ -68,3 +68,17 @@ def test_repeated_texts_are_tokenized_once(monkeypatch):
 def test_entities_make_no_features(spark):
     plan = entry.queries()["parsed_entities"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "_net@" not in plan
+
+
+def test_tenant_means_add_up_in_any_order(spark):
+    """Five means that add up to 4,175 and 4,174 lines: the drop is 1 exactly, which meets the floor of 1, in whatever order the parts come."""
+    from itertools import permutations
+
+    from tidewatch.operators import volume_loss
+
+    sums, lines = (5872, 5769, 5871, 5741, 5972), (834, 835, 835, 835, 835)
+    rows = [("t", str(k), ws, ws + 1, 0, n, n, 7, s / 7, s / 7, 1.0) for ws, order in enumerate(permutations(sums)) for k, (s, n) in enumerate(zip(order, lines))]
+    each = spark.createDataFrame(rows, "tenant_id string, device_key string, ws long, we long, bucket int, lines long, bytes long, maturity long, mean_lines double, mean_bytes double, sd_lines double")
+    gates = volume_loss.DropGates(min_maturity=3, min_expected=2.0, min_absolute=1.0, max_ratio=0.6, min_drop=0.4, stddevs=0.5)
+    got = volume_loss.evaluate_drop(volume_loss.tenant_windows(each, gates), gates).select("mean_lines", "mean_bytes", "sd_lines", "suppression").distinct().collect()
+    assert [tuple(r) for r in got] == [(4175.0, 4175.0, 5**0.5, "ObservedRatioAboveThreshold")]

@@ -124,15 +124,21 @@ def expected_volume(rows: DataFrame, key: str = "device_key", past: DataFrame |
     )
 
 
+def _total(c: Column) -> Column:
+    """The sum of doubles, whatever their order: as decimals of 12 places.  Sums of doubles in the order of a shuffle miss a gate that they meet exactly."""
+    return F.sum(c.cast("decimal(38,12)"))
+
+
 def tenant_windows(volumes: DataFrame, gates: DropGates = DropGates(), silent: DataFrame | None = None) -> DataFrame:
     """Device windows rolled up to tenants: devices must be mature and expected; two at least; silent devices are out.
-    Means add up, deviations add as squares, maturity is the number of parts."""
+    Means add up (to 9 places, so that thirds add up to one), deviations add as squares, maturity is the number of parts."""
     parts = volumes.where((F.col("maturity") >= gates.min_maturity) & (F.col("mean_lines") >= gates.min_expected))
     if silent is not None:
         parts = parts.join(silent.select("tenant_id", F.col("subject_key").alias("device_key")), ["tenant_id", "device_key"], "left_anti")
+    mean = lambda c: F.round(_total(F.col(c)), 9).cast("double").alias(c)
     got = parts.groupBy("tenant_id", "ws", "we", "bucket").agg(
-        F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"), F.count("*").alias("maturity"), F.sum("mean_lines").alias("mean_lines"),
-        F.sum("mean_bytes").alias("mean_bytes"), F.sqrt(F.sum(F.col("sd_lines") * F.col("sd_lines"))).alias("sd_lines"),
+        F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"), F.count("*").alias("maturity"), mean("mean_lines"),
+        mean("mean_bytes"), F.sqrt(_total(F.col("sd_lines") * F.col("sd_lines")).cast("double")).alias("sd_lines"),
     )
     return got.where("maturity >= 2")
 
