@@ -82,3 +82,14 @@ def test_tenant_means_add_up_in_any_order(spark):
     gates = volume_loss.DropGates(min_maturity=3, min_expected=2.0, min_absolute=1.0, max_ratio=0.6, min_drop=0.4, stddevs=0.5)
     got = volume_loss.evaluate_drop(volume_loss.tenant_windows(each, gates), gates).select("mean_lines", "mean_bytes", "sd_lines", "suppression").distinct().collect()
     assert [tuple(r) for r in got] == [(4175.0, 4175.0, 5**0.5, "ObservedRatioAboveThreshold")]
+
+
+def test_suppliers_are_dealt_into_more_parts_as_files_grow(spark, duck, tmp_path, monkeypatch):
+    from tidewatch.sources import shared
+
+    assert shared.parts_of(spark.read.parquet(f"{SF}/lineitem.parquet")) == 1
+    monkeypatch.setattr(shared, "PART", os.path.getsize(f"{SF}/lineitem.parquet") // 8)
+    got = entry.queries()["supplier_volume"](spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan and got.rdd.getNumPartitions() == 9
+    assert rows_of(got.toPandas()) == rows_of(duck().execute(entry.oracle_sql()["supplier_volume"]).df())

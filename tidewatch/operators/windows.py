@@ -23,9 +23,17 @@ def with_window(lines: DataFrame, size: int) -> DataFrame:
     return lines.withColumn("ws", timing.window_start(F.coalesce("ts", F.lit(0).cast("long")), size))
 
 
-def rows(lines: DataFrame, size: int) -> DataFrame:
-    """tenant_id, device_key, ws, we, bucket, lines, bytes: one row a window; partial and final hash aggregation."""
-    got = with_window(lines, size).groupBy(*KEY).agg(F.count("*").alias("lines"), F.sum("byte_len").cast("long").alias("bytes"))
+def rows(lines: DataFrame, size: int, parts: int | None = None) -> DataFrame:
+    """tenant_id, device_key, ws, we, bucket, lines, bytes: one row a window; partial and final hash aggregation.
+
+    parts: for lines most of which have a window of their own, which are no fewer once a task has counted its own: they are dealt
+    by device into so many parts first, so a task's table doesn't grow with the input where the parts do, and what follows by device
+    needs no further shuffle.  A device with very many lines has no more windows than its time has.
+    """
+    found = with_window(lines, size)
+    if parts:
+        found = found.select(*KEY, "byte_len").repartition(parts, "tenant_id", "device_key")
+    got = found.groupBy(*KEY).agg(F.count("*").alias("lines"), F.sum("byte_len").cast("long").alias("bytes"))
     return got.select(*KEY, (F.col("ws") + size).alias("we"), timing.time_bucket(F.col("ws")).alias("bucket"), "lines", "bytes")
 
 

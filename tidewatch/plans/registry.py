@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import families, timing
 from ..operators import baselines, scoring, state, volume_loss, windows
-from ..sources.shared import settled, shared_dir, spread
+from ..sources.shared import parts_of, settled, shared_dir, spread
 from . import inputs
 from .inputs import SIZE
 
@@ -207,7 +207,7 @@ def supplier_volume(spark, sf_dir):
     """Day windows of lineitem: tenants by return flag, devices by supplier."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     lines = items.select(F.col("l_returnflag").alias("tenant_id"), F.col("l_suppkey").cast("string").alias("device_key"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("ts"), F.col("l_quantity").cast("long").alias("byte_len"))
-    rows = windows.rows(lines, timing.DAY)
+    rows = windows.rows(lines, timing.DAY, parts_of(items))  # nearly every line is the only one of its supplier and day
     state = volume_loss.expected_state(rows, volume_loss.DEVICE, timing.DAY, 1)
     got = volume_loss.evaluate_silence(state, F.lit(915_148_800), volume_loss.SilenceGates(10, 30, 20))
     return got.select("tenant_id", "subject_key", "observed_windows", "last_we", "last_lines", "suppression", "missed", "expected_lines")

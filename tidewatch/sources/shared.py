@@ -37,6 +37,15 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 SMALL = 256 << 20
 
 
+#: Bytes of files whose rows one task should gather.
+PART = 8 << 20
+
+
+def parts_of(df: DataFrame) -> int:
+    """In how many parts of PART bytes the files that df reads are: as many more as they are larger."""
+    return 1 + int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // PART
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if it is small: a table of one file is one task otherwise, however much work its lines are."""
     if df.isStreaming:
