@@ -243,6 +243,37 @@ def test_added_tokens():
     assert got == [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts] and 50_256 in got[0]
 
 
+def test_pieces_are_kept_and_joined(monkeypatch):
+    """Pieces that a task has met are not encoded again for the next one; joined ones have their own ids, also beside pieces like the separator."""
+    from tokenizers import AddedToken, Tokenizer
+
+    path = op10_token_blocks.vocabulary()
+    t = Tokenizer.from_file(path)
+    texts = ["<|endoftext|", "|>", "<", ">endoftext", " <|endo", "text|>", *[f"kept{k} pieces{k * 7919}\n\n  é{k}'s" for k in range(200)]]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    made = op10_token_blocks.encoder(path)
+    made.forget()
+    run = lambda: [x.tolist() for _, counts, ids in op10_token_blocks.encoded([batch], path, 2) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    want = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert run() == want
+    monkeypatch.setattr(made, "encode", None)
+    assert run() == want
+    assert op10_token_blocks.separator(t) == ("<|endoftext|>", 50_256)
+    t.add_tokens([AddedToken("x<|end", normalized=False)])
+    assert op10_token_blocks.separator(t) is None  # could start in a piece and end in the separator
+
+
+def test_pieces_met_last_stay():
+    from tidewatch.llm.pieces import Encoder
+
+    asked = []
+    made = Encoder(lambda pieces: asked.extend(pieces) or [list(p) for p in pieces], most=8)
+    for text in ["a b c d e f", "a g h i", "a x y", "a g h i"]:
+        got = [ids.tolist() for _, ids, _ in made.texts(*utf8(pa.array([text])))]
+        assert got == [list(text.encode())]
+    assert asked.count(b"a") == 1 and len(asked) == 6 + 3 + 2 and len(made.keys) <= 8
+
+
 def test_secret_repositories(spark):
     live = "Zx9Kq2Lm7Np4Rt8Vw3Yb6Tg1"
     docs = spark.createDataFrame([(1, f"{live} token=abcdefghijkl0", "a", "en"), (2, live, "a", "de"), (3, "token=abcdefghijkl0", "b", None), (4, None, "b", "en")], "doc_id long, text string, source string, lang string")

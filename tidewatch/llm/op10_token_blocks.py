@@ -7,7 +7,7 @@ table in the shared folder: Spark's commit makes them whole or absent, and any s
 
 Documents are dealt out by ranges of doc_id (sampled splitters) and sorted, so partitions in order hold them in
 ascending order.  Encoding goes piece by piece: each distinct piece of the tokenizer's pattern is encoded once by
-the library and kept for later texts.  Texts that hold an added token of the tokenizer file are encoded whole by the
+the library, many to a call with an added token between them, and kept for later texts, of later tasks of the worker too (bounded).  Texts that hold an added token of the tokenizer file are encoded whole by the
 library, so ids are those of its encode(text, add_special_tokens=False).
 
 Defined cases: a null or empty text gives just the end id; a null doc_id sorts first; rows of equal doc_id are
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buckets, shared_dir, table, tidy
-from .kernels import utf8
+from .kernels import blocks, utf8
 from .pieces import Encoder
 
 BLOCK, PERCENTILE, SHARD, END = 4096, 90, 1 << 20, 2
@@ -41,18 +41,16 @@ def pack(values: np.ndarray, width: int) -> bytes:
     """Unsigned values below 2**width, least bit first."""
     if not width or not len(values):
         return b""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    octets = values.astype("<u8").view(np.uint8).reshape(len(values), 8)[:, : (width + 7) // 8]
+    return np.packbits(np.unpackbits(octets, axis=1, bitorder="little")[:, :width].ravel(), bitorder="little").tobytes()
 
 
 def unpack(raw: np.ndarray, width: int, count: int) -> np.ndarray:
+    """Values of up to 56 bits, each out of the 8 bytes it starts in."""
     if not width or not count:
         return np.zeros(count, np.uint64)
-    bits = np.unpackbits(raw[: (width * count + 7) // 8], count=width * count, bitorder="little")
-    padded = np.zeros((count, (width + 7) // 8 * 8), np.uint8)
-    padded[:, :width] = bits.reshape(count, width)
-    octets = np.packbits(padded, axis=1, bitorder="little").astype(np.uint64)
-    return (octets << (np.arange(octets.shape[1], dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64)
+    at = np.arange(count) * width
+    return (blocks(raw[: (width * count + 7) // 8])[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)
 
 
 def encode_block(ids: np.ndarray) -> bytes:
@@ -115,20 +113,40 @@ class Shard:
         return np.concatenate(got)[a - first * BLOCK : b - first * BLOCK]
 
 
-@lru_cache(2)
-def encoder(path: str) -> Encoder:
-    import os
+def separator(t) -> tuple[str, int] | None:
+    """(string, id) of an added token of tokenizer t that may stand between pieces without touching their ids: it takes no spaces
+    beside it, and neither it nor another added token can start in a piece and end in it, or the other way round."""
+    added = {a.content: (i, a) for i, a in t.get_added_tokens_decoder().items() if a.content}
+    for mark, (i, a) in added.items():
+        apart = all(c == mark or (c not in mark and mark not in c) for c in added)
+        apart &= not any(x[-k:] == y[:k] for c in added for x, y in ((c, mark), (mark, c)) for k in range(1, min(len(c), len(mark))))
+        if apart and not (a.lstrip or a.rstrip or a.single_word or a.normalized) and t.normalizer is None and t.encode(mark, add_special_tokens=False).ids == [i]:
+            return mark, i
+    return None
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # texts with their strings don't come here
+#: How many pieces the library gets as one text, and how many such texts at once.
+JOINED, TEXTS = 64, 64
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    t = library(path)[0]
+    found = separator(t)
 
     def encode(pieces: list[bytes]) -> list[list[int]]:
-        out = []
-        for i in range(0, len(pieces), 4096):
-            out += [e.ids for e in t.encode_batch_fast([p.decode("utf-8") for p in pieces[i : i + 4096]], add_special_tokens=False)]
+        texts, out = [p.decode("utf-8") for p in pieces], []
+        if found is None:
+            for i in range(0, len(texts), 4096):
+                out += [e.ids for e in t.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+            return out
+        mark, own = found
+        joined = [mark.join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
+        for i in range(0, len(joined), TEXTS):
+            for e in t.encode_batch_fast(joined[i : i + TEXTS], add_special_tokens=False):
+                ids = e.ids
+                ends = np.flatnonzero(np.array(ids) == own).tolist()
+                out += [ids[a:b] for a, b in zip([0, *[x + 1 for x in ends]], [*ends, len(ids)])]
         return out
 
     return Encoder(encode)
@@ -176,7 +194,6 @@ def encoded(batches, path: str, end: int):
             upto = np.cumsum(counts)
             out = np.insert(flat, upto, end)
             yield ids.slice(row, len(counts)).to_pylist(), counts + 1, out
-    encoder(path).forget()
 
 
 def write_tokens(docs: DataFrame, path: str, end: int = END) -> str:

@@ -89,9 +89,15 @@ def parts(buf: np.ndarray, offs: np.ndarray, most: int = CHUNK):
         yield a, buf[start:end], np.array([0, end - start]) if b - a == 1 else offs[a : b + 1] - start, False
 
 
+def _gathered(values: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the stretches of values of these places and sizes one after another, their new places)."""
+    new = np.cumsum(size) - size
+    return values[np.arange(int(size.sum())) + np.repeat(place - new, size)], new
+
+
 class Encoder:
     """Ids of whole texts.  `encode` gets the pieces not met before, as bytes, and returns their ids; it is asked for a piece
-    once as long as the table of met pieces holds at most `most`, of `most_bytes` in all.
+    once as long as the table of met pieces holds at most `most`, of `most_bytes` in all; beyond, those met last stay, up to half of it.
 
     Pieces are looked up by digest and their bytes are compared; one whose digest another piece has is encoded each time.
     """
@@ -107,9 +113,19 @@ class Encoder:
         self.length = np.zeros(0, np.int64)
         self.at = np.zeros(0, np.int64)  # of its ids
         self.size = np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int64)  # in which part it was met last
+        self.now = 0
         self.raw = np.zeros(0, np.uint8)
         self.ids = np.zeros(0, np.uint32)
 
+    def _trim(self) -> None:
+        last = np.argsort(-self.met, kind="stable")[: self.most // 2]
+        keep = np.sort(last[np.cumsum(self.length[last]) <= self.most_bytes // 2])
+        for name in ("keys", "place", "length", "at", "size", "met"):
+            setattr(self, name, getattr(self, name)[keep])
+        self.raw, self.place = _gathered(self.raw, self.place, self.length)
+        self.ids, self.at = _gathered(self.ids, self.at, self.size)
+
     def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(place, number) in self.ids of the ids of pieces, which are added there."""
         got = self.encode(pieces)
@@ -124,7 +140,7 @@ class Encoder:
         place = len(self.raw) + np.cumsum(length) - length
         self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(pieces), np.uint8)])
         where = np.searchsorted(self.keys, keys)
-        for name, values in (("keys", keys), ("place", place), ("length", length), ("at", at), ("size", size)):
+        for name, values in (("keys", keys), ("place", place), ("length", length), ("at", at), ("size", size), ("met", np.full(len(keys), self.now))):
             setattr(self, name, np.insert(getattr(self, name), where, values))
 
     def _part(self, part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +156,8 @@ class Encoder:
         h = self.digest(part, starts, ends)
         unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) > self.most or len(self.raw) > self.most_bytes:
-            self.forget()
+            self._trim()
+        self.now += 1
         at = np.searchsorted(self.keys, unique)
         known = self.keys[np.minimum(at, len(self.keys) - 1)] == unique if len(self.keys) else np.zeros(len(unique), bool)
         raw = part.tobytes()
@@ -148,6 +165,7 @@ class Encoder:
             new = where[~known]
             self._learn(unique[~known], [raw[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist())])
             at = np.searchsorted(self.keys, unique)
+        self.met[at] = self.now
         of, length = at[inverse], ends - starts
         same = self.length[of] == length
         same &= same_bytes(part, starts, self.raw, self.place[of], np.where(same, length, 0))
